@@ -8,15 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sql import quoted
+
 _DATETIME = (T.TimestampType, T.TimestampNTZType, T.DateType)
-_NESTED = (T.ArrayType, T.MapType, T.StructType)
+_NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 _FLOATING = (T.FloatType, T.DoubleType)
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def ref(name: str) -> Column:
     """Reference a column whose name may hold dots or blanks."""
     return F.col(quoted(name))
@@ -84,20 +82,13 @@ def blocks(items: Sequence, size: int) -> Iterator[list]:
 
 def normalise(df: DataFrame) -> DataFrame:
     """NaN becomes null, nested values become JSON text; all else is untouched."""
-    out, changed = [], False
+    new = {}
     for field in df.schema:
-        col = ref(field.name)
         if isinstance(field.dataType, _FLOATING):
-            col = F.when(~F.isnan(col), col).alias(field.name)
-            changed = True
+            new[field.name] = F.expr(f"CASE WHEN NOT isnan({quoted(field.name)}) THEN {quoted(field.name)} END")
         elif isinstance(field.dataType, _NESTED):
-            col = F.to_json(col).alias(field.name)
-            changed = True
-        elif isinstance(field.dataType, T.VariantType):
-            col = F.to_json(col).alias(field.name)
-            changed = True
-        out.append(col)
-    return df.select(*out) if changed else df
+            new[field.name] = F.to_json(ref(field.name))
+    return df.withColumns(new) if new else df
 
 
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:

@@ -1,53 +1,58 @@
-"""Numeric column expressions; none raises under ANSI mode."""
+"""Numeric expressions as SQL text; none raises under ANSI mode."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Sequence
 
-_INF = float("inf")
+from pyspark.sql import DataFrame
 
+from .sql import quoted
 
-def finite(col: Column) -> Column:
+
+def finite(x: str) -> str:
     """The value as double, or null when it is null, NaN or infinite."""
-    x = col.cast("double")
-    return F.when(~F.isnan(x) & (F.abs(x) < F.lit(_INF)), x)
+    d = f"CAST({x} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({d}) AND abs({d}) < DOUBLE('Infinity') THEN {d} END"
 
 
-def not_nan(col: Column) -> Column:
+def not_nan(x: str) -> str:
     """The value as double, NaN read as null; infinities stay."""
-    x = col.cast("double")
-    return F.when(~F.isnan(x), x)
+    d = f"CAST({x} AS DOUBLE)"
+    return f"CASE WHEN NOT isnan({d}) THEN {d} END"
+
+
+def finite_view(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (), value=finite) -> DataFrame:
+    """The columns as doubles that hold only usable values, beside untouched key columns."""
+    return df.selectExpr(
+        *[quoted(k) for k in keep if k not in cols], *[f"{value(quoted(c))} AS {quoted(c)}" for c in cols]
+    )
 
 
-def zero_when_flat(value: Column, x: Column, least: int) -> Column:
+def _zero_when_flat(value: str, x: str, least: int) -> str:
     """Shape of a constant column is 0 once it has `least` values, null before."""
-    n = F.count(x)
-    return F.when(n < least, F.lit(None)).when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(value)
+    return f"CASE WHEN count({x}) < {least} THEN NULL WHEN min({x}) = max({x}) THEN 0.0D ELSE {value} END"
 
 
-def sample_skewness(x: Column) -> Column:
+def sample_skewness(x: str) -> str:
     """Bias-adjusted skewness G1 from the population moment Spark offers."""
-    n = F.count(x).cast("double")
-    adjusted = F.try_divide(F.skewness(x) * F.sqrt(n * (n - 1)), n - 2)
-    return zero_when_flat(adjusted, x, 3)
+    n = f"CAST(count({x}) AS DOUBLE)"
+    return _zero_when_flat(f"try_divide(skewness({x}) * sqrt({n} * ({n} - 1)), {n} - 2)", x, 3)
 
 
-def sample_kurtosis(x: Column) -> Column:
+def sample_kurtosis(x: str) -> str:
     """Bias-adjusted excess kurtosis G2."""
-    n = F.count(x).cast("double")
-    adjusted = F.try_divide(((n + 1) * F.kurtosis(x) + 6) * (n - 1), (n - 2) * (n - 3))
-    return zero_when_flat(adjusted, x, 4)
+    n = f"CAST(count({x}) AS DOUBLE)"
+    adjusted = f"try_divide((({n} + 1) * kurtosis({x}) + 6) * ({n} - 1), ({n} - 2) * ({n} - 3))"
+    return _zero_when_flat(adjusted, x, 4)
 
 
-def share_pct(part: Column, whole: Column) -> Column:
+def share_pct(part: str, whole: str) -> str:
     """100 * part / whole, 0 on an empty whole."""
-    return F.coalesce(F.try_divide(part * F.lit(100.0), whole), F.lit(0.0))
+    return f"coalesce(try_divide({part} * 100.0D, {whole}), 0.0D)"
 
 
-def shape_hint(skew: Column) -> Column:
+def shape_hint(skew: str) -> str:
     return (
-        F.when(skew > 0.5, "right-skewed")
-        .when(skew < -0.5, "left-skewed")
-        .otherwise("approximately-normal")
+        f"CASE WHEN {skew} > 0.5 THEN 'right-skewed' WHEN {skew} < -0.5 THEN 'left-skewed' "
+        "ELSE 'approximately-normal' END"
     )

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions.kinds import blocks, categorical_columns, numeric_columns, ref
-from ..functions.numbers import not_nan
+from ..functions.numbers import finite_view, not_nan
 from .tidy import per_column, union_all
 from .value_counts import value_counts
 
@@ -18,20 +19,18 @@ PAIR_BLOCK = 66
 PAIR_SCHEMA = "col_a string, col_b string, value double, pos int"
 
 
-def _pearson(a: Column, b: Column) -> Column:
+def _pearson(a: str, b: str) -> str:
     """Correlation after filling nulls with each column's mean, in one pass.
 
     A filled cell deviates by 0, so only rows with both values add to the cross
     product: their own covariance, shifted from the means of the shared rows to
     the means of all rows. The variances likewise need no second pass.
     """
-    shared = F.regr_count(a, b)
-    off_a = F.regr_avgy(a, b) - F.avg(a)
-    off_b = F.regr_avgx(a, b) - F.avg(b)
-    cross = shared * (F.covar_pop(a, b) + off_a * off_b)
-    scale = F.sqrt(F.count(a) * F.var_pop(a)) * F.sqrt(F.count(b) * F.var_pop(b))
-    r = F.try_divide(cross, scale)
-    return F.coalesce(F.when(~F.isnan(r), r), F.lit(0.0))
+    off_a = f"(regr_avgy({a}, {b}) - avg({a}))"
+    off_b = f"(regr_avgx({a}, {b}) - avg({b}))"
+    cross = f"regr_count({a}, {b}) * (covar_pop({a}, {b}) + {off_a} * {off_b})"
+    scale = f"sqrt(count({a}) * var_pop({a})) * sqrt(count({b}) * var_pop({b}))"
+    return f"coalesce(nanvl(try_divide({cross}, {scale}), 0.0D), 0.0D)"
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -40,19 +39,24 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     pairs = list(enumerate(combinations(cols, 2)))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    view = finite_view(df, cols, value=not_nan)
     parts = []
     for chunk in blocks(pairs, PAIR_BLOCK):
-        rows = [
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                _pearson(not_nan(ref(a)), not_nan(ref(b))).alias("value"),
-                F.lit(pos).alias("pos"),
-            ).alias(f"pair_{pos}")
-            for pos, (a, b) in chunk
-        ]
-        wide = df.agg(*rows)
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"pair_{pos}") for pos, _ in chunk]))))
+        wide = view.selectExpr(
+            *[
+                sql.struct(
+                    {
+                        "col_a": sql.text(a),
+                        "col_b": sql.text(b),
+                        "value": _pearson(sql.quoted(a), sql.quoted(b)),
+                        "pos": str(pos),
+                    }
+                )
+                + f" AS pair_{pos}"
+                for pos, (a, b) in chunk
+            ]
+        )
+        parts.append(wide.selectExpr(sql.rows([f"pair_{pos}" for pos, _ in chunk])))
     return union_all(parts)
 
 
@@ -64,7 +68,7 @@ def low_cardinality(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGOR
     """
     if not cols:
         return []
-    rough = per_column(df, cols, lambda c: [F.approx_count_distinct(ref(c), 0.02).alias("n")])
+    rough = per_column(df, cols, lambda c, x: {"n": f"approx_count_distinct({x}, 0.02D)"})
     near = {r["column"] for r in rough.where(F.col("n") <= 2 * limit).collect()}
     near = [c for c in cols if c in near]
     if not near:
@@ -83,10 +87,9 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def _contingency(df: DataFrame, pairs: Sequence[tuple[int, tuple[str, str]]]) -> DataFrame:
     """(pos, a, b, cnt): every pair's table by one shuffle of pre-counted cells."""
     cells = [
-        F.struct(F.lit(pos).alias("pos"), ref(a).alias("a"), ref(b).alias("b"))
-        for pos, (a, b) in pairs
+        sql.struct({"pos": str(pos), "a": sql.quoted(a), "b": sql.quoted(b)}) for pos, (a, b) in pairs
     ]
-    long = df.select(F.inline(F.array(*cells))).where("a IS NOT NULL AND b IS NOT NULL")
+    long = df.selectExpr(sql.rows(cells)).where("a IS NOT NULL AND b IS NOT NULL")
     return long.groupBy("pos", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -44,11 +44,14 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
     return column_totals(vc).join(F.broadcast(entropy_and_rarity(vc)), "column")
 
 
-def top_values(df: DataFrame, cols: Sequence[str] | None = None, n: int = TOP) -> DataFrame:
-    """(column, rank, value, cnt, pct); ties go to the smaller value."""
-    vc = value_counts(df, categorical_columns(df) if cols is None else cols)
+def top_values(
+    df: DataFrame, cols: Sequence[str] | None = None, n: int = TOP, order_by: Sequence[str] = ()
+) -> DataFrame:
+    """(column, rank, value, cnt, pct); ties go to the value seen first by `order_by`, else the smaller."""
+    vc = value_counts(df, categorical_columns(df) if cols is None else cols, order_by)
     totals = vc.groupBy("column").agg(F.sum("cnt").alias("n"))
-    best = top_n(vc, n, F.col("cnt").desc(), F.col("value").asc())
+    ties = [F.col("first_seen").asc()] if order_by else []
+    best = top_n(vc, n, F.col("cnt").desc(), *ties, F.col("value").asc())
     return best.join(F.broadcast(totals), "column").select(
         "column", "rank", "value", "cnt", (F.col("cnt") * 100.0 / F.col("n")).alias("pct")
     )

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normality as normality_module
-from ..functions.kinds import numeric_columns, ref
+from ..functions import sql
+from ..functions.kinds import numeric_columns
 from ..functions.normality import shapiro_wilk
-from ..functions.numbers import finite, sample_skewness, shape_hint, share_pct
+from ..functions.numbers import finite, finite_view, sample_skewness, shape_hint, share_pct
+from ..functions.sql import number
 from .numeric import Fence, fit_fences
 from .sampling import sample_key
 from .tidy import per_column, union_all
@@ -30,14 +32,15 @@ PREVIEW = 10
 def shape_hints(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(column, shape) from the bias-adjusted skewness."""
     cols = numeric_columns(df) if cols is None else list(cols)
-    return per_column(
-        df, cols, lambda c: [shape_hint(sample_skewness(finite(ref(c)))).alias("shape")]
+    view = finite_view(df, cols)
+    return per_column(view, cols, lambda c, x: {"skew": sample_skewness(x)}).selectExpr(
+        "column", f"{shape_hint('skew')} AS shape"
     )
 
 
 def value_ranges(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float] | None]:
     rows = per_column(
-        df, cols, lambda c: [F.min(finite(ref(c))).alias("lo"), F.max(finite(ref(c))).alias("hi")]
+        finite_view(df, cols), cols, lambda c, x: {"lo": f"min({x})", "hi": f"max({x})"}
     ).collect()
     return {r["column"]: None if r["lo"] is None else (r["lo"], r["hi"]) for r in rows}
 
@@ -50,12 +53,10 @@ def bin_edges(lo: float, hi: float, bins: int = BINS) -> list[float]:
     return [lo + i * step for i in range(bins)] + [hi]
 
 
-def _bin_of(x: Column, edges: Sequence[float]) -> Column:
+def _bin_of(x: str, edges: Sequence[float]) -> str:
     """Index of the last edge at or below x; the top edge belongs to the last bin."""
-    chain = F.when(x < F.lit(edges[1]), F.lit(0))
-    for i in range(2, len(edges) - 1):
-        chain = chain.when(x < F.lit(edges[i]), F.lit(i - 1))
-    return chain.otherwise(F.lit(len(edges) - 2))
+    cases = " ".join(f"WHEN {x} < {number(e)} THEN {i}" for i, e in enumerate(edges[1:-1]))
+    return f"CASE WHEN {x} IS NULL THEN NULL {cases} ELSE {len(edges) - 2} END"
 
 
 def histogram(
@@ -75,14 +76,11 @@ def histogram(
     if not edges:
         return frame.withColumn("cnt", F.lit(0).cast("bigint"))
     cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when(finite(ref(c)).isNotNull(), _bin_of(finite(ref(c)), e)).alias("bin"),
-        )
-        for c, e in edges.items()
+        sql.struct({"column": sql.text(c), "bin": _bin_of(sql.quoted(c), e)}) for c, e in edges.items()
     ]
     counts = (
-        df.select(F.inline(F.array(*cells)))
+        finite_view(df, list(edges))
+        .selectExpr(sql.rows(cells))
         .where("bin IS NOT NULL")
         .groupBy("column", "bin")
         .agg(F.count(F.lit(1)).alias("cnt"))
@@ -109,18 +107,17 @@ def outlier_summary(
             "lower_fence double, upper_fence double",
         )
 
-    def metrics(c: str) -> list[Column]:
-        x, fence = finite(ref(c)), fences[c]
-        outside = F.count_if(fence.outside(x))
-        return [
-            F.count(x).alias("n"),
-            outside.alias("outlier_count"),
-            share_pct(outside, F.count(x)).alias("outlier_pct"),
-            F.max(F.lit(fence.lower)).alias("lower_fence"),
-            F.max(F.lit(fence.upper)).alias("upper_fence"),
-        ]
+    def metrics(c: str, x: str) -> dict[str, str]:
+        outside = f"count_if({fences[c].outside(x)})"
+        return {
+            "n": f"count({x})",
+            "outlier_count": outside,
+            "outlier_pct": share_pct(outside, f"count({x})"),
+            "lower_fence": f"max({number(fences[c].lower)})",
+            "upper_fence": f"max({number(fences[c].upper)})",
+        }
 
-    return per_column(df, cols, metrics)
+    return per_column(finite_view(df, cols), cols, metrics)
 
 
 def outlier_preview(
@@ -136,15 +133,15 @@ def outlier_preview(
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     fences = fit_fences(df, cols) if fences is None else fences
-    keys = [ref(k) for k in order_by]
+    keys = [sql.quoted(k) for k in order_by]
     parts = []
     for c in cols:
         if fences[c]:
-            x = finite(ref(c))
+            x = finite(sql.quoted(c))
             hits = df.where(fences[c].outside(x)).orderBy(*keys).limit(n)
-            parts.append(hits.select(F.lit(c).alias("column"), *keys, x.alias("value")))
+            parts.append(hits.selectExpr(f"{sql.text(c)} AS column", *keys, f"{x} AS value"))
     if not parts:
-        return df.limit(0).select(F.lit("").alias("column"), *keys, F.lit(0.0).alias("value"))
+        return df.limit(0).selectExpr("'' AS column", *keys, "0.0D AS value")
     return union_all(parts)
 
 
@@ -165,22 +162,23 @@ def normality(
     cols = numeric_columns(df) if cols is None else list(cols)
     sizes = {
         r["column"]: r["n"]
-        for r in per_column(df, cols, lambda c: [F.count(finite(ref(c))).alias("n")]).collect()
+        for r in per_column(
+            finite_view(df, cols), cols, lambda c, x: {"n": f"count({x})"}
+        ).collect()
     }
     draw = sample_key(key) if key else F.md5(F.rand(42).cast("string"))
     if all(n <= test_rows for n in sizes.values()):
         draw = F.lit("")
     cells = []
     for c in cols:
-        n, x = sizes[c], finite(ref(c))
-        if n > test_rows:
-            share = min(1.0, (test_rows + 8 * math.sqrt(test_rows)) / n)
-            if share < 1.0:
-                bound = format(int(share * 16**12), "012x")
-                x = F.when(F.col("draw") < bound, x)
-        cells.append(F.struct(F.lit(c).alias("column"), x.alias("x"), F.lit(n).alias("n")))
-    drawn = df.withColumn("draw", draw)
-    long = drawn.select("draw", F.inline(F.array(*cells))).where("x IS NOT NULL")
+        n, x = sizes[c], sql.quoted(c)
+        share = (test_rows + 8 * math.sqrt(test_rows)) / n if n > test_rows else 1.0
+        if share < 1.0:
+            bound = format(int(share * 16**12), "012x")
+            x = f"CASE WHEN draw < '{bound}' THEN {x} END"
+        cells.append(sql.struct({"column": sql.text(c), "x": x, "n": f"{n}L"}))
+    drawn = finite_view(df.withColumn("draw", draw), cols, keep=["draw"])
+    long = drawn.selectExpr("draw", sql.rows(cells)).where("x IS NOT NULL")
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
         if len(group) > test_rows:

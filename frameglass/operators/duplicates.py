@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import normalise, ref
+from ..functions.kinds import normalise
 from ..functions.numbers import share_pct
+from ..functions.sql import quoted
 
-_FP, _GAPS = "__fp", "__gaps"
+_FP = "__fp"
 
 
 def _fingerprint(df: DataFrame) -> DataFrame:
     """A 64-bit row hash plus the positions of nulls, which the hash passes over."""
-    gaps = F.concat(*[F.when(ref(c).isNull(), F.lit("1")).otherwise(F.lit("0")) for c in df.columns])
-    return df.withColumn(_FP, F.xxhash64(*[ref(c) for c in df.columns], gaps))
+    names = [quoted(c) for c in df.columns]
+    gaps = ", ".join(f"{x} IS NULL" for x in names)
+    return df.withColumn(_FP, F.expr(f"xxhash64({', '.join(names)}, {gaps})"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -28,9 +30,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     flat = normalise(df)
     marked = _fingerprint(flat)
     groups = marked.groupBy(_FP).agg(F.count(F.lit(1)).alias("cnt"))
-    totals = groups.agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
-        F.coalesce(F.sum(F.when(F.col("cnt") > 1, F.col("cnt"))), F.lit(0)).alias("suspects"),
+    totals = groups.selectExpr(
+        "coalesce(sum(cnt), 0) AS n", "coalesce(sum(cnt) FILTER (WHERE cnt > 1), 0) AS suspects"
     ).first()
     count = 0
     if totals["suspects"]:
@@ -39,4 +40,4 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         kept = marked.join(suspects, _FP, "left_semi").distinct().count()
         count = totals["suspects"] - kept
     one = df.sparkSession.createDataFrame([(count, totals["n"])], "duplicate_rows bigint, n bigint")
-    return one.select("duplicate_rows", share_pct(F.col("duplicate_rows"), F.col("n")).alias("duplicate_pct"))
+    return one.selectExpr("duplicate_rows", f"{share_pct('duplicate_rows', 'n')} AS duplicate_pct")

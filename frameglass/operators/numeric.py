@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.kinds import numeric_columns, ref
-from ..functions.numbers import finite, sample_kurtosis, sample_skewness, share_pct
+from ..functions.kinds import numeric_columns
+from ..functions.numbers import finite, finite_view, sample_kurtosis, sample_skewness, share_pct
+from ..functions.sql import number
 from .quantiles import exact_quantiles
 from .tidy import per_column
 
@@ -32,8 +32,8 @@ class Fence:
     def upper(self) -> float:
         return self.q3 + FENCE_REACH * (self.q3 - self.q1)
 
-    def outside(self, x: Column) -> Column:
-        return (x < F.lit(self.lower)) | (x > F.lit(self.upper))
+    def outside(self, x: str) -> str:
+        return f"({x} < {number(self.lower)} OR {x} > {number(self.upper)})"
 
 
 def fit_fences(df: DataFrame, cols: Sequence[str]) -> dict[str, Fence | None]:
@@ -44,24 +44,25 @@ def fit_fences(df: DataFrame, cols: Sequence[str]) -> dict[str, Fence | None]:
     }
 
 
-def _metric(name: str, x: Column, fence: Fence | None) -> Column:
-    if name in ("p25", "median", "p75"):
-        field = {"p25": "q1", "median": "median", "p75": "q3"}[name]
-        value = F.lit(None if fence is None else getattr(fence, field)).cast("double")
-        return F.max(value)
-    outside = F.count_if(F.lit(False) if fence is None else fence.outside(x))
+def _metrics(x: str, fence: Fence | None) -> dict[str, str]:
+    """All metrics of a column of usable doubles, as SQL text."""
+    outside = f"count_if({fence.outside(x)})" if fence else "count_if(FALSE)"
+    quartile = lambda name: f"max({number(getattr(fence, name) if fence else None)})"
     return {
-        "n": lambda: F.count(x),
-        "mean": lambda: F.avg(x),
-        "std": lambda: F.stddev_samp(x),
-        "min": lambda: F.min(x),
-        "max": lambda: F.max(x),
-        "skewness": lambda: sample_skewness(x),
-        "kurtosis": lambda: sample_kurtosis(x),
-        "zeros_pct": lambda: F.try_divide(F.count_if(x == 0) * F.lit(100.0), F.count(x)),
-        "outlier_count": lambda: outside,
-        "outlier_pct": lambda: share_pct(outside, F.count(x)),
-    }[name]()
+        "n": f"count({x})",
+        "mean": f"avg({x})",
+        "median": quartile("median"),
+        "std": f"stddev_samp({x})",
+        "min": f"min({x})",
+        "max": f"max({x})",
+        "p25": quartile("q1"),
+        "p75": quartile("q3"),
+        "skewness": sample_skewness(x),
+        "kurtosis": sample_kurtosis(x),
+        "zeros_pct": f"try_divide(count_if({x} = 0) * 100.0D, count({x}))",
+        "outlier_count": outside,
+        "outlier_pct": share_pct(outside, f"count({x})"),
+    }
 
 
 METRICS = ("n", "mean", "median", "std", "min", "max", "p25", "p75", "skewness", "kurtosis",
@@ -83,11 +84,11 @@ def numeric_profile(
     cols = numeric_columns(df) if cols is None else list(cols)
     if fences is None:
         fences = fit_fences(df, cols) if _NEED_FENCES & set(metrics) else {}
-    return per_column(
-        df,
-        cols,
-        lambda c: [_metric(m, finite(ref(c)), fences.get(c)).alias(m) for m in metrics],
-    )
+    def chosen(c: str, x: str) -> dict[str, str]:
+        known = _metrics(x, fences.get(c))
+        return {m: known[m] for m in metrics}
+
+    return per_column(finite_view(df, cols), cols, chosen)
 
 
 def quantile_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:

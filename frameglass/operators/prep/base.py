@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ...functions.kinds import ref, require_columns
-from ...functions.numbers import not_nan
+from ...functions.kinds import require_columns
+from ...functions.numbers import finite_view, not_nan
+from ...functions.sql import quoted
 from ..quantiles import exact_quantiles
 from ..tidy import per_column
 from ..value_counts import modes
 
-_AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+_AGGREGATES = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
 @dataclass
@@ -62,7 +63,9 @@ def collect_stats(df: DataFrame, needs: Needs) -> Stats:
     if needs.aggregates:
         cols = [c for c in df.columns if c in needs.aggregates]
         tidy = per_column(
-            df, cols, lambda c: [fn(not_nan(ref(c))).alias(name) for name, fn in _AGGREGATES.items()]
+            finite_view(df, cols, value=not_nan),
+            cols,
+            lambda c, x: {name: f"{fn}({x})" for name, fn in _AGGREGATES.items()},
         )
         stats.aggregates = {r["column"]: r.asDict() for r in tidy.collect()}
     if needs.quantiles:
@@ -74,9 +77,14 @@ def collect_stats(df: DataFrame, needs: Needs) -> Stats:
     return stats
 
 
+def number_of(name: str) -> Column:
+    """A numeric column as double, NaN read as null."""
+    return F.expr(not_nan(quoted(name)))
+
+
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     """`df` with some columns computed anew, order kept."""
-    return df.select(*[new[c].alias(c) if c in new else ref(c) for c in df.columns])
+    return df.withColumns(dict(new)) if new else df
 
 
 class Operation:

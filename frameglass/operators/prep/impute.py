@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ...functions.kinds import ref
-from ...functions.numbers import not_nan
-from .base import Needs, Operation, Stats, replace_columns
+from .base import Needs, Operation, Stats, number_of, replace_columns
 
 
 def _present(df: DataFrame, name: str) -> Column:
@@ -27,7 +26,7 @@ class _NumericFill(Operation):
 
     def apply(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
         fill = {c: F.lit(self.params[c]["value"]).cast("double") for c in cols}
-        return replace_columns(df, {c: F.coalesce(not_nan(ref(c)), fill[c]) for c in cols})
+        return replace_columns(df, {c: F.coalesce(number_of(c), fill[c]) for c in cols})
 
 
 class ImputeMean(_NumericFill):

@@ -8,9 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...functions.kinds import ref
-from ...functions.numbers import not_nan
-from .base import Needs, Operation, Stats, replace_columns
+from .base import Needs, Operation, Stats, number_of, replace_columns
 
 
 def _shifted(x: Column, centre: float | None, width: float | None, flat: float = 0.0) -> Column:
@@ -26,7 +24,7 @@ class _Scale(Operation):
     kind = "numeric"
 
     def apply(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-        return replace_columns(df, {c: self._scaled(not_nan(ref(c)), p) for c, p in self.params.items()})
+        return replace_columns(df, {c: self._scaled(number_of(c), p) for c, p in self.params.items()})
 
     def _scaled(self, x: Column, p: dict[str, Any]) -> Column:
         return _shifted(x, p["centre"], p["width"])

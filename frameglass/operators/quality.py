@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import normalise, numeric_columns, ref
-from ..functions.numbers import finite
+from ..functions.kinds import normalise, numeric_columns
+from ..functions.numbers import finite_view
+from ..functions.sql import quoted
 from .duplicates import duplicate_rows
 from .numeric import Fence, fit_fences
 from .tidy import union_all
@@ -19,26 +20,26 @@ NULL_FLAG_PCT = 5.0
 DUPLICATE_FLAG_PCT = 1.0
 
 
-def _share_left(part: Column, whole: Column) -> Column:
-    return F.lit(1.0) - F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+def _share_left(part: str, whole: str) -> str:
+    return f"1.0D - coalesce(try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE)), 0.0D)"
 
 
 def completeness(df: DataFrame) -> DataFrame:
     """1 - nulls / cells."""
     flat = normalise(df)
-    rows = F.count(F.lit(1))
-    filled = sum((F.count(ref(c)) for c in flat.columns), F.lit(0))
-    cells = rows * len(flat.columns)
-    return flat.agg(_share_left(cells - filled, cells).alias("completeness"))
+    nulls = " + ".join(f"count_if({quoted(c)} IS NULL)" for c in flat.columns)
+    return flat.selectExpr(f"{_share_left(f'({nulls})', f'(count(1) * {len(flat.columns)})')} AS completeness")
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
     """1 - duplicate rows / rows."""
-    return duplicate_rows(df).select((F.lit(1.0) - F.col("duplicate_pct") / 100).alias("uniqueness"))
+    return duplicate_rows(df).selectExpr("1.0D - duplicate_pct / 100 AS uniqueness")
 
 
 def consistency(
-    df: DataFrame, cols=None, fences: Mapping[str, Fence | None] | None = None
+    df: DataFrame,
+    cols: Sequence[str] | None = None,
+    fences: Mapping[str, Fence | None] | None = None,
 ) -> DataFrame:
     """1 - mean over numeric columns of outliers / all rows; columns without values do not count."""
     cols = numeric_columns(df) if cols is None else list(cols)
@@ -46,17 +47,20 @@ def consistency(
     cols = [c for c in cols if fences[c]]
     if not cols:
         return df.sparkSession.createDataFrame([(1.0,)], "consistency double")
-    hits = sum((F.count_if(fences[c].outside(finite(ref(c)))) for c in cols), F.lit(0))
-    return df.agg(_share_left(hits, F.count(F.lit(1)) * len(cols)).alias("consistency"))
+    hits = " + ".join(f"count_if({fences[c].outside(quoted(c))})" for c in cols)
+    return finite_view(df, cols).selectExpr(
+        f"{_share_left(f'({hits})', f'(count(1) * {len(cols)})')} AS consistency"
+    )
 
 
 def timeliness(datetimes: DataFrame) -> DataFrame:
     """Mean over datetime columns of 1 - gaps / range in days; 1 without a frequency."""
-    days = F.greatest(F.coalesce("date_range_days", F.lit(1)), F.lit(1))
-    lost = F.least(F.try_divide(F.col("gaps_count").cast("double"), days), F.lit(1.0))
-    known = F.col("gaps_count").isNotNull() & F.col("inferred_freq").isNotNull()
-    score = F.when(known, F.lit(1.0) - lost).otherwise(F.lit(1.0))
-    return datetimes.agg(F.coalesce(F.avg(score), F.lit(1.0)).alias("timeliness"))
+    days = "greatest(coalesce(date_range_days, 1), 1)"
+    score = (
+        "CASE WHEN gaps_count IS NULL OR inferred_freq IS NULL THEN 1.0D "
+        f"ELSE 1.0D - least(CAST(gaps_count AS DOUBLE) / {days}, 1.0D) END"
+    )
+    return datetimes.selectExpr(f"coalesce(avg({score}), 1.0D) AS timeliness")
 
 
 def overall(scores: DataFrame) -> DataFrame:
@@ -66,26 +70,18 @@ def overall(scores: DataFrame) -> DataFrame:
     return scores.withColumn("overall_score", total)
 
 
-def _pct_text(pct: Column) -> Column:
-    """Percent with 2 digits and no trailing zeros but one, as a float prints."""
-    return F.round(pct, 2).cast("string")
-
-
 def quality_flags(missing: DataFrame, duplicates: DataFrame, datetimes: DataFrame) -> DataFrame:
     """(kind, column, flag): high nulls, duplicate rows, datetime gaps."""
-    nulls = missing.where(F.round("null_pct", 2) > NULL_FLAG_PCT).select(
-        F.lit("nulls").alias("kind"),
-        "column",
-        F.concat(F.lit("high null in '"), "column", F.lit("' ("), _pct_text(F.col("null_pct")), F.lit("%)")).alias("flag"),
+    # A rounded double prints without trailing zeros but one.
+    nulls = missing.where(f"round(null_pct, 2) > {NULL_FLAG_PCT}").selectExpr(
+        "'nulls' AS kind", "column", "concat('high null in \\'', column, '\\' (', round(null_pct, 2), '%)') AS flag"
     )
-    dups = duplicates.where(F.round("duplicate_pct", 2) > DUPLICATE_FLAG_PCT).select(
-        F.lit("duplicates").alias("kind"),
-        F.lit(None).cast("string").alias("column"),
-        F.concat(F.lit("duplicate rows: "), _pct_text(F.col("duplicate_pct")), F.lit("%")).alias("flag"),
+    dups = duplicates.where(f"round(duplicate_pct, 2) > {DUPLICATE_FLAG_PCT}").selectExpr(
+        "'duplicates' AS kind",
+        "CAST(NULL AS STRING) AS column",
+        "concat('duplicate rows: ', round(duplicate_pct, 2), '%') AS flag",
     )
-    gaps = datetimes.where("gaps_count > 0").select(
-        F.lit("gaps").alias("kind"),
-        "column",
-        F.concat(F.col("gaps_count").cast("string"), F.lit(" datetime gaps in '"), "column", F.lit("'")).alias("flag"),
+    gaps = datetimes.where("gaps_count > 0").selectExpr(
+        "'gaps' AS kind", "column", "concat(gaps_count, ' datetime gaps in \\'', column, '\\'') AS flag"
     )
     return union_all([nulls, dups, gaps])

@@ -3,79 +3,80 @@
 Small inputs use Spark's exact `percentile`, whose state is a map of all distinct
 values. Beyond `SMALL_ROWS` that map would outgrow a task, so each quantile is
 narrowed instead: a sketch proposes a bracket, one counting pass proves how many
-rows lie below, on and inside it, and the next pass sketches only the inside. A
-bracket is resolved when the wanted rank falls on an end or few rows are left
-inside. Every pass is a plain aggregate over the needed columns; nothing shuffles
-but the aggregate buffers. The result never depends on the sketch being right,
-as each bracket is checked by counting.
+rows lie below, on and inside it, and the same pass sketches only the inside for
+the next round. A bracket is resolved when the wanted rank falls on an end or few
+rows are left inside. Every pass is a plain aggregate over the needed columns;
+nothing shuffles but the aggregate buffers. The result never depends on the sketch
+being right, as each bracket is checked by counting.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row
 
-from ..functions.kinds import blocks, ref
-from ..functions.numbers import not_nan
+from ..functions.kinds import blocks
+from ..functions.numbers import finite_view, not_nan
+from ..functions.sql import number, quoted, struct
 
 SMALL_ROWS = 2_000_000
 INSIDE_ROWS = 50_000
 GRID = 500
 _BLOCK = 12
 
+Quantiles = dict[str, dict[float, float | None]]
+
 
 def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, Sequence[float]],
-    value=not_nan,
+    value: Callable[[str], str] = not_nan,
     small_rows: int | None = None,
     inside_rows: int | None = None,
-) -> dict[str, dict[float, float | None]]:
+) -> Quantiles:
     """{column: {p: quantile}} with linear interpolation; `value` picks the usable values."""
     wanted = {name: sorted(set(ps)) for name, ps in wanted.items() if ps}
     if not wanted:
         return {}
-    small = SMALL_ROWS if small_rows is None else small_rows
     # A count needs no column, so on Parquet it reads footers only.
-    if df.count() <= small:
-        return _by_percentile(df, wanted, value)
-    found: dict[str, dict[float, float | None]] = {}
+    small = df.count() <= (SMALL_ROWS if small_rows is None else small_rows)
+    found: Quantiles = {}
     for chunk in blocks(list(wanted), _BLOCK):
-        found.update(
-            _by_brackets(df, {c: wanted[c] for c in chunk}, value, inside_rows or INSIDE_ROWS)
-        )
+        part = {c: wanted[c] for c in chunk}
+        view = finite_view(df, chunk, value=value)
+        found |= _by_percentile(view, part) if small else _by_brackets(view, part, inside_rows or INSIDE_ROWS)
     return found
 
 
-def _by_percentile(df, wanted, value) -> dict[str, dict[float, float | None]]:
-    found = {}
-    for chunk in blocks(list(wanted), _BLOCK):
-        aggs = [
-            F.percentile(value(ref(name)), F.array(*[F.lit(float(p)) for p in wanted[name]])).alias(f"q{i}")
-            for i, name in enumerate(chunk)
-        ]
-        row = df.agg(*aggs).first()
-        for i, name in enumerate(chunk):
-            got = row[i] or [None] * len(wanted[name])
-            found[name] = dict(zip(wanted[name], got))
-    return found
+def _wide(df: DataFrame, exprs: Sequence[str]) -> Row:
+    return df.selectExpr(*[f"{e} AS a{i}" for i, e in enumerate(exprs)]).first()
+
 
+def _array(values: Sequence[float]) -> str:
+    return f"array({', '.join(map(number, values))})"
 
-@dataclass
+
+def _by_percentile(df: DataFrame, wanted: dict[str, list[float]]) -> Quantiles:
+    row = _wide(df, [f"percentile({quoted(c)}, {_array(ps)})" for c, ps in wanted.items()])
+    return {
+        c: dict(zip(ps, row[i] or [None] * len(ps))) for i, (c, ps) in enumerate(wanted.items())
+    }
+
+
+@dataclass(eq=False)
 class _Bracket:
-    """An open interval known to hold the wanted ranks unless an end does."""
+    """An interval proposed to hold the wanted ranks."""
 
     column: str
     p: float
     rows: int
     least: float
     most: float
-    lo: float
-    hi: float
+    lo: float = 0.0
+    hi: float = 0.0
     result: float | None = None
 
     def __post_init__(self) -> None:
@@ -84,107 +85,95 @@ class _Bracket:
         self.high_rank = math.ceil(position)
         self.part = position - self.low_rank
 
-    def finish(self, low: float, high: float) -> None:
-        self.result = low if low == high else low + (high - low) * self.part
-
-
-def _inside(x: Column, b: _Bracket) -> Column:
-    return (x > F.lit(b.lo)) & (x < F.lit(b.hi))
-
+    @property
+    def x(self) -> str:
+        return quoted(self.column)
 
-def _grid() -> list[float]:
-    return [i / GRID for i in range(GRID + 1)]
+    @property
+    def inside(self) -> str:
+        return f"{self.x} > {number(self.lo)} AND {self.x} < {number(self.hi)}"
 
+    def finish(self, low: float, high: float) -> None:
+        self.result = low if low == high else low + (high - low) * self.part
 
-def _sketch(x: Column) -> Column:
-    return F.percentile_approx(x, F.array(*[F.lit(p) for p in _grid()]), F.lit(10 * GRID))
+    def cell(self, grid: Sequence[float], below: int, count: int) -> tuple[float, float]:
+        """Ends of the grid cells around the wanted ranks among `count` values."""
+        first = math.floor((self.low_rank - below) / count * GRID) - 1
+        last = math.ceil((self.high_rank - below + 1) / count * GRID) + 1
+        return grid[max(first, 0)], grid[min(last, GRID)]
 
 
-def _cell(grid: list[float], below: int, count: int, b: _Bracket) -> tuple[float, float]:
-    """Ends of the grid cells around the wanted ranks among `count` values."""
-    first = max(math.floor((b.low_rank - below) / count * GRID) - 1, 0)
-    last = min(math.ceil((b.high_rank - below + 1) / count * GRID) + 1, GRID)
-    return grid[first], grid[last]
+def _sketch(x: str) -> str:
+    return f"percentile_approx({x}, {_array([i / GRID for i in range(GRID + 1)])}, {10 * GRID})"
 
 
-def _by_brackets(df, wanted, value, inside_rows) -> dict[str, dict[float, float | None]]:
-    names = list(wanted)
-    aggs = []
-    for name in names:
-        x = value(ref(name))
-        aggs.append(F.struct(F.count(x), F.min(x), F.max(x), _sketch(x)).alias(f"s{len(aggs)}"))
-    row = df.agg(*aggs).first()
-    found = {name: dict.fromkeys(wanted[name]) for name in names}
+def _by_brackets(df: DataFrame, wanted: dict[str, list[float]], inside_rows: int) -> Quantiles:
+    stats = lambda x: struct({"n": f"count({x})", "lo": f"min({x})", "hi": f"max({x})", "grid": _sketch(x)})
+    row = _wide(df, [stats(quoted(c)) for c in wanted])
+    found: Quantiles = {c: dict.fromkeys(ps) for c, ps in wanted.items()}
     pending: list[_Bracket] = []
-    for i, name in enumerate(names):
+    for i, (c, ps) in enumerate(wanted.items()):
         rows, least, most, grid = row[i]
-        for p in wanted[name] if rows else ():
-            b = _Bracket(name, p, rows, least, most, least, most)
-            b.lo, b.hi = _cell(grid, 0, rows, b)
+        for p in ps if rows else ():
+            b = _Bracket(c, p, rows, least, most)
+            b.lo, b.hi = b.cell(grid, 0, rows)
             pending.append(b)
     while pending:
-        pending = _narrow(df, pending, value, inside_rows, found)
+        still_open = _narrow(df, pending, inside_rows)
+        for b in pending:
+            if b not in still_open:
+                found[b.column][b.p] = b.result
+        pending = still_open
     return found
 
 
-def _narrow(df, pending, value, inside_rows, found) -> list[_Bracket]:
-    """One counting and sketching pass over all open brackets."""
-    aggs = []
-    for b in pending:
-        x = value(ref(b.column))
-        aggs.append(
-            F.struct(
-                F.count_if(x < F.lit(b.lo)),
-                F.count_if(x == F.lit(b.lo)),
-                F.count_if(_inside(x, b)),
-                F.count_if(x == F.lit(b.hi)),
-                _sketch(F.when(_inside(x, b), x)),
-            ).alias(f"s{len(aggs)}")
-        )
-    row = df.agg(*aggs).first()
-    still_open, to_fetch = [], []
+def _narrow(df: DataFrame, pending: Sequence[_Bracket], inside_rows: int) -> list[_Bracket]:
+    """One counting and sketching pass; returns the brackets that stay open."""
+    counts = lambda b: struct(
+        {
+            "below": f"count_if({b.x} < {number(b.lo)})",
+            "on_lo": f"count_if({b.x} = {number(b.lo)})",
+            "inside": f"count_if({b.inside})",
+            "on_hi": f"count_if({b.x} = {number(b.hi)})",
+            "grid": _sketch(f"CASE WHEN {b.inside} THEN {b.x} END"),
+        }
+    )
+    row = _wide(df, [counts(b) for b in pending])
+    still_open, listed = [], []
     for i, b in enumerate(pending):
         below, on_lo, inside, on_hi, grid = row[i]
-        on_hi = 0 if b.hi == b.lo else on_hi
-        start, end = below + on_lo, below + on_lo + inside
-        if b.low_rank < below:  # the sketch missed: widen to the proven side
+        start = below + on_lo
+        end = start + inside
+        top = end if b.lo == b.hi else end + on_hi
+        if b.low_rank < below:  # the sketch missed: go on from the side proven by the count
             b.lo, b.hi = b.least, b.lo
             still_open.append(b)
-        elif b.high_rank >= end + on_hi:
+        elif b.high_rank >= top:
             b.lo, b.hi = b.hi, b.most
             still_open.append(b)
         elif inside == 0 or b.high_rank < start or b.low_rank >= end:
-            low = b.lo if b.low_rank < start else b.hi
-            high = b.lo if b.high_rank < start else b.hi
-            b.finish(low, high)
+            b.finish(b.lo if b.low_rank < start else b.hi, b.lo if b.high_rank < start else b.hi)
         elif inside <= inside_rows:
-            to_fetch.append((b, start, end))
+            listed.append((b, start, end))
         else:
-            new_lo, new_hi = _cell(grid, start, inside, b)
-            b.lo = b.lo if b.low_rank < start else new_lo
-            b.hi = b.hi if b.high_rank >= end else new_hi
+            lo, hi = b.cell(grid, start, inside)
+            b.lo = b.lo if b.low_rank < start else lo
+            b.hi = b.hi if b.high_rank >= end else hi
             still_open.append(b)
-    if to_fetch:
-        _fetch(df, to_fetch, value)
-    for b in pending:
-        if b not in still_open:
-            found[b.column][b.p] = b.result
+    if listed:
+        _pick(df, listed)
     return still_open
 
 
-def _fetch(df, to_fetch, value) -> None:
-    """Pick the ranked values out of the few rows a bracket still holds."""
-    aggs = []
-    for b, start, end in to_fetch:
-        x = value(ref(b.column))
-        ranked = F.sort_array(F.collect_list(F.when(_inside(x, b), x)))
-        low, high = b.low_rank - start + 1, b.high_rank - start + 1
-        aggs.append(
-            F.struct(
-                F.get(ranked, F.lit(low - 1)) if low >= 1 else F.lit(b.lo),
-                F.get(ranked, F.lit(high - 1)) if b.high_rank < end else F.lit(b.hi),
-            ).alias(f"s{len(aggs)}")
+def _pick(df: DataFrame, listed: Sequence[tuple[_Bracket, int, int]]) -> None:
+    """Read the ranked values out of the counted few a bracket still holds."""
+    def ends(b: _Bracket, start: int, end: int) -> str:
+        ranked = f"sort_array(collect_list(CASE WHEN {b.inside} THEN {b.x} END))"
+        at = lambda rank: (
+            number(b.lo) if rank < start else number(b.hi) if rank >= end else f"get({ranked}, {rank - start})"
         )
-    row = df.agg(*aggs).first()
-    for i, (b, _, _) in enumerate(to_fetch):
+        return struct({"low": at(b.low_rank), "high": at(b.high_rank)})
+
+    row = _wide(df, [ends(*item) for item in listed])
+    for i, (b, _, _) in enumerate(listed):
         b.finish(*row[i])

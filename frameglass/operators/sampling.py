@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kinds import ref
+from ..functions.sql import quoted
 
 SAMPLE_ROWS = 100_000
 SEED = 42
@@ -16,8 +16,8 @@ SEED = 42
 
 def sample_key(key: Sequence[str], seed: int = SEED) -> Column:
     """A hex digest of the row key and the seed; its order is the sampling order."""
-    text = [ref(c).cast("string") for c in key]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *text))
+    text = ", ".join(f"CAST({quoted(c)} AS STRING)" for c in key)
+    return F.expr(f"md5(concat_ws('|', '{seed}', {text}))")
 
 
 def row_sample(
@@ -41,4 +41,4 @@ def row_sample(
             keyed = near
             break
         share = min(1.0, share * 2)
-    return keyed.orderBy("__digest", *[ref(c) for c in key]).limit(n).drop("__digest")
+    return keyed.orderBy("__digest", *map(quoted, key)).limit(n).drop("__digest")

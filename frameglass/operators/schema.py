@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import normalise, ref
+from ..functions.kinds import normalise
 from ..functions.numbers import share_pct
+from ..functions.sql import quoted
 from .tidy import per_column
 
 # Bytes a value of each fixed-width type takes.
@@ -29,19 +30,18 @@ def table_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
 
 
-def _bytes_of(field: T.StructField) -> Column:
-    kind = field.dataType.simpleString()
+def _bytes_of(field: T.StructField) -> str:
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.sum(F.octet_length(ref(field.name))), F.lit(0))
-    return F.count(F.lit(1)) * _WIDTH.get(kind, 16)
+        return f"coalesce(sum(octet_length({quoted(field.name)})), 0)"
+    return f"count(1) * {_WIDTH.get(field.dataType.simpleString(), 16)}"
 
 
 def logical_size(df: DataFrame) -> DataFrame:
     """(logical_bytes, logical_mb): fixed widths plus string bytes, nulls at their width."""
     flat = normalise(df)
-    total = sum((_bytes_of(f) for f in flat.schema), F.lit(0)).cast("bigint")
-    return flat.agg(total.alias("logical_bytes")).withColumn(
-        "logical_mb", F.col("logical_bytes") / F.lit(1024.0 * 1024.0)
+    total = " + ".join(_bytes_of(f) for f in flat.schema)
+    return flat.selectExpr(f"CAST({total} AS BIGINT) AS logical_bytes").selectExpr(
+        "logical_bytes", "logical_bytes / (1024.0D * 1024.0D) AS logical_mb"
     )
 
 
@@ -59,7 +59,7 @@ def column_types(df: DataFrame) -> DataFrame:
     named = flat.sparkSession.createDataFrame(
         rows, "column string, ordinal int, dtype string, label string"
     )
-    filled = per_column(flat, flat.columns, lambda c: [F.count(ref(c)).alias("n")])
+    filled = per_column(flat, flat.columns, lambda c, x: {"n": f"count({x})"})
     label = F.when((F.col("n") == 0) & (F.col("label") == "string"), "empty").otherwise(F.col("label"))
     return named.join(filled, "column").select(
         "column", "ordinal", "dtype", label.alias("inferred_type")
@@ -69,13 +69,12 @@ def column_types(df: DataFrame) -> DataFrame:
 def null_counts(df: DataFrame, only_missing: bool = True) -> DataFrame:
     """(column, null_count, null_pct of all rows); columns without nulls are left out."""
     flat = normalise(df)
-    missing = lambda c: F.count(F.lit(1)) - F.count(ref(c))
     tidy = per_column(
         flat,
         flat.columns,
-        lambda c: [
-            missing(c).alias("null_count"),
-            share_pct(missing(c), F.count(F.lit(1))).alias("null_pct"),
-        ],
+        lambda c, x: {
+            "null_count": f"count_if({x} IS NULL)",
+            "null_pct": share_pct(f"count_if({x} IS NULL)", "count(1)"),
+        },
     )
     return tidy.where("null_count > 0") if only_missing else tidy

@@ -13,12 +13,13 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.kinds import categorical_columns, datetime_columns, ref
-from .tidy import per_column, union_all
+from ..functions import sql
+from ..functions.kinds import categorical_columns, datetime_columns
+from .tidy import per_column
 
 DETECT_SHARE = 0.8
 DAY = 86_400_000_000
@@ -43,29 +44,31 @@ FORMATS = (
 )
 
 
-def _parse(text: Column, index: int) -> Column:
+def _parse(x: str, index: int) -> str:
     """The text in one format; the pattern gate keeps the costly parse off other texts."""
     pattern, fmt = FORMATS[index]
-    hit = F.when(text.rlike(f"^({pattern})$"), text)
+    hit = f"CASE WHEN {x} RLIKE {sql.text(f'^({pattern})$')} THEN {x} END"
     if fmt == ISO:
-        return hit.try_cast("timestamp_ntz")
-    return F.try_to_timestamp(hit, F.lit(fmt)).cast("timestamp_ntz")
+        return f"try_cast({hit} AS TIMESTAMP_NTZ)"
+    return f"CAST(try_to_timestamp({hit}, {sql.text(fmt)}) AS TIMESTAMP_NTZ)"
 
 
-def _parses(text: Column) -> Column:
-    return F.coalesce(*[_parse(text, i) for i in range(len(FORMATS))]).isNotNull()
+def _parses(x: str) -> str:
+    return f"coalesce({', '.join(_parse(x, i) for i in range(len(FORMATS)))}) IS NOT NULL"
 
 
 def detect_datetime(df: DataFrame, threshold: float = DETECT_SHARE) -> DataFrame:
     """(column, parsed_share, is_datetime): typed columns, or texts of which 80 % of all rows parse."""
-    texts = categorical_columns(df)
-    typed = datetime_columns(df)
-    one = F.lit(1.0)
-    shares = {c: F.avg(_parses(ref(c)).cast("double")) for c in texts}
-    shares |= {c: F.max(one) for c in typed}
-    shares |= {c: F.max(F.lit(0.0)) for c in df.columns if c not in shares}
-    tidy = per_column(df, df.columns, lambda c: [F.coalesce(shares[c], F.lit(0.0)).alias("parsed_share")])
-    return tidy.withColumn("is_datetime", F.col("parsed_share") >= threshold)
+    texts, typed = set(categorical_columns(df)), set(datetime_columns(df))
+
+    def share(c: str, x: str) -> dict[str, str]:
+        if c in texts:
+            return {"parsed_share": f"coalesce(try_divide(count_if({_parses(x)}), count(1)), 0.0D)"}
+        return {"parsed_share": f"coalesce(max({1.0 if c in typed else 0.0}D), 0.0D)"}
+
+    return per_column(df, df.columns, share).selectExpr(
+        "column", "parsed_share", f"parsed_share >= {threshold} AS is_datetime"
+    )
 
 
 def detected_columns(df: DataFrame, threshold: float = DETECT_SHARE) -> list[str]:
@@ -77,61 +80,59 @@ def choose_formats(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """Per text column, the index of the one format that reads most rows."""
     if not cols:
         return {}
-    counts = per_column(
-        df, cols, lambda c: [F.array(*[F.count(_parse(ref(c), i)) for i in range(len(FORMATS))]).alias("hits")]
-    )
-    return {r["column"]: max(range(len(FORMATS)), key=lambda i: (r["hits"][i], -i)) for r in counts.collect()}
+    hits = lambda c, x: {
+        "hits": f"array({', '.join(f'count({_parse(x, i)})' for i in range(len(FORMATS)))})"
+    }
+    rows = per_column(df, cols, hits).collect()
+    return {r["column"]: max(range(len(FORMATS)), key=lambda i: (r["hits"][i], -i)) for r in rows}
 
 
 def parse_datetimes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """`df` with the text columns of `cols` read by their main format; other texts become null."""
     texts = [c for c in cols if c in set(categorical_columns(df))]
     chosen = choose_formats(df, texts)
-    return df.select(*[
-        _parse(ref(c), chosen[c]).alias(c) if c in chosen else ref(c) for c in df.columns
-    ])
+    return df.withColumns({c: F.expr(_parse(sql.quoted(c), i)) for c, i in chosen.items()}) if chosen else df
 
 
-def micros(col: Column, dtype: T.DataType) -> Column:
+def micros(x: str, dtype: T.DataType) -> str:
     """Microseconds since 1970; zone-less stamps are read as they stand."""
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(col)
-    days = F.unix_date(col.cast("date")).cast("bigint") * DAY
+        return f"unix_micros({x})"
+    days = f"CAST(unix_date(CAST({x} AS DATE)) AS BIGINT) * {DAY}L"
     if isinstance(dtype, T.DateType):
         return days
-    seconds = (F.extract(F.lit("SECOND"), col) * 1_000_000).cast("bigint")
-    return days + F.hour(col) * F.lit(HOUR) + F.minute(col) * F.lit(60_000_000) + seconds
+    seconds = f"CAST(extract(SECOND FROM {x}) * 1000000 AS BIGINT)"
+    return f"{days} + hour({x}) * {HOUR}L + minute({x}) * 60000000L + {seconds}"
 
 
-def whole_days(us: Column) -> Column:
-    """Whole days in a span, rounded down. A multiple of a day divides without rounding."""
-    return ((us - F.pmod(us, F.lit(DAY))) / F.lit(DAY)).cast("bigint")
+def whole_days(us: str) -> str:
+    """Whole days in a span of microseconds, rounded down."""
+    return f"(({us}) - pmod({us}, {DAY}L)) div {DAY}L"
 
 
 def _stamps(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, m): the non-null stamps of all columns as microseconds."""
     kinds = {f.name: f.dataType for f in df.schema}
-    cells = [F.struct(F.lit(c).alias("column"), micros(ref(c), kinds[c]).alias("m")) for c in cols]
-    return df.select(F.inline(F.array(*cells))).where("m IS NOT NULL")
+    cells = [sql.struct({"column": sql.text(c), "m": micros(sql.quoted(c), kinds[c])}) for c in cols]
+    return df.selectExpr(sql.rows(cells)).where("m IS NOT NULL")
 
 
 def day_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, day, first, last, cnt): at most one row per calendar day and column."""
     return (
         _stamps(df, cols)
-        .groupBy("column", whole_days(F.col("m")).alias("day"))
+        .groupBy("column", F.expr(whole_days("m")).alias("day"))
         .agg(F.min("m").alias("first"), F.max("m").alias("last"), F.count(F.lit(1)).alias("cnt"))
     )
 
 
 def date_ranges(days: DataFrame) -> DataFrame:
     """(column, n, min_us, max_us, date_range_days) from the day table; elapsed whole days."""
-    span = F.max("last") - F.min("first")
     return days.groupBy("column").agg(
         F.sum("cnt").alias("n"),
         F.min("first").alias("min_us"),
         F.max("last").alias("max_us"),
-        whole_days(span).alias("date_range_days"),
+        F.expr(whole_days("max(last) - min(first)")).alias("date_range_days"),
     )
 
 
@@ -144,9 +145,10 @@ def day_gaps(days: DataFrame) -> DataFrame:
     # The window sorts calendar days, never raw rows.
     before = F.lag("last").over(Window.partitionBy("column").orderBy("day"))
     step = days.withColumn("before", before)
-    gap = whole_days(F.col("first") - F.col("before"))
-    across = step.where("before IS NOT NULL").select("column", gap.alias("gap_days"), F.lit(1).cast("bigint").alias("cnt"))
-    within = days.where("cnt > 1").select("column", F.lit(0).cast("bigint").alias("gap_days"), (F.col("cnt") - 1).alias("cnt"))
+    across = step.where("before IS NOT NULL").selectExpr(
+        "column", f"{whole_days('first - before')} AS gap_days", "1L AS cnt"
+    )
+    within = days.where("cnt > 1").selectExpr("column", "0L AS gap_days", "cnt - 1 AS cnt")
     return across.unionByName(within).groupBy("column", "gap_days").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -154,19 +156,15 @@ def seasonality_hints(days: DataFrame) -> DataFrame:
     """(column, seasonality_hint) from the most common gap; ties to the smaller gap."""
     gaps = day_gaps(days)
     best = gaps.groupBy("column").agg(
-        F.min_by("gap_days", F.struct((-F.col("cnt")).alias("c"), F.col("gap_days").alias("g"))).alias("gap"),
-        F.sum("cnt").alias("steps"),
+        F.expr("min_by(gap_days, struct(-cnt, gap_days))").alias("gap"), F.sum("cnt").alias("steps")
     )
     hint = (
-        F.when(F.col("steps") < 9, "unknown")
-        .when(F.col("gap") == 1, "daily")
-        .when(F.col("gap") == 7, "weekly")
-        .when(F.col("gap").between(28, 31), "monthly")
-        .otherwise("unknown")
+        "CASE WHEN steps < 9 THEN 'unknown' WHEN gap = 1 THEN 'daily' WHEN gap = 7 THEN 'weekly' "
+        "WHEN gap BETWEEN 28 AND 31 THEN 'monthly' ELSE 'unknown' END"
     )
     columns = days.select("column").distinct()
-    return columns.join(F.broadcast(best), "column", "left").select(
-        "column", F.coalesce(hint, F.lit("unknown")).alias("seasonality_hint")
+    return columns.join(F.broadcast(best), "column", "left").selectExpr(
+        "column", f"coalesce({hint}, 'unknown') AS seasonality_hint"
     )
 
 
@@ -199,35 +197,36 @@ class _Span:
         return (self.hi - self.lo) // (self.n - 1) if (self.hi - self.lo) % (self.n - 1) == 0 else None
 
 
-def _fact_columns(span: _Span) -> list[Column]:
-    """Aggregates that decide every calendar rule, given n, the first and the last stamp."""
-    m = F.col("m")
-    date = F.date_from_unix_date(whole_days(m).cast("int"))
-    dom, weekday = F.day(date), F.weekday(date)
-    month = F.year(date) * 12 + F.month(date) - 1
-    from_end = F.day(F.last_day(date)) - dom
+def _calendar_facts(df: DataFrame, column: str, span: _Span):
+    """One row of aggregates that decides every calendar rule, given n, first and last stamp."""
     first_month, last_month = _month_index(stamp(span.lo)), _month_index(stamp(span.hi))
-    month_step = (last_month - first_month) // (span.n - 1)
-    even_months = month_step >= 1 and month_step * (span.n - 1) == last_month - first_month
-    offset = m - F.lit(span.lo)
-    on_grid = F.bool_and(offset % F.lit(span.step) == 0) if span.step else F.lit(False)
-    return [
-        F.coalesce(on_grid, F.lit(False)).alias("on_grid"),
-        F.bool_and(offset % F.lit(DAY) == 0).alias("whole_days"),
-        F.bool_and(offset % F.lit(HOUR) == 0).alias("whole_hours"),
-        F.min(weekday).alias("weekday_lo"),
-        F.max(weekday).alias("weekday_hi"),
-        F.array_sort(F.collect_set(((dom - 1) / 7).cast("int"))).alias("weeks"),
-        F.bool_and(dom == 1).alias("cs"),
-        F.bool_and((dom == 1) | ((dom <= 3) & (weekday == 0))).alias("bs"),
-        F.bool_and(from_end == 0).alias("ce"),
-        F.bool_and((from_end == 0) | ((from_end < 3) & (weekday == 4))).alias("be"),
-        (
-            F.bool_and((month - F.lit(first_month)) % F.lit(month_step) == 0) if even_months else F.max(F.lit(False))
-        ).alias("on_month_grid"),
-        F.count_distinct(month).alias("months"),
-        F.lit(month_step).alias("month_step"),
-    ]
+    step = (last_month - first_month) // (span.n - 1)
+    even_months = step >= 1 and step * (span.n - 1) == last_month - first_month
+    dated = _stamps(df, [column]).selectExpr(
+        f"m - {span.lo}L AS offset", f"date_from_unix_date(CAST({whole_days('m')} AS INT)) AS date"
+    )
+    parts = dated.selectExpr(
+        "offset",
+        "day(date) AS dom",
+        "weekday(date) AS wd",
+        "year(date) * 12 + month(date) - 1 AS month",
+        "day(last_day(date)) - day(date) AS from_end",
+    )
+    return parts.selectExpr(
+        f"coalesce(bool_and(offset % {span.step}L = 0), FALSE) AS on_grid" if span.step else "max(FALSE) AS on_grid",
+        f"bool_and(offset % {DAY}L = 0) AS whole_days",
+        f"bool_and(offset % {HOUR}L = 0) AS whole_hours",
+        "min(wd) AS weekday_lo",
+        "max(wd) AS weekday_hi",
+        "array_sort(collect_set((dom - 1) div 7)) AS weeks",
+        "bool_and(dom = 1) AS cs",
+        "bool_and(dom = 1 OR (dom <= 3 AND wd = 0)) AS bs",
+        "bool_and(from_end = 0) AS ce",
+        "bool_and(from_end = 0 OR (from_end < 3 AND wd = 4)) AS be",
+        f"bool_and((month - {first_month}) % {step} = 0) AS on_month_grid" if even_months else "max(FALSE) AS on_month_grid",
+        "count(DISTINCT month) AS months",
+        f"max({step}) AS month_step",
+    ).first()
 
 
 def _calendar_label(fact, span: _Span) -> str | None:
@@ -277,9 +276,8 @@ def _is_business_hours(df: DataFrame, column: str) -> bool:
     Only reached when all stamps are whole hours apart: at most 24 a calendar day.
     """
     hours = _stamps(df, [column]).select("m").distinct()
-    step = F.col("m") - F.lag("m").over(Window.orderBy("m"))
-    found = hours.select((step / F.lit(HOUR)).cast("bigint").alias("h")).where("h IS NOT NULL").distinct()
-    return sorted(r["h"] for r in found.limit(4).collect()) in ([1, 17], [1, 65], [1, 17, 65])
+    steps = hours.selectExpr(f"(m - lag(m) OVER (ORDER BY m)) div {HOUR}L AS h").where("h IS NOT NULL")
+    return sorted(r["h"] for r in steps.distinct().limit(4).collect()) in ([1, 17], [1, 65], [1, 17, 65])
 
 
 def infer_frequencies(df: DataFrame, cols: Sequence[str], ranges: dict | None = None) -> dict[str, str | None]:
@@ -292,7 +290,7 @@ def infer_frequencies(df: DataFrame, cols: Sequence[str], ranges: dict | None =
     labels: dict[str, str | None] = dict.fromkeys(cols)
     if not spans:
         return labels
-    facts = {c: _stamps(df, [c]).agg(*_fact_columns(span)).first() for c, span in spans.items()}
+    facts = {c: _calendar_facts(df, c, span) for c, span in spans.items()}
     # Distinct stamps are only counted where a regular series is still possible.
     open_cols = [c for c, f in facts.items() if f["on_grid"] or f["whole_days"] or f["whole_hours"]]
     if not open_cols:
@@ -340,10 +338,10 @@ def expected_step_gaps(df: DataFrame, column: str, step_us: int) -> DataFrame:
     Extension for irregular series, where no frequency can be inferred.
     """
     stamps = _stamps(df, [column]).distinct()
-    expected = F.expr(f"(max(m) - min(m)) div {step_us}") + 1
     return stamps.groupBy("column").agg(
-        expected.cast("bigint").alias("expected"), F.count(F.lit(1)).alias("present")
-    ).withColumn("gaps", F.greatest(F.col("expected") - F.col("present"), F.lit(0)))
+        F.expr(f"(max(m) - min(m)) div {step_us}L + 1").alias("expected"),
+        F.count(F.lit(1)).alias("present"),
+    ).withColumn("gaps", F.expr("greatest(expected - present, 0L)"))
 
 
 PROFILE_SCHEMA = (

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
+from ..functions import sql
 from ..functions.kinds import blocks
 
 WIDE_BLOCK = 32
@@ -20,10 +20,10 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
 def per_column(
     df: DataFrame,
     cols: Sequence[str],
-    metrics: Callable[[str], list[Column]],
+    metrics: Callable[[str, str], dict[str, str]],
     block: int = WIDE_BLOCK,
 ) -> DataFrame:
-    """`metrics(name)` gives the named aggregates of one column.
+    """`metrics(name, x)` gives the aggregates of one column as SQL text; `x` refers to it.
 
     All columns of a block share one pass without a data shuffle. Wide tables are
     cut into blocks; as each scan reads only its own columns, the bytes read stay
@@ -33,10 +33,11 @@ def per_column(
         raise ValueError("per_column needs at least one column")
     parts = []
     for chunk in blocks(cols, block):
-        rows = [
-            F.struct(F.lit(name).alias("column"), *metrics(name)).alias(f"row_{i}")
-            for i, name in enumerate(chunk)
-        ]
-        wide = df.agg(*rows)
-        parts.append(wide.select(F.inline(F.array(*[F.col(f"row_{i}") for i in range(len(chunk))]))))
+        wide = df.selectExpr(
+            *[
+                f"{sql.struct({'column': sql.text(c), **metrics(c, sql.quoted(c))})} AS row_{i}"
+                for i, c in enumerate(chunk)
+            ]
+        )
+        parts.append(wide.selectExpr(sql.rows([f"row_{i}" for i in range(len(chunk))])))
     return union_all(parts)

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kinds import CLASS_TYPE, by_class, ref
-from .tidy import union_all
+from ..functions import sql
+from ..functions.kinds import CLASS_TYPE, by_class
+from .tidy import per_column, union_all
 
 
 def long_values(
@@ -23,9 +24,11 @@ def long_values(
         if len(groups) != 1:
             raise ValueError(f"columns of one type class expected, got {sorted(groups)}")
         cast = CLASS_TYPE[next(iter(groups))]
-    keys = [F.struct(*[ref(name) for name in order_by]).alias("ord")] if order_by else []
-    cells = [F.struct(F.lit(n).alias("column"), ref(n).cast(cast).alias("value")) for n in cols]
-    return df.select(*keys, F.inline(F.array(*cells)))
+    keys = [f"struct({', '.join(map(sql.quoted, order_by))}) AS ord"] if order_by else []
+    cells = [
+        sql.struct({"column": sql.text(c), "value": f"CAST({sql.quoted(c)} AS {cast})"}) for c in cols
+    ]
+    return df.selectExpr(*keys, sql.rows(cells))
 
 
 def value_counts(
@@ -52,9 +55,7 @@ def value_counts(
 def n_unique(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
     """(column, n_unique): exact distinct non-null values, or a sketch on request."""
     if approximate:
-        from .tidy import per_column
-
-        return per_column(df, cols, lambda c: [F.approx_count_distinct(ref(c)).alias("n_unique")])
+        return per_column(df, cols, lambda c, x: {"n_unique": f"approx_count_distinct({x})"})
     parts = [
         value_counts(df, names).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
         for names in by_class(df, cols).values()

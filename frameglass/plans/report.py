@@ -102,7 +102,7 @@ def _profile(spark, flat, source, order_by, normality_key) -> Profile:
     fences = fit_fences(flat, numbers) if numbers else {}
     s["numeric"] = settle(numeric_profile(flat, numbers, fences=fences)) if numbers else empty("numeric")
     s["categorical"] = settle(categorical_profile(flat, texts)) if texts else empty("categorical")
-    s["top_values"] = settle(top_values(flat, texts)) if texts else empty("top_values")
+    s["top_values"] = settle(top_values(flat, texts, order_by=order_by)) if texts else empty("top_values")
     s["datetime"] = settle(datetime_profile(flat))
     s["pearson"] = settle(pearson_pairs(flat, numbers)) if numbers else spark.createDataFrame([], PAIR_SCHEMA)
     s["cramers_v"] = settle(cramers_v_pairs(flat, texts))
@@ -128,7 +128,7 @@ def _distributions(numeric: DataFrame, tests: DataFrame, fences) -> DataFrame:
     )
     return (
         numeric.where("n > 0")
-        .select("column", "n", shape_hint(F.col("skewness")).alias("shape"), "outlier_count", "outlier_pct")
+        .selectExpr("column", "n", f"{shape_hint('skewness')} AS shape", "outlier_count", "outlier_pct")
         .join(tests.select("column", "method", "p_value", "is_normal"), "column", "left")
         .join(limits, "column")
     )

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..functions import sql
 from ..functions.kinds import ref
 from ..operators.tidy import per_column
 
@@ -20,23 +20,23 @@ NA_TOKENS = (
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-_BOOLEANS = ("True", "False", "TRUE", "FALSE", "true", "false")
 
 
-def as_integer(text: Column) -> Column:
-    return F.when(text.rlike(_INTEGER), F.trim(text)).try_cast("bigint")
+def _as_integer(x: str) -> str:
+    return f"try_cast(CASE WHEN {x} RLIKE {sql.text(_INTEGER)} THEN trim({x}) END AS BIGINT)"
 
 
-def as_double(text: Column) -> Column:
+def _as_double(x: str) -> str:
     """Decimal notation or infinity; texts only Java reads as numbers (`1d`) stay texts."""
-    return F.when(text.rlike(_DECIMAL) | text.rlike(_INFINITE), F.trim(text)).try_cast("double")
+    known = f"{x} RLIKE {sql.text(_DECIMAL)} OR {x} RLIKE {sql.text(_INFINITE)}"
+    return f"try_cast(CASE WHEN {known} THEN trim({x}) END AS DOUBLE)"
 
 
-def as_boolean(text: Column) -> Column:
-    return F.when(text.isin(*_BOOLEANS), F.lower(text)).try_cast("boolean")
+def _as_boolean(x: str) -> str:
+    return f"CASE WHEN {x} IN ('True', 'TRUE', 'true') THEN TRUE WHEN {x} IN ('False', 'FALSE', 'false') THEN FALSE END"
 
 
-_READERS = {"bigint": as_integer, "double": as_double, "boolean": as_boolean}
+_READERS = {"bigint": _as_integer, "double": _as_double, "boolean": _as_boolean}
 
 
 def read_texts(
@@ -45,9 +45,9 @@ def read_texts(
     """All columns as text, missing tokens as null."""
     settings = {"header": True, "multiLine": multiline, "escape": '"', "encoding": "UTF-8", **options}
     raw = spark.read.options(**settings).csv(path)
-    return raw.select(
-        *[F.when(~ref(c).isin(*NA_TOKENS), ref(c)).alias(c) for c in raw.columns]
-    )
+    tokens = ", ".join(map(sql.text, NA_TOKENS))
+    names = [sql.quoted(c) for c in raw.columns]
+    return raw.selectExpr(*[f"CASE WHEN {x} NOT IN ({tokens}) THEN {x} END AS {x}" for x in names])
 
 
 def infer_types(texts: DataFrame) -> dict[str, str]:
@@ -55,21 +55,20 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
 
     One aggregate over all columns. A column without values becomes double.
     """
-    def metrics(c: str) -> list[Column]:
-        hits = [F.count(read(ref(c))).alias(kind) for kind, read in _READERS.items()]
-        return [F.count(ref(c)).alias("n"), *hits]
-
+    hits = lambda c, x: {"n": f"count({x})", **{k: f"count({read(x)})" for k, read in _READERS.items()}}
     chosen = {}
-    for row in per_column(texts, texts.columns, metrics).collect():
+    for row in per_column(texts, texts.columns, hits).collect():
         fits = [kind for kind in _READERS if row[kind] == row["n"]]
         chosen[row["column"]] = "double" if row["n"] == 0 else (fits[0] if fits else "string")
     return chosen
 
 
 def apply_types(texts: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    return texts.select(
-        *[(_READERS[kinds[c]](ref(c)) if kinds[c] in _READERS else ref(c)).alias(c) for c in texts.columns]
-    )
+    exprs = []
+    for c in texts.columns:
+        x = sql.quoted(c)
+        exprs.append(f"{_READERS[kinds[c]](x)} AS {x}" if kinds[c] in _READERS else x)
+    return texts.selectExpr(*exprs)
 
 
 def read_csv(

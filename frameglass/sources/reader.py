@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import sql
 from ..functions.kinds import ref
 from .csv import read_csv
 from .nested import read_json, read_jsonl
@@ -90,14 +91,9 @@ def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 def null_safe(df: DataFrame) -> DataFrame:
     """NaN and infinite values become null, as the output formats cannot hold them."""
-    out = []
-    for field in df.schema:
-        col = ref(field.name)
-        if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-            ok = ~F.isnan(col) & (F.abs(col) < F.lit(float("inf")))
-            col = F.when(ok, col).alias(field.name)
-        out.append(col)
-    return df.select(*out)
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    keep = lambda x: f"CASE WHEN NOT isnan({x}) AND abs({x}) < DOUBLE('Infinity') THEN {x} END"
+    return df.withColumns({c: F.expr(keep(sql.quoted(c))) for c in floats}) if floats else df
 
 
 def preview(df: DataFrame, order_by: Sequence[str] = (), n: int = PREVIEW_ROWS) -> DataFrame:
@@ -106,9 +102,8 @@ def preview(df: DataFrame, order_by: Sequence[str] = (), n: int = PREVIEW_ROWS)
     return null_safe(rows.limit(n))
 
 
-def _looks_numeric(text: Column) -> Column:
-    number = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?Infinity|0[xX][0-9a-fA-F]+|)\s*$"
-    return text.rlike(number)
+_DATE_TEXT = r"\d{4}-\d{2}-\d{2}"
+_NUMBER_TEXT = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?Infinity|0[xX][0-9a-fA-F]+|)\s*$"
 
 
 def infer_column_kinds(df: DataFrame, order_by: Sequence[str] = (), n: int = KIND_ROWS) -> DataFrame:
@@ -117,21 +112,26 @@ def infer_column_kinds(df: DataFrame, order_by: Sequence[str] = (), n: int = KIN
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     logical = {f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)}
     cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            ref(c).cast("string").alias("text"),
-            F.lit(c in numeric).alias("number"),
-            F.lit(c in logical).alias("flag"),
+        sql.struct(
+            {
+                "column": sql.text(c),
+                "text": f"CAST({sql.quoted(c)} AS STRING)",
+                "number": str(c in numeric).upper(),
+                "flag": str(c in logical).upper(),
+            }
         )
         for c in df.columns
     ]
-    long = sample.select(F.inline(F.array(*cells)))
-    text, filled = F.col("text"), F.col("text").isNotNull()
-    number_like = F.col("number") | (~F.col("flag") & _looks_numeric(text))
-    kind = (
-        F.when(F.count(text) == 0, "unknown")
-        .when(F.bool_and(F.when(filled, number_like)), "numeric")
-        .when(F.bool_or(F.when(filled, text.rlike(r"\d{4}-\d{2}-\d{2}"))), "datetime")
-        .otherwise("categorical")
+    number_like = f"number OR (NOT flag AND text RLIKE {sql.text(_NUMBER_TEXT)})"
+    dated = f"text RLIKE {sql.text(_DATE_TEXT)}"
+    return (
+        sample.selectExpr(sql.rows(cells))
+        .groupBy("column")
+        .agg(
+            F.expr(
+                "CASE WHEN count(text) = 0 THEN 'unknown' "
+                f"WHEN bool_and(CASE WHEN text IS NOT NULL THEN {number_like} END) THEN 'numeric' "
+                f"WHEN bool_or({dated}) THEN 'datetime' ELSE 'categorical' END"
+            ).alias("kind")
+        )
     )
-    return long.groupBy("column").agg(kind.alias("kind"))
