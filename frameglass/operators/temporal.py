@@ -9,11 +9,10 @@ from the first one are a full grid.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,19 +109,17 @@ def whole_days(us: str) -> str:
     return f"(({us}) - pmod({us}, {DAY}L)) div {DAY}L"
 
 
-def _stamps(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def stamps_of(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, m): the non-null stamps of all columns as microseconds."""
     kinds = {f.name: f.dataType for f in df.schema}
     cells = [sql.struct({"column": sql.text(c), "m": micros(sql.quoted(c), kinds[c])}) for c in cols]
     return df.selectExpr(sql.rows(cells)).where("m IS NOT NULL")
 
 
-def day_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def day_table(stamps: DataFrame) -> DataFrame:
     """(column, day, first, last, cnt): at most one row per calendar day and column."""
-    return (
-        _stamps(df, cols)
-        .groupBy("column", F.expr(whole_days("m")).alias("day"))
-        .agg(F.min("m").alias("first"), F.max("m").alias("last"), F.count(F.lit(1)).alias("cnt"))
+    return stamps.groupBy("column", F.expr(whole_days("m")).alias("day")).agg(
+        F.min("m").alias("first"), F.max("m").alias("last"), F.count(F.lit(1)).alias("cnt")
     )
 
 
@@ -177,67 +174,72 @@ def stamp(us: int) -> datetime:
     return _EPOCH + timedelta(microseconds=us)
 
 
-def _month_index(at: datetime) -> int:
-    return at.year * 12 + at.month - 1
-
-
 def _counted(label: str, step: int) -> str:
     return label if step == 1 else f"{step}{label}"
 
 
-@dataclass(frozen=True)
-class _Span:
-    n: int
-    lo: int
-    hi: int
+def _month_number(date: str) -> str:
+    return f"(year({date}) * 12 + month({date}) - 1)"
 
-    @property
-    def step(self) -> int | None:
-        """The only step at which n distinct stamps can fill the span."""
-        return (self.hi - self.lo) // (self.n - 1) if (self.hi - self.lo) % (self.n - 1) == 0 else None
 
+def calendar_facts(stamps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row per column of aggregates that decide every calendar rule.
 
-def _calendar_facts(df: DataFrame, column: str, span: _Span):
-    """One row of aggregates that decides every calendar rule, given n, first and last stamp."""
-    first_month, last_month = _month_index(stamp(span.lo)), _month_index(stamp(span.hi))
-    step = (last_month - first_month) // (span.n - 1)
-    even_months = step >= 1 and step * (span.n - 1) == last_month - first_month
-    dated = _stamps(df, [column]).selectExpr(
-        f"m - {span.lo}L AS offset", f"date_from_unix_date(CAST({whole_days('m')} AS INT)) AS date"
-    )
-    parts = dated.selectExpr(
-        "offset",
-        "day(date) AS dom",
-        "weekday(date) AS wd",
-        "year(date) * 12 + month(date) - 1 AS month",
-        "day(last_day(date)) - day(date) AS from_end",
+    `ranges` holds n, first and last stamp of each column, so it is small enough to
+    broadcast. With them the only candidate step is known beforehand, and a row can
+    be tested on its own.
+    """
+    day_of = lambda us: f"date_from_unix_date(CAST({whole_days(us)} AS INT))"
+    first, last = _month_number(day_of("min_us")), _month_number(day_of("max_us"))
+    exact = lambda span: f"CASE WHEN ({span}) % (n - 1) = 0 AND {span} > 0 THEN ({span}) div (n - 1) END"
+    spans = ranges.where("n >= 3 AND max_us > min_us").selectExpr(
+        "column", "n", "min_us", "max_us",
+        f"{exact('(max_us - min_us)')} AS step",
+        f"{first} AS first_month",
+        f"{exact(f'({last} - {first})')} AS month_step",
+    )
+    return (
+        stamps.join(F.broadcast(spans), "column")
+        .selectExpr("*", "m - min_us AS offset", f"{day_of('m')} AS date")
+        .selectExpr(
+            "column", "n", "min_us", "max_us", "step", "first_month", "month_step", "offset",
+            "day(date) AS dom",
+            "weekday(date) AS wd",
+            f"{_month_number('date')} AS month",
+            "day(last_day(date)) - day(date) AS from_end",
+        )
+        .groupBy("column", "n", "min_us", "max_us", "step", "month_step")
+        .agg(
+            *map(
+                F.expr,
+                (
+                    "bool_and(coalesce(offset % step = 0, FALSE)) AS on_grid",
+                    f"bool_and(offset % {DAY}L = 0) AS whole_days",
+                    f"bool_and(offset % {HOUR}L = 0) AS whole_hours",
+                    "min(wd) AS weekday_lo",
+                    "max(wd) AS weekday_hi",
+                    "array_sort(collect_set((dom - 1) div 7)) AS weeks",
+                    "bool_and(dom = 1) AS cs",
+                    "bool_and(dom = 1 OR (dom <= 3 AND wd = 0)) AS bs",
+                    "bool_and(from_end = 0) AS ce",
+                    "bool_and(from_end = 0 OR (from_end < 3 AND wd = 4)) AS be",
+                    "bool_and(coalesce((month - first_month) % month_step = 0, FALSE)) AS on_month_grid",
+                    "count(DISTINCT month) AS months",
+                ),
+            )
+        )
     )
-    return parts.selectExpr(
-        f"coalesce(bool_and(offset % {span.step}L = 0), FALSE) AS on_grid" if span.step else "max(FALSE) AS on_grid",
-        f"bool_and(offset % {DAY}L = 0) AS whole_days",
-        f"bool_and(offset % {HOUR}L = 0) AS whole_hours",
-        "min(wd) AS weekday_lo",
-        "max(wd) AS weekday_hi",
-        "array_sort(collect_set((dom - 1) div 7)) AS weeks",
-        "bool_and(dom = 1) AS cs",
-        "bool_and(dom = 1 OR (dom <= 3 AND wd = 0)) AS bs",
-        "bool_and(from_end = 0) AS ce",
-        "bool_and(from_end = 0 OR (from_end < 3 AND wd = 4)) AS be",
-        f"bool_and((month - {first_month}) % {step} = 0) AS on_month_grid" if even_months else "max(FALSE) AS on_month_grid",
-        "count(DISTINCT month) AS months",
-        f"max({step}) AS month_step",
-    ).first()
-
-
-def _calendar_label(fact, span: _Span) -> str | None:
+
+
+def _calendar_label(fact: Row) -> str | None:
     """Year, quarter and month rules: one stamp per period, at its start or end."""
-    if not fact["on_month_grid"] or fact["months"] != span.n:
+    if not fact["on_month_grid"] or fact["months"] != fact["n"]:
         return None
     place = next((k for k in ("ce", "be", "cs", "bs") if fact[k]), None)
     if place is None:
         return None
     prefix, suffix = ("B" if place[0] == "b" else ""), ("S" if place[1] == "s" else "E")
-    step, month = fact["month_step"], stamp(span.lo).month
+    step, month = fact["month_step"], stamp(fact["min_us"]).month
     if step % 12 == 0:
         return _counted(f"{prefix}Y{suffix}-{_MONTHS[month - 1]}", step // 12)
     if step % 3 == 0:
@@ -258,10 +260,10 @@ def _step_label(step: int, at: datetime) -> str:
     raise AssertionError("one microsecond divides every step")
 
 
-def _day_rule(fact, span: _Span) -> str | None:
+def _day_rule(fact: Row) -> str | None:
     """Label of whole-day series that are not a plain grid."""
-    first, last = stamp(span.lo), stamp(span.hi)
-    if fact["weekday_hi"] <= 4 and len(pd.bdate_range(first.date(), last.date())) == span.n:
+    first, last = stamp(fact["min_us"]), stamp(fact["max_us"])
+    if fact["weekday_hi"] <= 4 and len(pd.bdate_range(first.date(), last.date())) == fact["n"]:
         return "B"
     if fact["weekday_lo"] == fact["weekday_hi"]:
         weeks = [w for w in fact["weeks"] if w < 4]
@@ -270,52 +272,44 @@ def _day_rule(fact, span: _Span) -> str | None:
     return None
 
 
-def _is_business_hours(df: DataFrame, column: str) -> bool:
+def _is_business_hours(stamps: DataFrame, column: str) -> bool:
     """Steps of 1 h inside a day and 17 h or 65 h over a night or weekend, nothing else.
 
     Only reached when all stamps are whole hours apart: at most 24 a calendar day.
     """
-    hours = _stamps(df, [column]).select("m").distinct()
+    hours = stamps.where(F.col("column") == column).select("m").distinct()
     steps = hours.selectExpr(f"(m - lag(m) OVER (ORDER BY m)) div {HOUR}L AS h").where("h IS NOT NULL")
     return sorted(r["h"] for r in steps.distinct().limit(4).collect()) in ([1, 17], [1, 65], [1, 17, 65])
 
 
-def infer_frequencies(df: DataFrame, cols: Sequence[str], ranges: dict | None = None) -> dict[str, str | None]:
-    """{column: frequency label or None}; None below 3 stamps, on repeats and on irregular steps."""
-    if ranges is None:
-        ranges = {r["column"]: r for r in date_ranges(day_table(df, cols)).collect()}
-    spans = {
-        c: _Span(r["n"], r["min_us"], r["max_us"]) for c, r in ranges.items() if r["n"] >= 3 and r["max_us"] > r["min_us"]
-    }
-    labels: dict[str, str | None] = dict.fromkeys(cols)
-    if not spans:
-        return labels
-    facts = {c: _calendar_facts(df, c, span) for c, span in spans.items()}
-    # Distinct stamps are only counted where a regular series is still possible.
+def infer_frequencies(stamps: DataFrame, ranges: DataFrame | None = None) -> dict[str, str | None]:
+    """{column: frequency label or None} of a (column, m) table of stamps.
+
+    None below 3 stamps, on repeats and on irregular steps. Facts of all columns come
+    from one pass; distinct stamps are only counted where a regular series is still
+    possible.
+    """
+    ranges = date_ranges(day_table(stamps)) if ranges is None else ranges
+    facts = {r["column"]: r for r in calendar_facts(stamps, ranges).collect()}
     open_cols = [c for c, f in facts.items() if f["on_grid"] or f["whole_days"] or f["whole_hours"]]
     if not open_cols:
-        return labels
-    distinct = {
-        r["column"]: r["d"]
-        for r in _stamps(df, open_cols)
-        .distinct()
-        .groupBy("column")
-        .agg(F.count(F.lit(1)).alias("d"))
-        .collect()
-    }
+        return {}
+    counted = stamps.where(F.col("column").isin(open_cols)).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("d"))
+    distinct = {r["column"]: r["d"] for r in counted.collect()}
+    labels: dict[str, str | None] = {}
     for c in open_cols:
-        fact, span = facts[c], spans[c]
-        if distinct[c] != span.n:
+        fact = facts[c]
+        if distinct[c] != fact["n"]:
             continue
-        first = stamp(span.lo)
+        first = stamp(fact["min_us"])
         if fact["whole_days"]:
-            label = _calendar_label(fact, span)
+            label = _calendar_label(fact)
             if label is None and fact["on_grid"]:
-                label = _step_label(span.step, first)
-            labels[c] = label or _day_rule(fact, span)
+                label = _step_label(fact["step"], first)
+            labels[c] = label or _day_rule(fact)
         elif fact["on_grid"]:
-            labels[c] = _step_label(span.step, first)
-        elif fact["whole_hours"] and _is_business_hours(df, c):
+            labels[c] = _step_label(fact["step"], first)
+        elif fact["whole_hours"] and _is_business_hours(stamps, c):
             labels[c] = "bh"
     return labels
 
@@ -337,7 +331,7 @@ def expected_step_gaps(df: DataFrame, column: str, step_us: int) -> DataFrame:
 
     Extension for irregular series, where no frequency can be inferred.
     """
-    stamps = _stamps(df, [column]).distinct()
+    stamps = stamps_of(df, [column]).distinct()
     return stamps.groupBy("column").agg(
         F.expr(f"(max(m) - min(m)) div {step_us}L + 1").alias("expected"),
         F.count(F.lit(1)).alias("present"),
@@ -350,7 +344,7 @@ PROFILE_SCHEMA = (
 )
 
 
-def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None, days: DataFrame | None = None) -> DataFrame:
+def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """One row per detected datetime column that holds a stamp (`PROFILE_SCHEMA`)."""
     spark = df.sparkSession
     cols = detected_columns(df) if cols is None else list(cols)
@@ -358,13 +352,16 @@ def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None, days: Dat
         return spark.createDataFrame([], PROFILE_SCHEMA)
     parsed = parse_datetimes(df, cols)
     zones = {f.name: isinstance(f.dataType, T.TimestampType) for f in parsed.schema}
-    days = day_table(parsed, cols).persist()
+    stamps = stamps_of(parsed, cols)
+    days = day_table(stamps).persist()
     try:
-        ranges = {r["column"]: r for r in date_ranges(days).collect()}
-        hints = {r["column"]: r["seasonality_hint"] for r in seasonality_hints(days).collect()}
+        known = date_ranges(days).join(seasonality_hints(days), "column").collect()
     finally:
         days.unpersist()
-    labels = infer_frequencies(parsed, cols, ranges)
+    ranges = {r["column"]: r for r in known}
+    spans = [(c, r["n"], r["min_us"], r["max_us"]) for c, r in ranges.items()]
+    table = spark.createDataFrame(spans, "column string, n bigint, min_us bigint, max_us bigint")
+    labels = infer_frequencies(stamps, table)
     zone = spark.conf.get("spark.sql.session.timeZone")
     rows = [
         (
@@ -372,9 +369,9 @@ def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None, days: Dat
             str(stamp(r["min_us"]).date()),
             str(stamp(r["max_us"]).date()),
             r["date_range_days"],
-            labels[c],
-            gap_count(labels[c], r["n"], r["min_us"], r["max_us"]),
-            hints[c],
+            labels.get(c),
+            gap_count(labels.get(c), r["n"], r["min_us"], r["max_us"]),
+            r["seasonality_hint"],
             zone if zones[c] else "naive",
         )
         for c in cols

@@ -1,0 +1,8 @@
+"""The registered queries and their reference SQL."""
+
+from . import prep, scoring, statistics, tables, timeline
+
+_MODULES = (tables, statistics, timeline, scoring, prep)
+
+QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

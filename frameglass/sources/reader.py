@@ -74,18 +74,19 @@ def validate_source(spark: SparkSession, path: str) -> None:
 
 
 def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """(n_rows, n_corrupt): rows of a JSON Lines or CSV source that do not fit `schema`."""
+    """(n_rows, n_corrupt, n_filled): rows of a JSON Lines or CSV source that do not fit
+    `schema`, and rows whose first field holds a value."""
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     reader = spark.read.schema(marked).option("mode", "PERMISSIVE")
     if extension(path) == ".csv":
         rows = reader.options(header=True, multiLine=True, escape='"').csv(path)
     else:
         rows = reader.json(path)
-    # All columns are read: Spark parses only asked-for fields, and counts what it parses.
-    bad = F.col("_corrupt_record").isNotNull()
-    first = ref(schema.fields[0].name)
-    return rows.select(bad.alias("bad"), first).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if("bad").alias("n_corrupt")
+    # Spark only parses, and so only checks, a row when a field of it is asked for.
+    return rows.selectExpr(
+        "count(1) AS n_rows",
+        "count_if(_corrupt_record IS NOT NULL) AS n_corrupt",
+        f"count({sql.quoted(schema.fields[0].name)}) AS n_filled",
     )
 
 
