@@ -1,7 +1,8 @@
 """Shared pieces of the registered queries and their reference SQL.
 
 Both sides round floating results to six digits, as sums differ in the last bits
-with the order of rows.
+with the order of rows. Results with a value per row round to four: among that many
+values some would lie on a rounding edge of the sixth digit.
 """
 
 from __future__ import annotations
@@ -47,6 +48,13 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.expr(f"round({quoted(c)}, {digits})") for c in doubles}) if doubles else df
 
 
+ROW_DIGITS = 4
+
+
+def rounded_rows(df: DataFrame) -> DataFrame:
+    return rounded(df, ROW_DIGITS)
+
+
 def union_sql(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 

@@ -29,7 +29,7 @@ from ..operators.prep import (
 from ..plans.chain import Chain
 from ..session import scratch_path
 from ..streaming import score_available
-from .common import PLANTED_SQL, Query, fences_sql, planted_lines, rounded, table
+from .common import PLANTED_SQL, ROW_DIGITS, Query, fences_sql, planted_lines, rounded_rows, table
 
 # The pandas step below travels with its task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -49,7 +49,7 @@ def _on_planted(name: str, step, select: str, where: str = "", source: str = "p"
         if cols:
             lines = lines.select(*[c.strip() for c in cols.split(",")])
         operation: Operation = step()
-        return rounded(operation.fit(lines).transform(lines))
+        return rounded_rows(operation.fit(lines).transform(lines))
 
     QUERIES[name] = run
     ORACLE[name] = _P + f"SELECT {select} FROM {source}{' WHERE ' + where if where else ''}"
@@ -60,7 +60,7 @@ _TARGETS = ["l_discount", "l_extendedprice", "l_line"]
 
 
 def _each(template: str) -> str:
-    return ", ".join(f"round({template.format(c=c, x=f'CAST({c} AS DOUBLE)')}, 6) AS {c}" for c in _TARGETS)
+    return ", ".join(f"round({template.format(c=c, x=f'CAST({c} AS DOUBLE)')}, {ROW_DIGITS}) AS {c}" for c in _TARGETS)
 
 
 _on_planted(
@@ -104,20 +104,20 @@ def _on_duty(name: str, step, select: str, where: str = "", source: str = "w") -
     def run(spark, sf):
         lines = spark.sql(_DUTY.replace("FROM p", "FROM {p}"), p=planted_lines(spark, sf))
         lines = lines.select(*[c.strip() for c in _DUTY_COLS.split(",")])
-        return rounded(step().fit(lines).transform(lines))
+        return rounded_rows(step().fit(lines).transform(lines))
 
     QUERIES[name] = run
     ORACLE[name] = _W + f"SELECT {select} FROM {source}{' WHERE ' + where if where else ''}"
 
 
-_CLIP = "round(CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END, 6) AS {c}"
+_CLIP = "round(CASE WHEN {c} < {lo} THEN {lo} WHEN {c} > {hi} THEN {hi} ELSE {c} END, " + f"{ROW_DIGITS}) AS " + "{c}"
 _FENCED = (
     f"w, (SELECT lower_fence AS d_lo, upper_fence AS d_hi FROM ({fences_sql('duty', 'w')}) a) fd, "
     f"(SELECT lower_fence AS c_lo, upper_fence AS c_hi FROM ({fences_sql('cube', 'w')}) b) fc"
 )
 _clips = f"{_REST}, " + _CLIP.format(c="duty", lo="d_lo", hi="d_hi") + ", " + _CLIP.format(c="cube", lo="c_lo", hi="c_hi")
 _inside = "NOT coalesce(duty < d_lo OR duty > d_hi, FALSE) AND NOT coalesce(cube < c_lo OR cube > c_hi, FALSE)"
-_plain = f"{_REST}, round(duty, 6) AS duty, round(cube, 6) AS cube"
+_plain = f"{_REST}, round(duty, {ROW_DIGITS}) AS duty, round(cube, {ROW_DIGITS}) AS cube"
 
 _on_duty("outlier_iqr_clip", lambda: OutlierIQR("clip", ["duty", "cube"]), _clips, source=_FENCED)
 _on_duty("outlier_iqr_drop", lambda: OutlierIQR("drop", ["duty", "cube"]), _plain, _inside, _FENCED)
@@ -145,10 +145,10 @@ def _on_flat(name: str, step, template: str, flat: str, stats: str) -> None:
     def run(spark, sf):
         lines = spark.sql(_FLAT.replace("FROM p", "FROM {p}"), p=planted_lines(spark, sf))
         lines = lines.select(*[c.strip() for c in _REST.split(",")], *_SCALED)
-        return rounded(step().fit(lines).transform(lines))
+        return rounded_rows(step().fit(lines).transform(lines))
 
     QUERIES[name] = run
-    scaled = ", ".join(f"round({template.format(c=c)}, 6) AS {c}" for c in _SCALED[:3])
+    scaled = ", ".join(f"round({template.format(c=c)}, {ROW_DIGITS}) AS {c}" for c in _SCALED[:3])
     parts = ", ".join(f"{stats.format(c=c)}" for c in _SCALED[:3])
     ORACLE[name] = _F + f"SELECT {_REST}, {scaled}, CAST({flat} AS DOUBLE) AS flat FROM w, (SELECT {parts} FROM w) s"
 
@@ -199,7 +199,7 @@ ORACLE["encode_label"] = (
 
 # --- custom steps, chains, streams --------------------------------------------------
 
-_NET = "l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 6) AS net"
+_NET = f"l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), {ROW_DIGITS}) AS net"
 
 
 def _add_net(df):
@@ -212,7 +212,7 @@ def _net_batches(batch):
     return out
 
 
-QUERIES["custom_transform"] = lambda spark, sf: rounded(
+QUERIES["custom_transform"] = lambda spark, sf: rounded_rows(
     CustomTransform(_add_net).fit_transform(table(spark, sf, "lineitem"))
 )
 ORACLE["custom_transform"] = f"SELECT {_NET} FROM lineitem"
@@ -223,7 +223,7 @@ def _custom_pandas(spark, sf):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"
     )
     schema = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, net double"
-    return rounded(PandasTransform(_net_batches, schema).fit_transform(lines))
+    return rounded_rows(PandasTransform(_net_batches, schema).fit_transform(lines))
 
 
 QUERIES["custom_transform_pandas"] = _custom_pandas
@@ -242,8 +242,8 @@ _FILLED = (
     "coalesce(l_discount, dm) AS d, l_returnflag FROM p, m)"
 )
 _SCALED_OUT = (
-    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((e - e_m) / e_s, 6) AS l_extendedprice, "
-    "round((d - d_m) / d_s, 6) AS l_discount, CASE l_returnflag WHEN 'A' THEN CAST(0 AS BIGINT) WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS l_returnflag "
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((e - e_m) / e_s, {ROW_DIGITS}) AS l_extendedprice, "
+    f"round((d - d_m) / d_s, {ROW_DIGITS}) AS l_discount, CASE l_returnflag WHEN 'A' THEN CAST(0 AS BIGINT) WHEN 'N' THEN 1 WHEN 'R' THEN 2 END AS l_returnflag "
 )
 
 
@@ -251,7 +251,7 @@ def _chain_lines(spark, sf):
     return planted_lines(spark, sf).select(*_CHAIN_COLS)
 
 
-QUERIES["fit_transform_chain"] = lambda spark, sf: rounded(
+QUERIES["fit_transform_chain"] = lambda spark, sf: rounded_rows(
     Chain.from_steps(_STEPS).fit_transform(_chain_lines(spark, sf))
 )
 ORACLE["fit_transform_chain"] = _P[:-1] + _FILLED + (
@@ -269,14 +269,14 @@ _RAW_FIT = _P[:-1] + _FILLED + (
 
 def _fit_then_transform(spark, sf):
     lines = _chain_lines(spark, sf)
-    return rounded(Chain.from_steps(_STEPS).fit(lines).transform(lines))
+    return rounded_rows(Chain.from_steps(_STEPS).fit(lines).transform(lines))
 
 
 def _persisted(spark, sf):
     lines = _chain_lines(spark, sf)
     path = scratch_path(spark, "chain")
     Chain.from_steps(_STEPS).fit(lines).save(spark, path)
-    return rounded(Chain.load(spark, path).transform(lines))
+    return rounded_rows(Chain.load(spark, path).transform(lines))
 
 
 QUERIES["fit_then_transform_chain"] = _fit_then_transform
@@ -293,12 +293,12 @@ def _stream(spark, sf):
     scored = score_available(
         spark, chain, f"{sf}/orders*.parquet", orders.schema, scratch_path(spark, "scored")
     )
-    return rounded(scored.select("o_orderkey", "o_totalprice", "o_orderpriority"))
+    return rounded_rows(scored.select("o_orderkey", "o_totalprice", "o_orderpriority"))
 
 
 QUERIES["apply_to_stream"] = _stream
 ORACLE["apply_to_stream"] = (
-    "SELECT o_orderkey, round((o_totalprice - m) / s, 6) AS o_totalprice, k AS o_orderpriority FROM orders "
+    f"SELECT o_orderkey, round((o_totalprice - m) / s, {ROW_DIGITS}) AS o_totalprice, k AS o_orderpriority FROM orders "
     "JOIN (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority) - 1 AS k FROM orders GROUP BY 1) c "
     "ON o_orderpriority = v, (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) t"
 )

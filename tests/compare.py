@@ -20,7 +20,7 @@ def connect(sf_dir: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return float(f"{value:.9g}") + 0.0
+        return float(f"{value!r}") + 0.0
     if isinstance(value, datetime.datetime):
         return value.isoformat()
     return value
