@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -11,51 +12,50 @@ from pyspark.sql import functions as F
 from ..functions import sql
 from ..functions.kinds import blocks, categorical_columns, numeric_columns, ref
 from ..functions.numbers import finite_view, not_nan
-from .tidy import per_column, union_all
+from .tidy import AGGREGATES_PER_PASS, per_column, union_all
 from .value_counts import value_counts
 
 MAX_CATEGORIES = 50
-PAIR_BLOCK = 66
+PAIR_BLOCK = AGGREGATES_PER_PASS
 PAIR_SCHEMA = "col_a string, col_b string, value double, pos int"
 
 
-def _pearson(a: str, b: str) -> str:
-    """Correlation after filling nulls with each column's mean, in one pass.
+def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """(col_a, col_b, value, pos) for all pairs of numeric columns; nulls count as the mean.
 
-    A filled cell deviates by 0, so only rows with both values add to the cross
-    product: their own covariance, shifted from the means of the shared rows to
-    the means of all rows. The variances likewise need no second pass.
+    A first pass takes the means. The second works on deviations, where a null filled
+    with its mean is a plain 0, so that a pair costs one sum of products.
     """
-    off_a = f"(regr_avgy({a}, {b}) - avg({a}))"
-    off_b = f"(regr_avgx({a}, {b}) - avg({b}))"
-    cross = f"regr_count({a}, {b}) * (covar_pop({a}, {b}) + {off_a} * {off_b})"
-    scale = f"sqrt(count({a}) * var_pop({a})) * sqrt(count({b}) * var_pop({b}))"
-    return f"coalesce(nanvl(try_divide({cross}, {scale}), 0.0D), 0.0D)"
-
-
-def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(col_a, col_b, value, pos) for all pairs of numeric columns."""
     cols = numeric_columns(df) if cols is None else list(cols)
     pairs = list(enumerate(combinations(cols, 2)))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
     view = finite_view(df, cols, value=not_nan)
+    rows = per_column(view, cols, lambda c, x: {"mean": f"avg({x})"}).collect()
+    means = {r["column"]: r["mean"] for r in rows}
+    centred = view.selectExpr(
+        *[f"coalesce({x} - {sql.number(means[c])}, 0.0D) AS {x}" for c in cols for x in [sql.quoted(c)]]
+    )
+    squares = {
+        r["column"]: r["s"]
+        for r in per_column(centred, cols, lambda c, x: {"s": f"sum({x} * {x})"}).collect()
+    }
+
+    def value(a: str, b: str) -> str:
+        scale = sql.number(math.sqrt(squares[a] or 0.0) * math.sqrt(squares[b] or 0.0))
+        r = f"try_divide(sum({sql.quoted(a)} * {sql.quoted(b)}), {scale})"
+        return f"coalesce(nanvl({r}, 0.0D), 0.0D)"
+
     parts = []
     for chunk in blocks(pairs, PAIR_BLOCK):
-        wide = view.selectExpr(
-            *[
-                sql.struct(
-                    {
-                        "col_a": sql.text(a),
-                        "col_b": sql.text(b),
-                        "value": _pearson(sql.quoted(a), sql.quoted(b)),
-                        "pos": str(pos),
-                    }
-                )
-                + f" AS pair_{pos}"
-                for pos, (a, b) in chunk
-            ]
-        )
+        cells = [
+            sql.struct(
+                {"col_a": sql.text(a), "col_b": sql.text(b), "value": value(a, b), "pos": str(pos)}
+            )
+            + f" AS pair_{pos}"
+            for pos, (a, b) in chunk
+        ]
+        wide = centred.selectExpr(*cells)
         parts.append(wide.selectExpr(sql.rows([f"pair_{pos}" for pos, _ in chunk])))
     return union_all(parts)
 

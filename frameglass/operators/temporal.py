@@ -21,6 +21,8 @@ from ..functions.kinds import categorical_columns, datetime_columns
 from .tidy import per_column
 
 DETECT_SHARE = 0.8
+LONGEST = 32
+FOUR_DIGITS = r"\d{4}"
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 
@@ -53,7 +55,10 @@ def _parse(x: str, index: int) -> str:
 
 
 def _parses(x: str) -> str:
-    return f"coalesce({', '.join(_parse(x, i) for i in range(len(FORMATS)))}) IS NOT NULL"
+    """Whether any format reads the text. All formats have a 4-digit run and are short."""
+    any_format = f"coalesce({', '.join(_parse(x, i) for i in range(len(FORMATS)))}) IS NOT NULL"
+    maybe = f"length({x}) BETWEEN 4 AND {LONGEST} AND {x} RLIKE {sql.text(FOUR_DIGITS)}"
+    return f"CASE WHEN {maybe} THEN {any_format} ELSE FALSE END"
 
 
 def detect_datetime(df: DataFrame, threshold: float = DETECT_SHARE) -> DataFrame:
@@ -182,40 +187,46 @@ def _month_number(date: str) -> str:
     return f"(year({date}) * 12 + month({date}) - 1)"
 
 
-def calendar_facts(stamps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """One row per column of aggregates that decide every calendar rule.
-
-    `ranges` holds n, first and last stamp of each column, so it is small enough to
-    broadcast. With them the only candidate step is known beforehand, and a row can
-    be tested on its own.
-    """
+def _spans(ranges: DataFrame) -> DataFrame:
+    """Per column the only step, in time and in months, at which n stamps can fill the span."""
     day_of = lambda us: f"date_from_unix_date(CAST({whole_days(us)} AS INT))"
     first, last = _month_number(day_of("min_us")), _month_number(day_of("max_us"))
     exact = lambda span: f"CASE WHEN ({span}) % (n - 1) = 0 AND {span} > 0 THEN ({span}) div (n - 1) END"
-    spans = ranges.where("n >= 3 AND max_us > min_us").selectExpr(
+    return ranges.where("n >= 3 AND max_us > min_us").selectExpr(
         "column", "n", "min_us", "max_us",
         f"{exact('(max_us - min_us)')} AS step",
         f"{first} AS first_month",
         f"{exact(f'({last} - {first})')} AS month_step",
     )
+
+
+def calendar_facts(days: DataFrame, ranges: DataFrame) -> DataFrame:
+    """One row per column of aggregates over its days that decide every calendar rule.
+
+    `ranges` holds one row per column, so it is small enough to broadcast. For stamps
+    inside days the first and last stamp of each day give necessary conditions.
+    """
+    at = lambda end, step: f"({end} - min_us) % {step} = 0"
+    both = lambda step: f"coalesce({at('first', step)} AND {at('last', step)}, FALSE)"
     return (
-        stamps.join(F.broadcast(spans), "column")
-        .selectExpr("*", "m - min_us AS offset", f"{day_of('m')} AS date")
+        days.join(F.broadcast(_spans(ranges)), "column")
+        .selectExpr("*", "date_from_unix_date(CAST(day AS INT)) AS date")
         .selectExpr(
-            "column", "n", "min_us", "max_us", "step", "first_month", "month_step", "offset",
+            "*",
             "day(date) AS dom",
             "weekday(date) AS wd",
             f"{_month_number('date')} AS month",
             "day(last_day(date)) - day(date) AS from_end",
-        )
+        )
         .groupBy("column", "n", "min_us", "max_us", "step", "month_step")
         .agg(
             *map(
                 F.expr,
                 (
-                    "bool_and(coalesce(offset % step = 0, FALSE)) AS on_grid",
-                    f"bool_and(offset % {DAY}L = 0) AS whole_days",
-                    f"bool_and(offset % {HOUR}L = 0) AS whole_hours",
+                    f"bool_and(first = last AND {at('first', f'{DAY}L')}) AS whole_days",
+                    "max(cnt) AS most_a_day",
+                    f"bool_and({both('step')}) AS maybe_grid",
+                    f"bool_and({both(f'{HOUR}L')}) AS maybe_hours",
                     "min(wd) AS weekday_lo",
                     "max(wd) AS weekday_hi",
                     "array_sort(collect_set((dom - 1) div 7)) AS weeks",
@@ -231,6 +242,22 @@ def calendar_facts(stamps: DataFrame, ranges: DataFrame) -> DataFrame:
     )
 
 
+def _intraday_facts(stamps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(column, repeats, on_grid, whole_hours) over all stamps of the few columns that may be regular."""
+    offset = lambda step: f"bool_and(coalesce((m - min_us) % {step} = 0, FALSE))"
+    return (
+        stamps.groupBy("column", "m")
+        .agg(F.count(F.lit(1)).alias("cnt"))
+        .join(F.broadcast(_spans(ranges)), "column")
+        .groupBy("column")
+        .agg(
+            F.expr("bool_or(cnt > 1) AS repeats"),
+            F.expr(f"{offset('step')} AS on_grid"),
+            F.expr(f"{offset(f'{HOUR}L')} AS whole_hours"),
+        )
+    )
+
+
 def _calendar_label(fact: Row) -> str | None:
     """Year, quarter and month rules: one stamp per period, at its start or end."""
     if not fact["on_month_grid"] or fact["months"] != fact["n"]:
@@ -282,36 +309,38 @@ def _is_business_hours(stamps: DataFrame, column: str) -> bool:
     return sorted(r["h"] for r in steps.distinct().limit(4).collect()) in ([1, 17], [1, 65], [1, 17, 65])
 
 
-def infer_frequencies(stamps: DataFrame, ranges: DataFrame | None = None) -> dict[str, str | None]:
-    """{column: frequency label or None} of a (column, m) table of stamps.
+def _whole_day_label(fact: Row) -> str | None:
+    if fact["most_a_day"] > 1:
+        return None
+    label = _calendar_label(fact)
+    if label is None and fact["maybe_grid"]:
+        label = _step_label(fact["step"], stamp(fact["min_us"]))
+    return label or _day_rule(fact)
 
-    None below 3 stamps, on repeats and on irregular steps. Facts of all columns come
-    from one pass; distinct stamps are only counted where a regular series is still
-    possible.
+
+def infer_frequencies(stamps: DataFrame, days: DataFrame, ranges: DataFrame) -> dict[str, str]:
+    """{column: frequency label}; a column without one is left out.
+
+    No label below 3 stamps, on repeats and on irregular steps. Everything is decided
+    on the day table; the stamps themselves are only read for columns whose first and
+    last stamp of every day fit a regular step inside the day.
     """
-    ranges = date_ranges(day_table(stamps)) if ranges is None else ranges
-    facts = {r["column"]: r for r in calendar_facts(stamps, ranges).collect()}
-    open_cols = [c for c, f in facts.items() if f["on_grid"] or f["whole_days"] or f["whole_hours"]]
-    if not open_cols:
-        return {}
-    counted = stamps.where(F.col("column").isin(open_cols)).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("d"))
-    distinct = {r["column"]: r["d"] for r in counted.collect()}
-    labels: dict[str, str | None] = {}
-    for c in open_cols:
-        fact = facts[c]
-        if distinct[c] != fact["n"]:
-            continue
-        first = stamp(fact["min_us"])
-        if fact["whole_days"]:
-            label = _calendar_label(fact)
-            if label is None and fact["on_grid"]:
-                label = _step_label(fact["step"], first)
-            labels[c] = label or _day_rule(fact)
-        elif fact["on_grid"]:
-            labels[c] = _step_label(fact["step"], first)
-        elif fact["whole_hours"] and _is_business_hours(stamps, c):
-            labels[c] = "bh"
-    return labels
+    facts = {r["column"]: r for r in calendar_facts(days, ranges).collect()}
+    found = {c: _whole_day_label(f) for c, f in facts.items() if f["whole_days"]}
+    inside = [
+        c for c, f in facts.items() if not f["whole_days"] and (f["maybe_grid"] or f["maybe_hours"])
+    ]
+    if inside:
+        of_inside = F.col("column").isin(inside)
+        for row in _intraday_facts(stamps.where(of_inside), ranges.where(of_inside)).collect():
+            c, fact = row["column"], facts[row["column"]]
+            if row["repeats"]:
+                continue
+            if row["on_grid"]:
+                found[c] = _step_label(fact["step"], stamp(fact["min_us"]))
+            elif row["whole_hours"] and _is_business_hours(stamps, c):
+                found[c] = "bh"
+    return {c: label for c, label in found.items() if label}
 
 
 def calendar_length(label: str, lo: int, hi: int) -> int:
@@ -338,6 +367,7 @@ def expected_step_gaps(df: DataFrame, column: str, step_us: int) -> DataFrame:
     ).withColumn("gaps", F.expr("greatest(expected - present, 0L)"))
 
 
+SPAN_SCHEMA = "column string, n bigint, min_us bigint, max_us bigint"
 PROFILE_SCHEMA = (
     "column string, min_date string, max_date string, date_range_days bigint, inferred_freq string, "
     "gaps_count bigint, seasonality_hint string, timezone string"
@@ -356,12 +386,11 @@ def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     days = day_table(stamps).persist()
     try:
         known = date_ranges(days).join(seasonality_hints(days), "column").collect()
+        ranges = {r["column"]: r for r in known}
+        spans = [(c, r["n"], r["min_us"], r["max_us"]) for c, r in ranges.items()]
+        labels = infer_frequencies(stamps, days, spark.createDataFrame(spans, SPAN_SCHEMA)) if spans else {}
     finally:
         days.unpersist()
-    ranges = {r["column"]: r for r in known}
-    spans = [(c, r["n"], r["min_us"], r["max_us"]) for c, r in ranges.items()]
-    table = spark.createDataFrame(spans, "column string, n bigint, min_us bigint, max_us bigint")
-    labels = infer_frequencies(stamps, table)
     zone = spark.conf.get("spark.sql.session.timeZone")
     rows = [
         (

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from ..functions import sql
 from ..functions.kinds import blocks
 
-WIDE_BLOCK = 32
+# More aggregates than this in one pass make a generated method that the JVM no longer
+# compiles, which was measured to cost ten times the time.
+AGGREGATES_PER_PASS = 26
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
@@ -21,16 +23,19 @@ def per_column(
     df: DataFrame,
     cols: Sequence[str],
     metrics: Callable[[str, str], dict[str, str]],
-    block: int = WIDE_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """`metrics(name, x)` gives the aggregates of one column as SQL text; `x` refers to it.
 
-    All columns of a block share one pass without a data shuffle. Wide tables are
-    cut into blocks; as each scan reads only its own columns, the bytes read stay
-    those of one pass.
+    Columns of a block share one pass without a data shuffle, blocks run side by side.
+    On a columnar source each scan reads only its own columns, so all blocks together
+    read what one pass would. Row sources are parsed once per block; they pass a
+    larger `block`.
     """
     if not cols:
         raise ValueError("per_column needs at least one column")
+    if block is None:
+        block = max(1, AGGREGATES_PER_PASS // len(metrics(cols[0], sql.quoted(cols[0]))))
     parts = []
     for chunk in blocks(cols, block):
         wide = df.selectExpr(

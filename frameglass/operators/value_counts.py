@@ -92,16 +92,46 @@ def top_n(vc: DataFrame, n: int, *order: Column) -> DataFrame:
     return vc.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """(column, rank, value): the first distinct values in row order, as text; null counts."""
+PREFIX_ROWS = 200
+
+
+def _firsts(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
+    """(column, rank, value) by one pass over the first row of every distinct value."""
     parts = []
     for kind, names in by_class(df, cols).items():
         firsts = value_counts(df, names, order_by, keep_nulls=True)
-        shown = F.col("value").cast("string")
+        shown = "CAST(value AS STRING)"
         if kind == "floating":
-            infinite = F.abs(F.col("value")) == F.lit(float("inf"))
-            shown = F.when(~infinite & ~F.isnan("value"), shown)
+            shown = f"CASE WHEN NOT isnan(value) AND abs(value) < DOUBLE('Infinity') THEN {shown} END"
         parts.append(
-            top_n(firsts, n, F.col("first_seen").asc()).select("column", "rank", shown.alias("value"))
+            top_n(firsts, n, F.col("first_seen").asc()).selectExpr("column", "rank", f"{shown} AS value")
         )
     return union_all(parts)
+
+
+def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
+    """(column, rank, value): the first distinct values in row order, as text; null counts.
+
+    The first rows of the table settle every column that shows `n` values in them. A
+    column with fewer is settled too when a counting pass finds no other value. Only
+    the rest, such as a date the table is sorted by, is grouped by value.
+    """
+    names = [c for group in by_class(df, cols).values() for c in group]
+    needed = df.select(*[sql.quoted(c) for c in dict.fromkeys([*names, *order_by])])
+    head = needed.orderBy(*map(sql.quoted, order_by)).limit(PREFIX_ROWS).collect()
+    small = df.sparkSession.createDataFrame(head, needed.schema)
+    seen = {c: list({row[c]: None for row in head}) for c in names}
+    short = [c for c in names if len(seen[c]) < n]
+    rest: list[str] = []
+    if short and len(head) == PREFIX_ROWS:
+        known = {c: F.lit(False) for c in short}
+        for c in short:
+            for v in seen[c]:
+                known[c] = known[c] | F.col(sql.quoted(c)).eqNullSafe(F.lit(v))
+        others = needed.agg(*[F.count_if(~known[c]).alias(f"n{i}") for i, c in enumerate(short)]).first()
+        rest = [c for i, c in enumerate(short) if others[i]]
+    settled = [c for c in names if c not in rest]
+    parts = [_firsts(small, settled, order_by, n)] if settled else []
+    if rest:
+        parts.append(_firsts(df, rest, order_by, n))
+    return union_all(parts)

@@ -145,21 +145,26 @@ ORACLE["date_range"] = _FACTS_SQL + (
 
 
 def _labels(spark, sf):
-    labels = infer_frequencies(_stamps(spark, sf))
-    return [(name, labels.get(name)) for name in _SERIES]
+    """Ranges and labels of all series; the day table holds at most one row per day and series."""
+    stamps = _stamps(spark, sf)
+    days = day_table(stamps).persist()
+    try:
+        ranges = date_ranges(days)
+        return ranges.collect(), infer_frequencies(stamps, days, ranges)
+    finally:
+        days.unpersist()
 
 
 QUERIES["infer_frequency"] = lambda spark, sf: spark.createDataFrame(
-    _labels(spark, sf), "column string, inferred_freq string"
+    [(name, labels.get(name)) for labels in [_labels(spark, sf)[1]] for name in _SERIES],
+    "column string, inferred_freq string",
 )
 ORACLE["infer_frequency"] = _FACTS_SQL + 'SELECT "column", inferred_freq FROM lab'
 
 
 def _gaps(spark, sf):
-    stamps = _stamps(spark, sf)
-    ranges = {r["column"]: r for r in date_ranges(day_table(stamps)).collect()}
-    labels = infer_frequencies(stamps)
-    rows = [(c, gap_count(labels.get(c), r["n"], r["min_us"], r["max_us"])) for c, r in ranges.items()]
+    ranges, labels = _labels(spark, sf)
+    rows = [(r["column"], gap_count(labels.get(r["column"]), r["n"], r["min_us"], r["max_us"])) for r in ranges]
     return spark.createDataFrame(rows, "column string, gaps_count bigint")
 
 

@@ -17,6 +17,9 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Columns inferred in one parse of the source.
+WIDE = 64
+
 _INTEGER = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
@@ -57,7 +60,7 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
     """
     hits = lambda c, x: {"n": f"count({x})", **{k: f"count({read(x)})" for k, read in _READERS.items()}}
     chosen = {}
-    for row in per_column(texts, texts.columns, hits).collect():
+    for row in per_column(texts, texts.columns, hits, block=WIDE).collect():
         fits = [kind for kind in _READERS if row[kind] == row["n"]]
         chosen[row["column"]] = "double" if row["n"] == 0 else (fits[0] if fits else "string")
     return chosen

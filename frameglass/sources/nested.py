@@ -48,6 +48,6 @@ def read_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def read_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One object per line, blank lines skipped; columns without any value are dropped."""
     flat = flatten(spark.read.json(path))
-    filled = per_column(flat, flat.columns, lambda c, x: {"n": f"count({x})"}).where("n > 0")
+    filled = per_column(flat, flat.columns, lambda c, x: {"n": f"count({x})"}, block=256).where("n > 0")
     kept = {r["column"] for r in filled.collect()}
     return flat.select(*[ref(c) for c in flat.columns if c in kept])
