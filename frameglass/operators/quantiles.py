@@ -16,16 +16,18 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 
 from ..functions.kinds import blocks
 from ..functions.numbers import finite_view, not_nan
-from ..functions.sql import number, quoted, struct
+from ..functions.sql import number, quoted, rows, struct
+from .tidy import union_all
 
 SMALL_ROWS = 2_000_000
 INSIDE_ROWS = 50_000
 GRID = 500
-_BLOCK = 12
+_BLOCK = 64
+_SKETCHES = 5  # counted and sketched intervals a pass
 
 Quantiles = dict[str, dict[float, float | None]]
 
@@ -51,8 +53,13 @@ def exact_quantiles(
     return found
 
 
-def _wide(df: DataFrame, exprs: Sequence[str]) -> Row:
-    return df.selectExpr(*[f"{e} AS a{i}" for i, e in enumerate(exprs)]).first()
+def _values(df: DataFrame, exprs: Sequence[str], block: int) -> list:
+    """One value per aggregate; blocks of aggregates run side by side in one job."""
+    parts = []
+    for chunk in blocks(list(enumerate(exprs)), block):
+        wide = df.selectExpr(*[f"{struct({'i': str(i), 'v': e})} AS a{i}" for i, e in chunk])
+        parts.append(wide.selectExpr(rows([f"a{i}" for i, _ in chunk])))
+    return [r["v"] for r in sorted(union_all(parts).collect(), key=lambda r: r["i"])]
 
 
 def _array(values: Sequence[float]) -> str:
@@ -60,9 +67,9 @@ def _array(values: Sequence[float]) -> str:
 
 
 def _by_percentile(df: DataFrame, wanted: dict[str, list[float]]) -> Quantiles:
-    row = _wide(df, [f"percentile({quoted(c)}, {_array(ps)})" for c, ps in wanted.items()])
+    found = _values(df, [f"percentile({quoted(c)}, {_array(ps)})" for c, ps in wanted.items()], 2)
     return {
-        c: dict(zip(ps, row[i] or [None] * len(ps))) for i, (c, ps) in enumerate(wanted.items())
+        c: dict(zip(ps, values or [None] * len(ps))) for (c, ps), values in zip(wanted.items(), found)
     }
 
 
@@ -109,14 +116,14 @@ def _sketch(x: str) -> str:
 
 def _by_brackets(df: DataFrame, wanted: dict[str, list[float]], inside_rows: int) -> Quantiles:
     stats = lambda x: struct({"n": f"count({x})", "lo": f"min({x})", "hi": f"max({x})", "grid": _sketch(x)})
-    row = _wide(df, [stats(quoted(c)) for c in wanted])
+    firsts = _values(df, [stats(quoted(c)) for c in wanted], _SKETCHES)
     found: Quantiles = {c: dict.fromkeys(ps) for c, ps in wanted.items()}
     pending: list[_Bracket] = []
     for i, (c, ps) in enumerate(wanted.items()):
-        rows, least, most, grid = row[i]
-        for p in ps if rows else ():
-            b = _Bracket(c, p, rows, least, most)
-            b.lo, b.hi = b.cell(grid, 0, rows)
+        n, least, most, grid = firsts[i]
+        for p in ps if n else ():
+            b = _Bracket(c, p, n, least, most)
+            b.lo, b.hi = b.cell(grid, 0, n)
             pending.append(b)
     while pending:
         still_open = _narrow(df, pending, inside_rows)
@@ -138,10 +145,10 @@ def _narrow(df: DataFrame, pending: Sequence[_Bracket], inside_rows: int) -> lis
             "grid": _sketch(f"CASE WHEN {b.inside} THEN {b.x} END"),
         }
     )
-    row = _wide(df, [counts(b) for b in pending])
+    counted = _values(df, [counts(b) for b in pending], _SKETCHES)
     still_open, listed = [], []
     for i, b in enumerate(pending):
-        below, on_lo, inside, on_hi, grid = row[i]
+        below, on_lo, inside, on_hi, grid = counted[i]
         start = below + on_lo
         end = start + inside
         top = end if b.lo == b.hi else end + on_hi
@@ -174,6 +181,5 @@ def _pick(df: DataFrame, listed: Sequence[tuple[_Bracket, int, int]]) -> None:
         )
         return struct({"low": at(b.low_rank), "high": at(b.high_rank)})
 
-    row = _wide(df, [ends(*item) for item in listed])
-    for i, (b, _, _) in enumerate(listed):
-        b.finish(*row[i])
+    for (b, _, _), found in zip(listed, _values(df, [ends(*item) for item in listed], _SKETCHES)):
+        b.finish(*found)
