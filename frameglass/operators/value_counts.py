@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions.kinds import CLASS_TYPE, by_class
+from ..functions.numbers import not_nan
 from .tidy import per_column, union_all
 
 
@@ -18,16 +19,15 @@ def long_values(
     order_by: Sequence[str] = (),
     cast: str | None = None,
 ) -> DataFrame:
-    """(column, value[, ord]) with a row per cell, nulls included."""
+    """(column, value[, ord]) with a row per cell, nulls included; NaN is null."""
     if cast is None:
         groups = by_class(df, cols)
         if len(groups) != 1:
             raise ValueError(f"columns of one type class expected, got {sorted(groups)}")
         cast = CLASS_TYPE[next(iter(groups))]
     keys = [f"struct({', '.join(map(sql.quoted, order_by))}) AS ord"] if order_by else []
-    cells = [
-        sql.struct({"column": sql.text(c), "value": f"CAST({sql.quoted(c)} AS {cast})"}) for c in cols
-    ]
+    value = not_nan if cast == "double" else (lambda x: f"CAST({x} AS {cast})")
+    cells = [sql.struct({"column": sql.text(c), "value": value(sql.quoted(c))}) for c in cols]
     return df.selectExpr(*keys, sql.rows(cells))
 
 
@@ -102,7 +102,7 @@ def _firsts(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int)
         firsts = value_counts(df, names, order_by, keep_nulls=True)
         shown = "CAST(value AS STRING)"
         if kind == "floating":
-            shown = f"CASE WHEN NOT isnan(value) AND abs(value) < DOUBLE('Infinity') THEN {shown} END"
+            shown = f"CASE WHEN abs(value) < DOUBLE('Infinity') THEN {shown} END"
         parts.append(
             top_n(firsts, n, F.col("first_seen").asc()).selectExpr("column", "rank", f"{shown} AS value")
         )
