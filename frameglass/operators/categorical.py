@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import categorical_columns
-from .value_counts import mode_of, top_n, value_counts
+from .value_counts import mode_table, top_n, value_counts
 
 TOP = 5
 RARE_SHARE = 0.01
@@ -16,12 +16,8 @@ ENTROPY_SHIFT = 1e-9
 
 
 def column_totals(vc: DataFrame) -> DataFrame:
-    """(column, n, cardinality, mode): mergeable aggregates of the value counts."""
-    return vc.groupBy("column").agg(
-        F.sum("cnt").alias("n"),
-        F.count(F.lit(1)).alias("cardinality"),
-        mode_of().alias("mode"),
-    )
+    """(column, n, cardinality): mergeable aggregates of the value counts."""
+    return vc.groupBy("column").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("cardinality"))
 
 
 def _shares(vc: DataFrame) -> DataFrame:
@@ -39,9 +35,17 @@ def entropy_and_rarity(vc: DataFrame) -> DataFrame:
 
 
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(column, n, cardinality, mode, entropy, rare_pct) of columns that hold a value."""
+    """(column, n, cardinality, mode, entropy, rare_pct) of columns that hold a value.
+
+    All parts hang on the same shuffle of the value counts, which adaptive execution
+    runs once.
+    """
     vc = value_counts(df, categorical_columns(df) if cols is None else cols)
-    return column_totals(vc).join(F.broadcast(entropy_and_rarity(vc)), "column")
+    return (
+        column_totals(vc)
+        .join(F.broadcast(mode_table(vc)), "column")
+        .join(F.broadcast(entropy_and_rarity(vc)), "column")
+    )
 
 
 def top_values(

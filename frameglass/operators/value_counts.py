@@ -68,17 +68,25 @@ def n_unique(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> D
     )
 
 
-def mode_of(value: str = "value", cnt: str = "cnt") -> Column:
-    """Most frequent value, ties to the smallest, as a mergeable aggregate."""
-    return F.min_by(F.col(value), F.struct((-F.col(cnt)).alias("c"), F.col(value).alias("v")))
+def mode_table(vc: DataFrame) -> DataFrame:
+    """(column, mode): the most frequent value, ties to the smallest.
+
+    The highest count is a plain hash aggregate; only the values that reach it are
+    compared. The counts hold one row per column, so they are broadcast.
+    """
+    highest = vc.groupBy("column").agg(F.max("cnt").alias("cnt"))
+    return (
+        vc.join(F.broadcast(highest), ["column", "cnt"], "left_semi")
+        .groupBy("column")
+        .agg(F.min("value").alias("mode"))
+    )
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """{column: mode or None}; one small row per column reaches the driver."""
     found: dict[str, object] = dict.fromkeys(cols)
     for names in by_class(df, cols).values():
-        rows = value_counts(df, names).groupBy("column").agg(mode_of().alias("mode")).collect()
-        found.update({r["column"]: r["mode"] for r in rows})
+        found.update({r["column"]: r["mode"] for r in mode_table(value_counts(df, names)).collect()})
     return found
 
 

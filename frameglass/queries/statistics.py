@@ -17,7 +17,7 @@ from ..operators.distribution import (
 )
 from ..operators.numeric import numeric_profile, quantile_table
 from ..operators.sampling import row_sample
-from ..operators.value_counts import value_counts
+from ..operators.value_counts import mode_table, value_counts
 from .common import (
     LINE_KEY,
     LINE_NUMBERS,
@@ -150,7 +150,7 @@ QUERIES["cat_entropy"] = lambda spark, sf: rounded(entropy_and_rarity(_vc(spark,
 ORACLE["cat_entropy"] = _VC_SQL + (
     'SELECT "column", round(-sum(p * log2(p + CAST(1e-9 AS DOUBLE))), 6) AS entropy FROM p GROUP BY "column"'
 )
-QUERIES["cat_mode"] = lambda spark, sf: column_totals(_vc(spark, sf)).select("column", "mode")
+QUERIES["cat_mode"] = lambda spark, sf: mode_table(_vc(spark, sf))
 ORACLE["cat_mode"] = _VC_SQL + 'SELECT "column", value AS mode FROM p WHERE rank = 1'
 QUERIES["cat_rare_pct"] = lambda spark, sf: rounded(entropy_and_rarity(_vc(spark, sf)).select("column", "rare_pct"))
 ORACLE["cat_rare_pct"] = _VC_SQL + (
