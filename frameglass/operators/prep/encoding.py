@@ -13,7 +13,8 @@ from .base import Needs, Operation, Stats
 from .categories import LISTED, Categories
 
 LITERAL_CODES = 64
-BROADCAST_CODES = 1_000_000
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def _text(c: str) -> Column:
@@ -62,14 +63,21 @@ class _Coded(Operation):
                 order.append((c, known))
         for i, (c, known) in enumerate(order):
             codes = known.code_table(df).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-            # Broadcast only a table whose row count was checked; a larger one is
-            # joined by shuffle, where adaptive execution splits hot values.
-            if known.values is not None or known.table.count() <= BROADCAST_CODES:
+            # Broadcast only a table whose size was measured; a larger one is joined by
+            # shuffle, where adaptive execution splits hot values.
+            if self._is_small(known):
                 codes = F.broadcast(codes)
             df = df.join(codes, _text(c) == F.col(f"__v{i}"), "left")
             coded[c] = F.col(f"__c{i}")
         return df.select(*[coded[c].alias(c) if c in coded else ref(c) for c in names])
 
+    @staticmethod
+    def _is_small(known: Categories) -> bool:
+        if known.values is not None:
+            return sum(len(v) for v in known.values) * 4 <= BROADCAST_BYTES
+        size = known.table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b")).first()
+        return size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES
+
     @staticmethod
     def _literal(c: str, values: Sequence[str]) -> Column:
         if not values:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.kinds import categorical_columns, normalise, numeric_columns
 from ..functions.numbers import shape_hint
 from ..operators import quality
-from ..operators.association import PAIR_SCHEMA, cramers_v_pairs, pearson_pairs, top_pairs
+from ..operators.association import cramers_v_pairs, pearson_pairs, top_pairs
 from ..operators.categorical import categorical_profile, top_values
 from ..operators.distribution import histogram, normality, outlier_preview
 from ..operators.duplicates import duplicate_rows
@@ -24,6 +26,8 @@ from ..operators.schema import column_types, logical_size, null_counts, table_sh
 from ..operators.temporal import datetime_profile
 from ..operators.value_counts import first_values, n_unique
 
+THREADS = 4
+
 _EMPTY = {
     "numeric": "column string, n bigint, mean double, median double, std double, min double, max double, "
     "p25 double, p75 double, skewness double, kurtosis double, zeros_pct double, "
@@ -87,38 +91,49 @@ def profile(
             flat.unpersist()
 
 
+def _side_by_side(spark: SparkSession, sections: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
+    """Settle independent sections from a few threads, so that their jobs fill the cluster together."""
+    with ThreadPoolExecutor(THREADS) as pool:
+        run = inheritable_thread_target(spark)(lambda build: settle(build()))
+        started = {name: pool.submit(run, build) for name, build in sections.items()}
+        return {name: future.result() for name, future in started.items()}
+
+
 def _profile(spark, flat, source, order_by, normality_key) -> Profile:
-    empty = lambda name: spark.createDataFrame([], _EMPTY[name])
     numbers, texts = numeric_columns(flat), categorical_columns(flat)
-    s: dict[str, DataFrame] = {}
-    s["shape"] = settle(table_shape(flat))
-    s["size"] = settle(logical_size(flat))
-    s["types"] = settle(column_types(flat))
-    s["unique"] = settle(n_unique(flat, flat.columns))
-    if order_by:
-        s["first_values"] = settle(first_values(flat, flat.columns, order_by))
-    s["missing"] = settle(null_counts(flat))
-    s["duplicates"] = settle(duplicate_rows(flat))
+    key = order_by if normality_key is None else normality_key
+    or_empty = lambda name, cols, build: build if cols else lambda: spark.createDataFrame([], _EMPTY[name])
     fences = fit_fences(flat, numbers) if numbers else {}
-    s["numeric"] = settle(numeric_profile(flat, numbers, fences=fences)) if numbers else empty("numeric")
-    s["categorical"] = settle(categorical_profile(flat, texts)) if texts else empty("categorical")
-    s["top_values"] = settle(top_values(flat, texts, order_by=order_by)) if texts else empty("top_values")
-    s["datetime"] = settle(datetime_profile(flat))
-    s["pearson"] = settle(pearson_pairs(flat, numbers)) if numbers else spark.createDataFrame([], PAIR_SCHEMA)
-    s["cramers_v"] = settle(cramers_v_pairs(flat, texts))
-    s["top_pairs"] = settle(top_pairs(s["pearson"], s["cramers_v"]))
-    ranges = {
-        r["column"]: (r["min"], r["max"]) if r["n"] else None for r in s["numeric"].collect()
+    # The long sections go first.
+    first = {
+        "datetime": lambda: datetime_profile(flat),
+        "unique": lambda: n_unique(flat, flat.columns),
+        "duplicates": lambda: duplicate_rows(flat),
+        "numeric": or_empty("numeric", numbers, lambda: numeric_profile(flat, numbers, fences=fences)),
+        "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key)),
+        "cramers_v": lambda: cramers_v_pairs(flat, texts),
+        "top_values": or_empty("top_values", texts, lambda: top_values(flat, texts, order_by=order_by)),
+        "categorical": or_empty("categorical", texts, lambda: categorical_profile(flat, texts)),
+        "pearson": lambda: pearson_pairs(flat, numbers),
+        "types": lambda: column_types(flat),
+        "missing": lambda: null_counts(flat),
+        "size": lambda: logical_size(flat),
+        "shape": lambda: table_shape(flat),
+    }
+    if order_by:
+        first["first_values"] = lambda: first_values(flat, flat.columns, order_by)
+    s = _side_by_side(spark, first)
+    ranges = {r["column"]: (r["min"], r["max"]) if r["n"] else None for r in s["numeric"].collect()}
+    second = {
+        "histogram": or_empty("histogram", numbers, lambda: histogram(flat, numbers, ranges=ranges)),
+        "top_pairs": lambda: top_pairs(s["pearson"], s["cramers_v"]),
+        "distributions": lambda: _distributions(s["numeric"], s["normality"], fences),
+        "quality": lambda: _scores(s),
+        "flags": lambda: quality.quality_flags(s["missing"], s["duplicates"], s["datetime"]),
     }
-    s["histogram"] = settle(histogram(flat, numbers, ranges=ranges)) if numbers else empty("histogram")
-    key = order_by if normality_key is None else normality_key
-    s["normality"] = settle(normality(flat, numbers, key=key)) if numbers else empty("normality")
-    s["distributions"] = settle(_distributions(s["numeric"], s["normality"], fences))
     if order_by and numbers:
-        s["outlier_preview"] = settle(outlier_preview(flat, order_by, numbers, fences=fences))
-    s["quality"] = settle(_scores(s))
-    s["flags"] = settle(quality.quality_flags(s["missing"], s["duplicates"], s["datetime"]))
-    return Profile(source, s, order_by)
+        second["outlier_preview"] = lambda: outlier_preview(flat, order_by, numbers, fences=fences)
+    return Profile(source, {**s, **_side_by_side(spark, second)}, order_by)
 
 
 def _distributions(numeric: DataFrame, tests: DataFrame, fences) -> DataFrame:
