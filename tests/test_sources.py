@@ -16,25 +16,32 @@ def types(df):
     return dict(df.dtypes)
 
 
-def test_edge_cases_csv(spark, fixtures):
-    df = read_csv(spark, str(fixtures / "data/edge_cases.csv"))
-    assert types(df) == {"id": "bigint", "name": "string", "value": "double", "category": "string"}
-    rows = {r["id"]: r for r in df.collect()}
-    assert len(rows) == 20
-    assert sum(r["name"] is None for r in rows.values()) == 4
-    assert sum(r["value"] is None for r in rows.values()) == 1
-    assert sum(r["category"] is None for r in rows.values()) == 2
-    assert rows[3]["name"] == 'Say "hello"' and rows[6]["name"] == "line1\nline2"
-    assert rows[10]["name"] == "C:\\path\\file" and rows[12]["name"] == " leading"
-    assert rows[5]["value"] == float("inf") and rows[17]["name"] == "1e10"
-
-
-def test_sales_csv_types(spark, fixtures):
-    df = read_csv(spark, str(fixtures / "data/sales_data.csv"))
-    found = types(df)
-    assert found["date"] == "string" and found["returned"] == "boolean"
-    assert found["quantity"] == "bigint" and found["unit_price"] == "double"
-    assert df.where("discount_pct IS NULL").count() == 10
+EDGES = '''id,name,value,group,flag,day
+1,"Say ""hi""",inf,A,True,2024-01-02
+2,"two
+lines",-inf,,False,2024-01-03
+3,C:\\path,12300000000.0,NULL,true,2024-01-04
+4, padded ,-0.0001,B,false,
+5,NaN,,n/a,,2024-01-06
+6,1e10,7,"",TRUE,2024-01-07
+'''
+
+
+def test_csv_edges(spark, tmp_path):
+    (tmp_path / "edges.csv").write_text(EDGES)
+    df = read_csv(spark, str(tmp_path / "edges.csv"))
+    assert types(df) == {
+        "id": "bigint", "name": "string", "value": "double", "group": "string", "flag": "boolean", "day": "string",
+    }
+    rows = [tuple(r)[1:5] for r in df.orderBy("id").collect()]
+    assert rows == [
+        ('Say "hi"', float("inf"), "A", True),
+        ("two\nlines", float("-inf"), None, False),
+        ("C:\\path", 12300000000.0, None, True),
+        (" padded ", -0.0001, "B", False),
+        (None, None, None, None),
+        ("1e10", 7.0, None, True),
+    ]
 
 
 def test_csv_texts_java_would_read_as_numbers(spark, tmp_path):
@@ -51,22 +58,28 @@ def test_csv_schema_skips_inference(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "t.csv"), schema).collect()] == [(1, None), (2, 3.0)]
 
 
-def test_jsonl_flattens_and_drops_empty(spark, fixtures):
-    df = read_jsonl(spark, str(fixtures / "data/events.jsonl"))
-    assert set(df.columns) == {
-        "event_id", "timestamp", "user_id", "event_type", "payload.session", "payload.duration_ms", "error.code", "error.msg",
-    }
-    assert df.count() == 100
-    assert df.where("`error.code` IS NOT NULL").count() == 10
+def test_jsonl_flattens_and_drops_empty(spark, tmp_path):
+    lines = [
+        '{"id": 1, "load": {"key": "a", "ms": 5}, "fault": {"code": 4, "msg": "bad"}, "gone": null}',
+        '{"id": 2, "load": {"key": "b", "ms": 6}, "fault": null, "gone": null}',
+    ]
+    (tmp_path / "log.jsonl").write_text("\n\n".join(lines) + "\n")
+    df = read_jsonl(spark, str(tmp_path / "log.jsonl"))
+    assert set(df.columns) == {"id", "load.key", "load.ms", "fault.code", "fault.msg"}
+    rows = df.orderBy("id").select("id", "`load.ms`", "`fault.code`").collect()
+    assert [tuple(r) for r in rows] == [(1, 5, 4), (2, 6, None)]
 
 
-def test_json_array(spark, fixtures):
-    df = read_json(spark, str(fixtures / "data/users.json"))
-    assert df.count() == 50
-    assert {"profile.name", "profile.location.city", "stats.rating"} <= set(df.columns)
-    first = df.where("user_id = 'USR-0001'").first()
-    assert first["skills"] == '["React", "Python", "Java", "Docker"]' and first["tags"] == '["lead"]'
-    assert df.where("tags IS NULL").count() == 7
+def test_json_array(spark, tmp_path):
+    (tmp_path / "people.json").write_text(
+        '[\n {"id": "u1", "who": {"name": "A", "at": {"city": "X"}}, "tags": ["p", "q"]},\n'
+        ' {"id": "u2", "who": {"name": "B", "at": {"city": "Y"}}, "tags": null}\n]'
+    )
+    df = read_json(spark, str(tmp_path / "people.json")).orderBy("id")
+    assert [tuple(r) for r in df.select("id", "`who.name`", "`who.at.city`", "tags").collect()] == [
+        ("u1", "A", "X", '["p", "q"]'),
+        ("u2", "B", "Y", None),
+    ]
 
 
 @pytest.mark.parametrize(
@@ -99,8 +112,9 @@ def test_unknown_extension(spark):
         read_any(spark, "table.xlsx")
 
 
-def test_validate(spark, tmp_path, fixtures):
-    validate_source(spark, str(fixtures / "data/data.csv"))
+def test_validate(spark, tmp_path):
+    (tmp_path / "good.csv").write_text(EDGES)
+    validate_source(spark, str(tmp_path / "good.csv"))
     (tmp_path / "bad.parquet").write_text("not parquet")
     with pytest.raises(ValueError, match="corrupt or unreadable"):
         validate_source(spark, str(tmp_path / "bad.parquet"))

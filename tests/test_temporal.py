@@ -89,14 +89,6 @@ def test_main_format_wins(spark):
     assert [r[0] and str(r[0].date()) for r in parse_datetimes(df, ["d"]).collect()] == [None, "2024-03-04", "2024-03-05"]
 
 
-def test_iot_fixture(spark, fixtures):
-    from frameglass import read_csv
-
-    df = read_csv(spark, str(fixtures / "data/iot_sensors.csv"))
-    got = datetime_profile(df).collect()
-    assert [r["column"] for r in got] == ["timestamp_utc"] and got[0]["inferred_freq"] is None
-
-
 def test_expected_step(spark):
     days = list(pd.date_range("2024-01-01", periods=10))
     got = expected_step_gaps(stamps(spark, days[:4] + days[6:]), "t", 86_400_000_000).first()
