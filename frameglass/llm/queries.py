@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import exact_dedup, packing, sharding, token_store
+from . import bpe_trie, exact_dedup, packing, sharding, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,12 +34,24 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer("word_bpe_49k.json"), end_id=2, with_ids=False)
 
 
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written as archives, and the records read back from them."""
+    path = scratch_path(spark, "warc")
+    warc.write_warc(spark.read.parquet(f"{sf}/pages.parquet"), path)
+    return warc.page_records(warc.read_warc(spark, path))
+
+
 def op8_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in 16 shards by the hash tree, and where they lie with one shard more."""
     rows = sharding.shard_slots(documents(spark, sf), sharding.even_tree(16))
     return rows.withColumn("law", F.lit("key"))
 
 
+def op9_bpe_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents by the trie, and what they decode to."""
+    return bpe_trie.round_trip(documents(spark, sf), tokenizer("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The verdict on every document by equality of whole normalised texts."""
     return exact_dedup.verdicts(documents(spark, sf))
@@ -48,11 +60,23 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
+    "op6_warc": op6_warc,
     "op8_hash_tree": op8_hash_tree,
+    "op9_bpe_trie": op9_bpe_trie,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+# Base32 of SHA-1, from its hexadecimal digits: five of them are four letters.
+_LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {d}, 5))::BIGINT >> {b}) & 31)::INTEGER, 1)"
+_BASE32 = " || ".join(_LETTER.format(d=5 * (i // 4) + 1, b=15 - 5 * (i % 4)) for i in range(32))
+
 ORACLE = {
+    "op6_warc": f"""
+        SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < m THEN m END AS refers_to
+        FROM (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS m
+              FROM (SELECT page_id, coalesce(html, '') AS t FROM pages))""",
     "op10_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256

@@ -15,8 +15,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a Python worker remembers (some 200 bytes each); beyond, it starts anew.
-CACHED_PIECES = 600_000
+#: Pieces that a generation of a Python worker's memory holds (some 200 bytes each); there are two.
+CACHED_PIECES = 300_000
 #: Longer pieces are encoded but not remembered.
 CACHED_BYTES = 64
 
@@ -39,6 +39,22 @@ def drops_white_space(rules: dict) -> bool:
     )
 
 
+class Recent:
+    """What was met lately: when a generation is full, a new one begins and takes over what is met again."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now, self.before = limit, {}, {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that must be computed and put into `now`, which then holds all of `keys`."""
+        if len(self.now) > self.limit:
+            self.now, self.before = {}, self.now
+        new = keys.difference(self.now)
+        again = new & self.before.keys()
+        self.now.update({k: self.before[k] for k in again})
+        return new - again
+
+
 class Encoder:
     """Encodes texts given as UTF-8 bytes to little-endian 32-bit ids."""
 
@@ -51,7 +67,7 @@ class Encoder:
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
             self.by_piece = drops_white_space(json.load(f))
-        self.cached, self.ids = cached, {}
+        self.recent = Recent(cached)
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -61,11 +77,9 @@ class Encoder:
         if not self.by_piece:
             return self._library(texts)
         pieces = [t.split() for t in texts]
-        if len(self.ids) > self.cached:
-            self.ids.clear()
-        new = set().union(*pieces).difference(self.ids)
+        new = self.recent.missing(set().union(*pieces))
         long = {p for p in new if len(p) > CACHED_BYTES}
-        known = self.ids
+        known = self.recent.now
         for group in (list(new - long), list(long)):
             known.update(zip(group, self._library(group)))
         out = [b"".join(map(known.__getitem__, p)) for p in pieces]
