@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_trie, exact_dedup, packing, sharding, token_store, warc
+from . import bpe_trie, exact_dedup, packing, quality, sharding, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -34,6 +34,11 @@ def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer("word_bpe_49k.json"), end_id=2, with_ids=False)
 
 
+def op5_host_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures of all documents, and the verdict by their own rules and their host's standing."""
+    return quality.verdicts(documents(spark, sf))
+
+
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     """All pages written as archives, and the records read back from them."""
     path = scratch_path(spark, "warc")
@@ -60,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
+    "op5_host_rules": op5_host_rules,
     "op6_warc": op6_warc,
     "op8_hash_tree": op8_hash_tree,
     "op9_bpe_trie": op9_bpe_trie,
@@ -70,7 +76,49 @@ QUERIES = {
 _LETTER = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {d}, 5))::BIGINT >> {b}) & 31)::INTEGER, 1)"
 _BASE32 = " || ".join(_LETTER.format(d=5 * (i // 4) + 1, b=15 - 5 * (i % 4)) for i in range(32))
 
+# Measures of each text, then the rules of hosts; limits as in `quality`.
+_QUALITY = """
+    WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS s FROM documents),
+    w AS (SELECT k, regexp_extract_all(s, '[^\\x20\\x09-\\x0D]+') AS ws FROM t),
+    win AS (SELECT k, i, list_slice(ws, i, i + 7) AS win FROM w, range(1, len(ws) - 6) r(i)),
+    twice AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, win) > 1),
+    rep AS (SELECT k, count(DISTINCT i + j) AS n FROM twice, range(8) r(j) GROUP BY k),
+    lines AS (SELECT k, count(*) AS n, count(DISTINCT l) AS d FROM (SELECT k, unnest(string_split(s, chr(10))) AS l FROM t)
+              WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY k),
+    m AS (SELECT doc_id, source, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+                 length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                 coalesce(lines.n - lines.d, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+                 coalesce(lines.n, 0) AS n_lines, length(s) - length(regexp_replace(s, '[A-Z]', '', 'g')) AS n_capitals,
+                 length(s) - length(regexp_replace(s, '[a-z]', '', 'g')) AS n_small
+          FROM t JOIN w USING (k) LEFT JOIN rep USING (k) LEFT JOIN lines USING (k)),
+    b AS (SELECT *, n_words < {words} OR 100 * n_repeat_words > {repeat} * n_words AS base_failed FROM m),
+    v AS (SELECT *, {values} FROM b),
+    rates AS ({rates}),
+    prior AS (SELECT *, sum(f) OVER r / sum(n) OVER r AS mean, sum(f * f / n) OVER r / sum(n) OVER r AS sq,
+                     count(*) OVER r AS hosts, sum(n) OVER r AS total FROM rates WINDOW r AS (PARTITION BY rule)),
+    spread AS (SELECT *, sq - mean * mean - hosts * mean * (1 - mean) / total AS b FROM prior),
+    strength AS (SELECT *, least({high}, greatest({low}, CASE WHEN b > 0 THEN mean * (1 - mean) / b - 1 ELSE {high} END)) AS st
+                 FROM spread),
+    bad AS (SELECT host, rule FROM strength WHERE (f + mean * st) / (n + st) >= {rate}
+            AND (f + mean * st) / (n + st) >= {lift} * mean)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_small, base_failed,
+           NOT base_failed AND NOT ({hard}) AND NOT ({soft}) AS kept FROM v"""
+_SOFT = quality.SOFT_RULES
+
+
+def _quality_sql() -> str:
+    columns = [f"coalesce(({r.part}) / nullif({r.whole}, 0), 0) > {limit} AS {k}_{r.name}" for r in _SOFT for k, limit in (("s", r.soft), ("h", r.hard))]
+    rates = [f"SELECT source AS host, '{r.name}' AS rule, count(*)::DOUBLE AS n, count_if(s_{r.name})::DOUBLE AS f FROM v GROUP BY source" for r in _SOFT]
+    soft = [f"s_{r.name} AND EXISTS (SELECT 1 FROM bad WHERE host IS NOT DISTINCT FROM source AND rule = '{r.name}')" for r in _SOFT]
+    return _QUALITY.format(
+        words=quality.MIN_WORDS, repeat=quality.REPEAT_PERCENT, values=", ".join(columns), rates=" UNION ALL ".join(rates),
+        low=quality.PRIOR_STRENGTH[0], high=quality.PRIOR_STRENGTH[1], rate=quality.BAD_RATE, lift=quality.BAD_LIFT,
+        hard=" OR ".join(f"h_{r.name}" for r in _SOFT), soft=" OR ".join(soft),
+    )
+
+
 ORACLE = {
+    "op5_host_rules": _quality_sql(),
     "op6_warc": f"""
         SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest,
                CASE WHEN page_id < m THEN 'revisit' ELSE 'response' END AS record_type,
