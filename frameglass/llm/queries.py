@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_trie, exact_dedup, packing, quality, sharding, token_store, warc
+from . import bpe_trie, exact_dedup, language, packing, quality, sharding, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,6 +46,11 @@ def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.page_records(warc.read_warc(spark, path))
 
 
+def op7_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The language of all documents by mixture inference."""
+    return language.predictions(documents(spark, sf))
+
+
 def op8_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Documents in 16 shards by the hash tree, and where they lie with one shard more."""
     rows = sharding.shard_slots(documents(spark, sf), sharding.even_tree(16))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_host_rules": op5_host_rules,
     "op6_warc": op6_warc,
+    "op7_language_mixture": op7_language_mixture,
     "op8_hash_tree": op8_hash_tree,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_exact_dedup": op10_exact_dedup,
