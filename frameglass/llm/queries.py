@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_trie, exact_dedup, language, packing, quality, sharding, token_store, warc
+from . import bpe_trie, exact_dedup, language, packing, quality, sharding, simhash, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,6 +22,11 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and the components that links of four bits or fewer make."""
+    return simhash.near_duplicates(documents(spark, sf))
+
+
 def op3_token_store(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of all documents written as Parquet lists, and what the files hold."""
     path = scratch_path(spark, "tokens")
@@ -68,6 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
     "op5_host_rules": op5_host_rules,
