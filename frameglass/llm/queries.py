@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_trie, exact_dedup, language, packing, quality, sharding, simhash, token_store, warc
+from . import bpe_trie, exact_dedup, language, licenses, packing, quality, sharding, simhash, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,6 +22,11 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_join(spark: SparkSession, sf: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.labels(documents(spark, sf))
+
+
 def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and the components that links of four bits or fewer make."""
     return simhash.near_duplicates(documents(spark, sf))
@@ -73,6 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_join": op1_license_join,
     "op2_simhash": op2_simhash,
     "op3_token_store": op3_token_store,
     "op4_packing": op4_packing,
@@ -129,7 +135,37 @@ def _quality_sql() -> str:
     )
 
 
+def _license_sql() -> str:
+    """All windows of all texts against all templates, without any filter."""
+    ts = licenses.templates()
+    rows = ", ".join(f"({t.stride}, '{t.label}', [{', '.join(repr(w) for w in sorted(t.distinct))}], {t.least(licenses.CONTAINMENT)})" for t in ts)
+    strides = ", ".join(f"({s})" for s in sorted({t.stride for t in ts}))
+    places = []
+    for phrase, label in licenses.PHRASES.items():
+        parts = phrase.split()
+        same = " AND ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(parts, 1))
+        places.append(f"SELECT k, '{label}' AS label, i FROM w, range(0, len(ws) - {len(parts) - 1}) r(i) WHERE {same}")
+    return f"""
+        WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                          '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+        p AS ({" UNION ALL ".join(places)}),
+        base AS (SELECT k, count(*) AS n, min(i) AS a, max(i) AS b, list(DISTINCT label) AS ls FROM p GROUP BY k),
+        t(stride, label, tokens, least) AS (VALUES {rows}),
+        s(stride) AS (VALUES {strides}),
+        block AS (SELECT k, stride, list_distinct(list_slice(ws, i + 1, i + 2 * stride)) AS b
+                  FROM w, s, range(0, len(ws), stride) r(i)),
+        met AS (SELECT k, label, len(list_intersect(b, tokens)) AS n, len(tokens) AS size, least FROM block JOIN t USING (stride)
+                WHERE len(list_intersect(b, tokens)) >= least),
+        best AS (SELECT k, list(DISTINCT label) AS ls, max(n / size) AS score FROM met GROUP BY k)
+        SELECT doc_id, len(ws) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word,
+               coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(base.ls, best.ls))), ','), '') AS labels,
+               CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score
+        FROM w LEFT JOIN base USING (k) LEFT JOIN best USING (k)"""
+
+
 ORACLE = {
+    "op1_license_join": _license_sql(),
     "op5_host_rules": _quality_sql(),
     "op6_warc": f"""
         SELECT page_id, strlen(t) AS payload_bytes, {_BASE32} AS payload_digest,
