@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .texts import byte_slices, utf8_values
-from .tokens import ID, Recent, packed
+from .tokens import ID, Recent, byte_letters, packed
 
 #: Pieces in a generation of a Python worker's memory, and nodes at which its trie starts anew.
 CACHED, NODES = 300_000, 500_000
@@ -39,13 +39,6 @@ ROOT = 0
 NEVER = 1 << 60
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in the file: printable ones for themselves, the others from 256 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in own]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class ByteBpe:
     def __init__(self, path: str, cached: int = CACHED, nodes: int = NODES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -28,6 +28,9 @@ def library(texts, path=WORD):
 def test_pieces_give_the_ids_of_whole_texts(path):
     texts = [t or "" for t in odd.TEXTS] + [odd.sentence(i, 50) for i in range(200)]
     spaces = [f"a'{c}s{c}{c}B́{c}." for c in map(chr, [*range(33), 0x85, 0xA0, 0x1680, 0x2000, 0x2028, 0x200B, 0x3000])]
+    spaces += [f"Ab{c}{c}1 {c}.{c}" for c in map(chr, range(256))] + ["a , b.,c ...d 12 3x (x) <x> O'x", "ÀÉß×÷"]
+    latin = [chr(c) for c in range(0xC0, 0x180)]
+    spaces += [f"A{a}{b} x{b}1{a}, {a}́ {a}.{b}" for a, b in zip(latin, latin[1:])]
     enc = Encoder(path, cached=20)
     assert enc.by_piece == (path == WORD)
     for t, ids in zip(texts + spaces, library(texts + spaces, path)):
