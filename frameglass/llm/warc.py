@@ -1,7 +1,7 @@
 """WARC archives: a writer that stores equal payloads once, and a reader that survives damage.
 
-The writer is a plain projection to text: header lines, block, and the blank lines between records as the
-line separator, so Spark's own writer commits the files on any file system it knows.
+The writer makes each record a gzip member, so a reader can begin at any of them. Spark's own text writer commits the
+files on any file system it knows: a member is a line, and the separator of lines is an empty member.
 
 The reader checks every record or gzip member. Where a check fails it searches for the next member or
 version line that parses, goes on there, and reports the bytes between as a gap with the reason; no
@@ -11,6 +11,7 @@ record behind a damaged place is lost.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 END = "\r\n\r\n"
+#: A gzip member that holds nothing, in the encoding that keeps every byte.
+NO_MEMBER, BYTES = (b"\x1f\x8b\x08" + bytes(6) + b"\x03\x03" + bytes(9)).decode("latin-1"), "ISO-8859-1"
 #: Records of one file at most, so that a file fits a task.
 FILE_RECORDS = 20_000
 DATE = "2024-01-01T00:00:00Z"
@@ -41,6 +44,13 @@ def payload_digest(html: str) -> Column:
     return F.pandas_udf(digests, "string")(html)
 
 
+def gzip_member(record: Column) -> Column:
+    def members(records: pd.Series) -> pd.Series:
+        return records.map(lambda x: gzip.compress(x.encode(), 6, mtime=0))
+
+    return F.pandas_udf(members, "binary")(record)
+
+
 # -- writing ----------------------------------------------------------------------------------------
 def _line(name: str, value: Column) -> Column:
     """A header line; nothing where the value is null. Line breaks in values become spaces."""
@@ -99,8 +109,11 @@ def write_warc(
     file_records: int = FILE_RECORDS,
     **options,
 ) -> None:
-    rows = records(pages, id_col, url_col, html_col, **options)
-    rows.write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    """Archives of all pages below `path`; `options` as of `records`."""
+    record = F.concat(F.col("value"), F.lit(END))
+    members = records(pages, id_col, url_col, html_col, **options).select(gzip_member(record).cast("string").alias("value"))
+    writer = members.write.option("encoding", BYTES).option("lineSep", NO_MEMBER)
+    writer.option("maxRecordsPerFile", file_records).text(path)
 
 
 # -- reading ----------------------------------------------------------------------------------------
