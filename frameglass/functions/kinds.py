@@ -36,8 +36,12 @@ def type_class(dtype: T.DataType) -> str:
     """Columns of one class can share a long (column, value) table without loss."""
     if isinstance(dtype, T.IntegralType):
         return "integer"
+    if isinstance(dtype, T.DecimalType):
+        return dtype.simpleString()  # a class for each precision: a double would merge values
     if isinstance(dtype, T.NumericType):
         return "floating"
+    if isinstance(dtype, T.BinaryType):
+        return "binary"
     if isinstance(dtype, T.BooleanType):
         return "boolean"
     if isinstance(dtype, T.TimestampNTZType):
@@ -60,16 +64,22 @@ CLASS_TYPE = {
     "timestamp": "timestamp",
     "date": "date",
     "string": "string",
+    "binary": "binary",
 }
 
 
+def class_type(kind: str) -> str | None:
+    """The Spark type of a class; None for values that cannot be grouped by."""
+    return kind if kind.startswith("decimal") else CLASS_TYPE.get(kind)
+
+
 def by_class(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, list[str]]:
     """Column names grouped by type class, schema order kept."""
     wanted = set(df.columns if cols is None else cols)
     groups: dict[str, list[str]] = {}
     for field in df.schema:
         kind = type_class(field.dataType)
-        if field.name in wanted and kind in CLASS_TYPE:
+        if field.name in wanted and class_type(kind):
             groups.setdefault(kind, []).append(field.name)
     return groups
 
@@ -94,4 +104,4 @@ def normalise(df: DataFrame) -> DataFrame:
 def require_columns(df: DataFrame, cols: Sequence[str]) -> None:
     missing = [name for name in cols if name not in df.columns]
     if missing:
-        raise ValueError(f"Columns not found in DataFrame: {missing}")
+        raise ValueError(f"no such columns: {missing}")

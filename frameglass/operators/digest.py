@@ -16,7 +16,7 @@ ID_CARDINALITY = 1_000
 WEAK_PAIR = 0.1
 ISSUE_OUTLIER_PCT = 5.0
 ISSUE_DUPLICATE_PCT = 1.0
-NON_NEGATIVE_NAMES = r"(?i)(quantity|qty|price|amount|total)"
+NON_NEGATIVE_NAMES = r"(?i)(quantity|qty|price)"
 DATASET = "__dataset__"
 SHORT_TYPES = {"object": "str", "float64": "float", "int64": "int"}
 NULL_RED_PCT = 10.0

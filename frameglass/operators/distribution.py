@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normality as normality_module
@@ -26,6 +26,7 @@ cloudpickle.register_pickle_by_value(normality_module)
 BINS = 10
 TEST_ROWS = 5_000
 ALPHA = 0.05
+DRAW = "__fg_draw"
 PREVIEW = 10
 
 
@@ -154,10 +155,11 @@ def normality(
     """(column, n, tested, method, w, p_value, is_normal) by Shapiro-Wilk.
 
     Columns are tested in parallel. Above `test_rows` values a column is sampled,
-    as the test is only defined for small samples: a bound on the row digest keeps
-    a few more rows than needed on the map side, so a group holds little more than
-    `test_rows` values however large the table is. With `key` (columns that
-    identify a row) the sample is the same on every run.
+    as the test is only defined for small samples: each row draws a number, a bound on it keeps
+    a few more rows than needed on the map side, and the rows with the smallest draws
+    are tested, so a group holds `test_rows` values however large the table is. With `key` (columns that
+    identify a row) the sample is the same on every run. If the key turns out not to identify
+    the rows it drew, rows draw by their place in the partitions instead. Values never decide what is drawn.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
     sizes = {
@@ -166,28 +168,28 @@ def normality(
             finite_view(df, cols), cols, lambda c, x: {"n": f"count({x})"}
         ).collect()
     }
-    draw = sample_key(key) if key else F.md5(F.rand(42).cast("string"))
+    by_place = F.md5(F.concat_ws("|", F.lit("42"), F.monotonically_increasing_id().cast("string")))
+    draw = sample_key(key) if key else by_place
     if all(n <= test_rows for n in sizes.values()):
         draw = F.lit("")
-    cells = []
-    for c in cols:
-        n, x = sizes[c], sql.quoted(c)
-        share = (test_rows + 8 * math.sqrt(test_rows)) / n if n > test_rows else 1.0
-        if share < 1.0:
-            bound = format(int(share * 16**12), "012x")
-            x = f"CASE WHEN draw < '{bound}' THEN {x} END"
-        cells.append(sql.struct({"column": sql.text(c), "x": x, "n": f"{n}L"}))
-    drawn = finite_view(df.withColumn("draw", draw), cols, keep=["draw"])
-    long = drawn.selectExpr("draw", sql.rows(cells)).where("x IS NOT NULL")
+    elif key:
+        drawn = _drawn(df, cols, sizes, draw, test_rows)
+        found = drawn.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(DRAW).alias("draws")).collect()
+        enough = {r["column"] for r in found if r["rows"] == r["draws"] >= min(sizes[r["column"]], test_rows)}
+        if any(n > test_rows and c not in enough for c, n in sizes.items()):
+            draw = by_place
+    place = F.row_number().over(Window.partitionBy("column").orderBy(DRAW))
+    long = _drawn(df, cols, sizes, draw, test_rows).withColumn("place", place).where(F.col("place") <= test_rows)
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > test_rows:
-            group = group.sort_values(["draw", "x"]).head(test_rows)
+        n = group["n"].iloc[0]
+        if len(group) < min(n, test_rows):
+            raise ValueError(f"{group['column'].iloc[0]}: {len(group)} of {n} values drawn, {test_rows} wanted")
         w, p = shapiro_wilk(group["x"].to_numpy())
         return pd.DataFrame(
             {
                 "column": [group["column"].iloc[0]],
-                "n": [group["n"].iloc[0]],
+                "n": [n],
                 "tested": [len(group)],
                 "w": pd.array([w], dtype="Float64"),
                 "p_value": pd.array([p], dtype="Float64"),
@@ -201,3 +203,17 @@ def normality(
         "column", "n", "tested", F.lit("shapiro").alias("method"), "w", "p_value",
         (F.col("p_value") > ALPHA).alias("is_normal"),
     )
+
+
+def _drawn(df: DataFrame, cols: Sequence[str], sizes: dict[str, int], draw: Column, test_rows: int) -> DataFrame:
+    """(draw, column, x, n): all values of small columns, of others those below a bound of the draw."""
+    cells = []
+    for c in cols:
+        n, x = sizes[c], sql.quoted(c)
+        share = (test_rows + 8 * math.sqrt(test_rows)) / n if n > test_rows else 1.0
+        if share < 1.0:
+            bound = format(int(share * 16**12), "012x")
+            x = f"CASE WHEN {DRAW} < '{bound}' THEN {x} END"
+        cells.append(sql.struct({"column": sql.text(c), "x": x, "n": f"{n}L"}))
+    drawn = finite_view(df.withColumn(DRAW, draw), cols, keep=[DRAW])
+    return drawn.selectExpr(DRAW, sql.rows(cells)).where("x IS NOT NULL")

@@ -1,4 +1,4 @@
-"""Rows equal to an earlier row, counted exactly without shuffling whole tables."""
+"""Rows equal to an earlier row, counted in one pass over 256-bit row digests."""
 
 from __future__ import annotations
 
@@ -9,35 +9,21 @@ from ..functions.kinds import normalise
 from ..functions.numbers import share_pct
 from ..functions.sql import quoted
 
-_FP = "__fp"
 
 
-def _fingerprint(df: DataFrame) -> DataFrame:
-    """A 64-bit row hash plus the positions of nulls, which the hash passes over."""
+def _digest(df: DataFrame) -> list[str]:
+    """Four independent 64-bit row hashes; each takes in which values are null, as hashes pass over nulls."""
     names = [quoted(c) for c in df.columns]
-    gaps = ", ".join(f"{x} IS NULL" for x in names)
-    return df.withColumn(_FP, F.expr(f"xxhash64({', '.join(names)}, {gaps})"))
+    gaps = [f"{x} IS NULL" for x in names]
+    return [f"xxhash64({', '.join([str(seed), *gaps, *names])}) AS h{seed}" for seed in range(4)]
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(duplicate_rows, duplicate_pct), null equal to null, NaN read as null.
 
-    Equal rows share a fingerprint, so only fingerprints seen twice can hide
-    duplicates. The first shuffle moves 16 bytes a row; the full rows that move
-    are the suspects, after a map-side distinct. A fingerprint shared by unequal
-    rows costs time but never changes the count, as suspects compare whole rows.
+    Rows are equal when their 256-bit digests are. Repeats collapse in each task, and one shuffle moves
+    32 bytes of each row that is left; whole rows never move.
     """
-    flat = normalise(df)
-    marked = _fingerprint(flat)
-    groups = marked.groupBy(_FP).agg(F.count(F.lit(1)).alias("cnt"))
-    totals = groups.selectExpr(
-        "coalesce(sum(cnt), 0) AS n", "coalesce(sum(cnt) FILTER (WHERE cnt > 1), 0) AS suspects"
-    ).first()
-    count = 0
-    if totals["suspects"]:
-        # No hint: the suspects are broadcast only if their measured size allows it.
-        suspects = groups.where("cnt > 1").select(_FP)
-        kept = marked.join(suspects, _FP, "left_semi").distinct().count()
-        count = totals["suspects"] - kept
-    one = df.sparkSession.createDataFrame([(count, totals["n"])], "duplicate_rows bigint, n bigint")
-    return one.selectExpr("duplicate_rows", f"{share_pct('duplicate_rows', 'n')} AS duplicate_pct")
+    seen = normalise(df).selectExpr(*_digest(df)).groupBy("h0", "h1", "h2", "h3").agg(F.count(F.lit(1)).alias("cnt"))
+    totals = seen.selectExpr("coalesce(sum(cnt - 1), 0) AS duplicate_rows", "coalesce(sum(cnt), 0) AS n")
+    return totals.selectExpr("duplicate_rows", f"{share_pct('duplicate_rows', 'n')} AS duplicate_pct")

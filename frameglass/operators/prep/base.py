@@ -108,9 +108,9 @@ class Operation:
         require_columns(df, cols)
         number = {f.name for f in df.schema if isinstance(f.dataType, (T.NumericType, T.BooleanType))}
         if self.kind == "numeric" and (wrong := [c for c in cols if c not in number]):
-            raise TypeError(f"{self.name} requires numeric columns, got: {wrong}")
+            raise TypeError(f"{self.name} works on numbers; these columns hold none: {wrong}")
         if self.kind == "categorical" and (wrong := [c for c in cols if c in number]):
-            raise TypeError(f"{self.name} requires categorical columns, got numeric: {wrong}")
+            raise TypeError(f"{self.name} works on categories; these columns hold numbers: {wrong}")
 
     def needs(self, cols: Sequence[str]) -> Needs:
         return Needs()
@@ -133,7 +133,7 @@ class Operation:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.params is None:
-            raise RuntimeError(f"{type(self).__name__} is not fitted yet")
+            raise RuntimeError(f"fit {type(self).__name__} before transform")
         return self.apply(df, self.resolve(df))
 
     def fit_transform(self, df: DataFrame) -> DataFrame:

@@ -15,7 +15,6 @@ from ..value_counts import long_values, top_n
 # One more than this is still within Spark's default limit for per-task top-n.
 LISTED = 999
 RUN_ROWS = 1_000_000
-MAX_RUNS = 1_024
 
 
 @dataclass
@@ -25,6 +24,12 @@ class Categories:
     values: list[str] | None = None
     table: DataFrame | None = None
 
+    def listed(self) -> list[str]:
+        """All values in sorted order, for uses that make something of each on the driver."""
+        if self.table is None:
+            return self.values
+        return [r["value"] for r in self.table.orderBy("code").collect()]
+
     def code_table(self, df: DataFrame) -> DataFrame:
         if self.table is not None:
             return self.table
@@ -60,9 +65,11 @@ def ranked_values(df: DataFrame, column: str, run_rows: int = RUN_ROWS) -> DataF
     """
     spark = df.sparkSession
     text = ref(column).cast("string")
-    values = df.select(text.alias("value")).where("value IS NOT NULL").distinct()
+    distinct = scratch_path(spark, "values")
+    df.select(text.alias("value")).where("value IS NOT NULL").distinct().write.parquet(distinct)
+    values = spark.read.parquet(distinct)  # one shuffle; the passes below read the copy
     total = values.count()
-    runs = min(max(total // run_rows, 1), MAX_RUNS)
+    runs = max(total // run_rows, 1)
     share = min(1.0, 16 * runs / max(total, 1))
     bound = format(int(share * 16**12), "012x") if share < 1 else "g"
     sample = sorted(r["value"] for r in values.where(F.md5("value") < bound).collect())

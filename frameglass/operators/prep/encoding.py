@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ...functions.kinds import ref
 from .base import Needs, Operation, Stats
-from .categories import LISTED, Categories
+from .categories import Categories
 
+# These choose the plan only; results are the same on either side.
 LITERAL_CODES = 64
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -22,19 +23,31 @@ def _text(c: str) -> Column:
 
 
 class EncodeOneHot(Operation):
-    """0/1 columns `{column}_{category}` in sorted order after the rest; null and unseen are all 0."""
+    """0/1 columns `{column}_{category}` in sorted order after the rest; null and unseen are all 0.
+
+    A table gets as many columns as there are categories. `max_categories` bounds them: a column with more
+    raises while fitting. Without it, all become columns.
+    """
 
     name = "encoding.onehot"
     kind = "categorical"
 
+    def __init__(self, cols: Sequence[str] | None = None, max_categories: int | None = None) -> None:
+        super().__init__(cols)
+        self.max_categories = max_categories
+
+    def options(self) -> dict[str, Any]:
+        return {"max_categories": self.max_categories}
+
     def needs(self, cols: Sequence[str]) -> Needs:
         return Needs(categories=set(cols))
 
     def learn(self, cols: Sequence[str], stats: Stats) -> None:
-        for c in cols:
-            if stats.categories[c].values is None:
-                raise ValueError(f"column {c!r} has more than {LISTED} categories; use label encoding")
-        self.params = {c: {"categories": stats.categories[c].values} for c in cols}
+        found = {c: stats.categories[c].listed() for c in cols}
+        for c, values in found.items():
+            if self.max_categories is not None and len(values) > self.max_categories:
+                raise ValueError(f"column {c!r} has {len(values)} categories, more than {self.max_categories}")
+        self.params = {c: {"categories": values} for c, values in found.items()}
 
     def apply(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
         gone = set(cols)

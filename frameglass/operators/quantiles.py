@@ -1,13 +1,11 @@
 """Exact interpolated quantiles that no single task has to hold.
 
-Small inputs use Spark's exact `percentile`, whose state is a map of all distinct
-values. Beyond `SMALL_ROWS` that map would outgrow a task, so each quantile is
-narrowed instead: a sketch proposes a bracket, one counting pass proves how many
+Each quantile is narrowed: a sketch proposes a bracket, one counting pass proves how many
 rows lie below, on and inside it, and the same pass sketches only the inside for
 the next round. A bracket is resolved when the wanted rank falls on an end or few
 rows are left inside. Every pass is a plain aggregate over the needed columns;
 nothing shuffles but the aggregate buffers. The result never depends on the sketch
-being right, as each bracket is checked by counting.
+being right, as each bracket is checked by counting. Tables of all sizes take this way.
 """
 
 from __future__ import annotations
@@ -23,7 +21,6 @@ from ..functions.numbers import finite_view, not_nan
 from ..functions.sql import number, quoted, rows, struct
 from .tidy import union_all
 
-SMALL_ROWS = 2_000_000
 INSIDE_ROWS = 50_000
 GRID = 500
 _BLOCK = 64
@@ -36,20 +33,17 @@ def exact_quantiles(
     df: DataFrame,
     wanted: dict[str, Sequence[float]],
     value: Callable[[str], str] = not_nan,
-    small_rows: int | None = None,
     inside_rows: int | None = None,
 ) -> Quantiles:
     """{column: {p: quantile}} with linear interpolation; `value` picks the usable values."""
     wanted = {name: sorted(set(ps)) for name, ps in wanted.items() if ps}
     if not wanted:
         return {}
-    # A count needs no column, so on Parquet it reads footers only.
-    small = df.count() <= (SMALL_ROWS if small_rows is None else small_rows)
     found: Quantiles = {}
     for chunk in blocks(list(wanted), _BLOCK):
         part = {c: wanted[c] for c in chunk}
         view = finite_view(df, chunk, value=value)
-        found |= _by_percentile(view, part) if small else _by_brackets(view, part, inside_rows or INSIDE_ROWS)
+        found |= _by_brackets(view, part, inside_rows or INSIDE_ROWS)
     return found
 
 
@@ -66,13 +60,6 @@ def _array(values: Sequence[float]) -> str:
     return f"array({', '.join(map(number, values))})"
 
 
-def _by_percentile(df: DataFrame, wanted: dict[str, list[float]]) -> Quantiles:
-    found = _values(df, [f"percentile({quoted(c)}, {_array(ps)})" for c, ps in wanted.items()], 2)
-    return {
-        c: dict(zip(ps, values or [None] * len(ps))) for (c, ps), values in zip(wanted.items(), found)
-    }
-
-
 @dataclass(eq=False)
 class _Bracket:
     """An interval proposed to hold the wanted ranks."""

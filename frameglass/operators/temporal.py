@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -21,12 +22,12 @@ from ..functions.kinds import categorical_columns, datetime_columns
 from .tidy import per_column
 
 DETECT_SHARE = 0.8
-LONGEST = 32
 FOUR_DIGITS = r"\d{4}"
 DAY = 86_400_000_000
 HOUR = 3_600_000_000
 
 ISO = ""  # read by a plain cast
+ZONED = "zoned"  # an instant, read by a plain cast
 
 # Accepted date texts as (full-match pattern, Spark format), month first.
 FORMATS = (
@@ -42,6 +43,11 @@ FORMATS = (
     (r"[A-Z][a-z]{2} \d{1,2}, \d{4}", "MMM d, yyyy"),
     (r"(1[89]|20|21)\d{6}", "yyyyMMdd"),
     (r"(1[789]|20|21)\d{2}", "yyyy"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{1,2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})", ZONED),
+    (r"[A-Z][a-z]{3,8} \d{1,2}, \d{4}", "MMMM d, yyyy"),
+    (r"\d{1,2}-\d{1,2}-\d{4}", "M-d-yyyy"),
+    (r"\d{4}-\d{2}-\d{2} \d{1,2}:\d{2} [AP]M", "yyyy-MM-dd h:mm a"),
+    (r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M", "M/d/yyyy h:mm a"),
 )
 
 
@@ -49,16 +55,17 @@ def _parse(x: str, index: int) -> str:
     """The text in one format; the pattern gate keeps the costly parse off other texts."""
     pattern, fmt = FORMATS[index]
     hit = f"CASE WHEN {x} RLIKE {sql.text(f'^({pattern})$')} THEN {x} END"
+    if fmt == ZONED:
+        return f"try_cast({hit} AS TIMESTAMP)"
     if fmt == ISO:
         return f"try_cast({hit} AS TIMESTAMP_NTZ)"
     return f"CAST(try_to_timestamp({hit}, {sql.text(fmt)}) AS TIMESTAMP_NTZ)"
 
 
 def _parses(x: str) -> str:
-    """Whether any format reads the text. All formats have a 4-digit run and are short."""
-    any_format = f"coalesce({', '.join(_parse(x, i) for i in range(len(FORMATS)))}) IS NOT NULL"
-    maybe = f"length({x}) BETWEEN 4 AND {LONGEST} AND {x} RLIKE {sql.text(FOUR_DIGITS)}"
-    return f"CASE WHEN {maybe} THEN {any_format} ELSE FALSE END"
+    """Whether any format reads the text. All formats have a 4-digit run."""
+    any_format = " OR ".join(f"{_parse(x, i)} IS NOT NULL" for i in range(len(FORMATS)))
+    return f"CASE WHEN {x} RLIKE {sql.text(FOUR_DIGITS)} THEN {any_format} ELSE FALSE END"
 
 
 def detect_datetime(df: DataFrame, threshold: float = DETECT_SHARE) -> DataFrame:
@@ -99,9 +106,9 @@ def parse_datetimes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def micros(x: str, dtype: T.DataType) -> str:
-    """Microseconds since 1970; zone-less stamps are read as they stand."""
+    """Microseconds since 1970 of the wall time; zoned stamps are read in the session's zone."""
     if isinstance(dtype, T.TimestampType):
-        return f"unix_micros({x})"
+        x = f"CAST({x} AS TIMESTAMP_NTZ)"
     days = f"CAST(unix_date(CAST({x} AS DATE)) AS BIGINT) * {DAY}L"
     if isinstance(dtype, T.DateType):
         return days
@@ -114,27 +121,41 @@ def whole_days(us: str) -> str:
     return f"(({us}) - pmod({us}, {DAY}L)) div {DAY}L"
 
 
+def elapsed(x: str, dtype: T.DataType) -> str:
+    """Microseconds since 1970 as they pass; the wall time of zone-less stamps."""
+    return f"unix_micros({x})" if isinstance(dtype, T.TimestampType) else micros(x, dtype)
+
+
 def stamps_of(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, m): the non-null stamps of all columns as microseconds."""
+    """(column, m, u): the non-null stamps of all columns in microseconds of wall time and of elapsed time.
+
+    Days and calendar rules follow the wall time; spans, gaps and steps inside days the time that passes.
+    """
     kinds = {f.name: f.dataType for f in df.schema}
-    cells = [sql.struct({"column": sql.text(c), "m": micros(sql.quoted(c), kinds[c])}) for c in cols]
+    cells = [
+        sql.struct({"column": sql.text(c), "m": micros(sql.quoted(c), kinds[c]), "u": elapsed(sql.quoted(c), kinds[c])})
+        for c in cols
+    ]
     return df.selectExpr(sql.rows(cells)).where("m IS NOT NULL")
 
 
 def day_table(stamps: DataFrame) -> DataFrame:
     """(column, day, first, last, cnt): at most one row per calendar day and column."""
     return stamps.groupBy("column", F.expr(whole_days("m")).alias("day")).agg(
-        F.min("m").alias("first"), F.max("m").alias("last"), F.count(F.lit(1)).alias("cnt")
+        F.min("m").alias("first"), F.max("m").alias("last"), F.count(F.lit(1)).alias("cnt"),
+        F.min("u").alias("first_u"), F.max("u").alias("last_u"),
     )
 
 
 def date_ranges(days: DataFrame) -> DataFrame:
-    """(column, n, min_us, max_us, date_range_days) from the day table; elapsed whole days."""
+    """(column, n, min_us, max_us, min_u, max_u, date_range_days) from the day table; elapsed whole days."""
     return days.groupBy("column").agg(
         F.sum("cnt").alias("n"),
         F.min("first").alias("min_us"),
         F.max("last").alias("max_us"),
-        F.expr(whole_days("max(last) - min(first)")).alias("date_range_days"),
+        F.min("first_u").alias("min_u"),
+        F.max("last_u").alias("max_u"),
+        F.expr(whole_days("max(last_u) - min(first_u)")).alias("date_range_days"),
     )
 
 
@@ -145,10 +166,10 @@ def day_gaps(days: DataFrame) -> DataFrame:
     stamp of a day to the first of the next present day can span whole days.
     """
     # The window sorts calendar days, never raw rows.
-    before = F.lag("last").over(Window.partitionBy("column").orderBy("day"))
+    before = F.lag("last_u").over(Window.partitionBy("column").orderBy("day"))
     step = days.withColumn("before", before)
     across = step.where("before IS NOT NULL").selectExpr(
-        "column", f"{whole_days('first - before')} AS gap_days", "1L AS cnt"
+        "column", f"{whole_days('first_u - before')} AS gap_days", "1L AS cnt"
     )
     within = days.where("cnt > 1").selectExpr("column", "0L AS gap_days", "cnt - 1 AS cnt")
     return across.unionByName(within).groupBy("column", "gap_days").agg(F.sum("cnt").alias("cnt"))
@@ -193,8 +214,9 @@ def _spans(ranges: DataFrame) -> DataFrame:
     first, last = _month_number(day_of("min_us")), _month_number(day_of("max_us"))
     exact = lambda span: f"CASE WHEN ({span}) % (n - 1) = 0 AND {span} > 0 THEN ({span}) div (n - 1) END"
     return ranges.where("n >= 3 AND max_us > min_us").selectExpr(
-        "column", "n", "min_us", "max_us",
+        "column", "n", "min_us", "max_us", "min_u",
         f"{exact('(max_us - min_us)')} AS step",
+        f"{exact('(max_u - min_u)')} AS step_u",
         f"{first} AS first_month",
         f"{exact(f'({last} - {first})')} AS month_step",
     )
@@ -208,6 +230,7 @@ def calendar_facts(days: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     at = lambda end, step: f"({end} - min_us) % {step} = 0"
     both = lambda step: f"coalesce({at('first', step)} AND {at('last', step)}, FALSE)"
+    passing = "coalesce((first_u - min_u) % step_u = 0 AND (last_u - min_u) % step_u = 0, FALSE)"
     return (
         days.join(F.broadcast(_spans(ranges)), "column")
         .selectExpr("*", "date_from_unix_date(CAST(day AS INT)) AS date")
@@ -218,7 +241,7 @@ def calendar_facts(days: DataFrame, ranges: DataFrame) -> DataFrame:
             f"{_month_number('date')} AS month",
             "day(last_day(date)) - day(date) AS from_end",
         )
-        .groupBy("column", "n", "min_us", "max_us", "step", "month_step")
+        .groupBy("column", "n", "min_us", "max_us", "step", "step_u", "month_step")
         .agg(
             *map(
                 F.expr,
@@ -226,6 +249,7 @@ def calendar_facts(days: DataFrame, ranges: DataFrame) -> DataFrame:
                     f"bool_and(first = last AND {at('first', f'{DAY}L')}) AS whole_days",
                     "max(cnt) AS most_a_day",
                     f"bool_and({both('step')}) AS maybe_grid",
+                    f"bool_and({passing}) AS maybe_passing",
                     f"bool_and({both(f'{HOUR}L')}) AS maybe_hours",
                     "min(wd) AS weekday_lo",
                     "max(wd) AS weekday_hi",
@@ -243,16 +267,17 @@ def calendar_facts(days: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _intraday_facts(stamps: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(column, repeats, on_grid, whole_hours) over all stamps of the few columns that may be regular."""
+    """(column, repeats, on_grid, on_passing_grid, whole_hours) over all stamps of the few columns that may be regular."""
     offset = lambda step: f"bool_and(coalesce((m - min_us) % {step} = 0, FALSE))"
     return (
-        stamps.groupBy("column", "m")
+        stamps.groupBy("column", "m", "u")
         .agg(F.count(F.lit(1)).alias("cnt"))
         .join(F.broadcast(_spans(ranges)), "column")
         .groupBy("column")
         .agg(
             F.expr("bool_or(cnt > 1) AS repeats"),
             F.expr(f"{offset('step')} AS on_grid"),
+            F.expr("bool_and(coalesce((u - min_u) % step_u = 0, FALSE)) AS on_passing_grid"),
             F.expr(f"{offset(f'{HOUR}L')} AS whole_hours"),
         )
     )
@@ -290,7 +315,8 @@ def _step_label(step: int, at: datetime) -> str:
 def _day_rule(fact: Row) -> str | None:
     """Label of whole-day series that are not a plain grid."""
     first, last = stamp(fact["min_us"]), stamp(fact["max_us"])
-    if fact["weekday_hi"] <= 4 and len(pd.bdate_range(first.date(), last.date())) == fact["n"]:
+    weekdays = np.busday_count(first.date(), np.datetime64(last.date(), "D") + 1)  # both ends count
+    if fact["weekday_hi"] <= 4 and weekdays == fact["n"]:
         return "B"
     if fact["weekday_lo"] == fact["weekday_hi"]:
         weeks = [w for w in fact["weeks"] if w < 4]
@@ -328,7 +354,9 @@ def infer_frequencies(stamps: DataFrame, days: DataFrame, ranges: DataFrame) ->
     facts = {r["column"]: r for r in calendar_facts(days, ranges).collect()}
     found = {c: _whole_day_label(f) for c, f in facts.items() if f["whole_days"]}
     inside = [
-        c for c, f in facts.items() if not f["whole_days"] and (f["maybe_grid"] or f["maybe_hours"])
+        c
+        for c, f in facts.items()
+        if not f["whole_days"] and (f["maybe_grid"] or f["maybe_passing"] or f["maybe_hours"])
     ]
     if inside:
         of_inside = F.col("column").isin(inside)
@@ -336,16 +364,21 @@ def infer_frequencies(stamps: DataFrame, days: DataFrame, ranges: DataFrame) ->
             c, fact = row["column"], facts[row["column"]]
             if row["repeats"]:
                 continue
-            if row["on_grid"]:
+            if row["on_grid"] and fact["step"] % DAY == 0:
                 found[c] = _step_label(fact["step"], stamp(fact["min_us"]))
+            elif row["on_passing_grid"]:
+                found[c] = _step_label(fact["step_u"], stamp(fact["min_us"]))
             elif row["whole_hours"] and _is_business_hours(stamps, c):
                 found[c] = "bh"
     return {c: label for c, label in found.items() if label}
 
 
 def calendar_length(label: str, lo: int, hi: int) -> int:
-    """Stamps a full calendar of this frequency has between two stamps."""
-    return len(pd.date_range(stamp(lo), stamp(hi), freq=label))
+    """Stamps a full calendar of this frequency has between two stamps that lie on it."""
+    first, last = stamp(lo), stamp(hi)
+    if label.startswith("WOM"):
+        return (last.year - first.year) * 12 + last.month - first.month + 1
+    return len(pd.date_range(first, last, freq=label))
 
 
 def gap_count(label: str | None, n: int, lo: int, hi: int) -> int | None:
@@ -367,7 +400,7 @@ def expected_step_gaps(df: DataFrame, column: str, step_us: int) -> DataFrame:
     ).withColumn("gaps", F.expr("greatest(expected - present, 0L)"))
 
 
-SPAN_SCHEMA = "column string, n bigint, min_us bigint, max_us bigint"
+SPAN_SCHEMA = "column string, n bigint, min_us bigint, max_us bigint, min_u bigint, max_u bigint"
 PROFILE_SCHEMA = (
     "column string, min_date string, max_date string, date_range_days bigint, inferred_freq string, "
     "gaps_count bigint, seasonality_hint string, timezone string"
@@ -387,7 +420,7 @@ def datetime_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     try:
         known = date_ranges(days).join(seasonality_hints(days), "column").collect()
         ranges = {r["column"]: r for r in known}
-        spans = [(c, r["n"], r["min_us"], r["max_us"]) for c, r in ranges.items()]
+        spans = [(c, *(r[k] for k in ("n", "min_us", "max_us", "min_u", "max_u"))) for c, r in ranges.items()]
         labels = infer_frequencies(stamps, days, spark.createDataFrame(spans, SPAN_SCHEMA)) if spans else {}
     finally:
         days.unpersist()

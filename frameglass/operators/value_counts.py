@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sql
-from ..functions.kinds import CLASS_TYPE, by_class
+from ..functions.kinds import by_class, class_type
 from ..functions.numbers import not_nan
 from .tidy import per_column, union_all
 
@@ -24,7 +24,7 @@ def long_values(
         groups = by_class(df, cols)
         if len(groups) != 1:
             raise ValueError(f"columns of one type class expected, got {sorted(groups)}")
-        cast = CLASS_TYPE[next(iter(groups))]
+        cast = class_type(next(iter(groups)))
     keys = [f"struct({', '.join(map(sql.quoted, order_by))}) AS ord"] if order_by else []
     value = not_nan if cast == "double" else (lambda x: f"CAST({x} AS {cast})")
     cells = [sql.struct({"column": sql.text(c), "value": value(sql.quoted(c))}) for c in cols]
@@ -53,7 +53,7 @@ def value_counts(
 
 
 def n_unique(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> DataFrame:
-    """(column, n_unique): exact distinct non-null values, or a sketch on request."""
+    """(column, n_unique): exact distinct non-null values, or a sketch on request; null for nested columns."""
     if approximate:
         return per_column(df, cols, lambda c, x: {"n_unique": f"approx_count_distinct({x})"})
     parts = [
@@ -62,9 +62,10 @@ def n_unique(df: DataFrame, cols: Sequence[str], approximate: bool = False) -> D
     ]
     seen = union_all(parts)
     # Columns without any value have no group; a one-row-per-column frame restores them.
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    counted = {c for names in by_class(df, cols).values() for c in names}
+    names = df.sparkSession.createDataFrame([(c, c in counted) for c in cols], "column string, counted boolean")
     return names.join(seen, "column", "left").select(
-        "column", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique")
+        "column", F.expr("CASE WHEN counted THEN coalesce(n_unique, 0) END").cast("bigint").alias("n_unique")
     )
 
 
@@ -100,11 +101,11 @@ def top_n(vc: DataFrame, n: int, *order: Column) -> DataFrame:
     return vc.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
 
 
-PREFIX_ROWS = 200
-
+def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
+    """(column, rank, value): the first distinct values in row order, as text; null counts, NaN is null.
 
-def _firsts(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int) -> DataFrame:
-    """(column, rank, value) by one pass over the first row of every distinct value."""
+    One pass keeps the first row of every distinct value; repeats collapse before they are moved.
+    """
     parts = []
     for kind, names in by_class(df, cols).items():
         firsts = value_counts(df, names, order_by, keep_nulls=True)
@@ -115,31 +116,3 @@ def _firsts(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int)
             top_n(firsts, n, F.col("first_seen").asc()).selectExpr("column", "rank", f"{shown} AS value")
         )
     return union_all(parts)
-
-
-def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """(column, rank, value): the first distinct values in row order, as text; null counts.
-
-    The first rows of the table settle every column that shows `n` values in them. A
-    column with fewer is settled too when a counting pass finds no other value. Only
-    the rest, such as a date the table is sorted by, is grouped by value.
-    """
-    names = [c for group in by_class(df, cols).values() for c in group]
-    needed = df.select(*[sql.quoted(c) for c in dict.fromkeys([*names, *order_by])])
-    head = needed.orderBy(*map(sql.quoted, order_by)).limit(PREFIX_ROWS).collect()
-    small = df.sparkSession.createDataFrame(head, needed.schema)
-    seen = {c: list({row[c]: None for row in head}) for c in names}
-    short = [c for c in names if len(seen[c]) < n]
-    rest: list[str] = []
-    if short and len(head) == PREFIX_ROWS:
-        known = {c: F.lit(False) for c in short}
-        for c in short:
-            for v in seen[c]:
-                known[c] = known[c] | F.col(sql.quoted(c)).eqNullSafe(F.lit(v))
-        others = needed.agg(*[F.count_if(~known[c]).alias(f"n{i}") for i, c in enumerate(short)]).first()
-        rest = [c for i, c in enumerate(short) if others[i]]
-    settled = [c for c in names if c not in rest]
-    parts = [_firsts(small, settled, order_by, n)] if settled else []
-    if rest:
-        parts.append(_firsts(df, rest, order_by, n))
-    return union_all(parts)

@@ -50,11 +50,15 @@ def build_operation(operation: str, strategy: Mapping[str, Any], cols: Sequence[
 def _plain(value: Any) -> Any:
     if isinstance(value, (date, datetime)):
         return {"time": value.isoformat(sep=" ") if isinstance(value, datetime) else value.isoformat()}
+    if isinstance(value, Mapping):
+        return {k: _plain(v) for k, v in value.items()}
     return value
 
 
 def _restored(value: Any) -> Any:
-    return value["time"] if isinstance(value, dict) and set(value) == {"time"} else value
+    if isinstance(value, dict):
+        return value["time"] if set(value) == {"time"} else {k: _restored(v) for k, v in value.items()}
+    return value
 
 
 class Chain:
@@ -154,4 +158,4 @@ class Chain:
         return chain
 
     def __repr__(self) -> str:
-        return "Chain(\n" + "".join(f"  [{i}] {s}\n" for i, s in enumerate(self.steps)) + ")"
+        return f"Chain({' > '.join(map(repr, self.steps))})"

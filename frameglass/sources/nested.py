@@ -32,7 +32,7 @@ def read_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """A root array gives its items; a root object its first list, else itself as one row."""
     mark = _first_mark(spark, path)
     if mark not in ("[", "{"):
-        raise ValueError("JSON root must be an array or object")
+        raise ValueError("a JSON document must hold an array or an object")
     raw = spark.read.json(path, multiLine=True)
     if mark == "{":
         lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]

@@ -32,12 +32,13 @@ def extension(path: str) -> str:
     name = path.rstrip("/*").lower()
     found = [e for e in EXTENSIONS if name.endswith(e)]
     if not found:
-        raise ValueError(f"Unsupported file format: {path}")
+        raise ValueError(f"no reader for {path}: expected one of {EXTENSIONS}")
     return found[0]
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
-    return _READERS[extension(path)](spark, path)
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Read by extension; options go to the reader of the format, such as `multiline=False` for CSV."""
+    return _READERS[extension(path)](spark, path, **options)
 
 
 def source_meta(df: DataFrame) -> DataFrame:
@@ -51,11 +52,17 @@ def source_meta(df: DataFrame) -> DataFrame:
     )
 
 
+def _hashable(field: T.StructField) -> str:
+    """SQL that needs all of a column; maps and nested values are hashed as text."""
+    nested = isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))
+    return f"to_json({sql.quoted(field.name)})" if nested else sql.quoted(field.name)
+
+
 def validate_source(spark: SparkSession, path: str) -> None:
-    """Raise ValueError unless the extension is known and the first rows can be read.
+    """Raise ValueError unless the extension is known and the source can be read.
 
-    JSON documents and Parquet are checked by their schema and first rows as well;
-    no format is read whole.
+    Every value of a Parquet source is decoded, in one distributed pass. JSON is parsed whole to infer its
+    columns. Of CSV the header and the first rows are read; `corrupt_rows` checks all of them.
     """
     kind = extension(path)
     reader = spark.read.option("mode", "FAILFAST")
@@ -68,9 +75,12 @@ def validate_source(spark: SparkSession, path: str) -> None:
             probe = reader.option("multiLine", kind == ".json").json(path)
         if not probe.columns:
             raise ValueError("no columns")
-        probe.limit(PROBE_ROWS).collect()
+        if kind == ".parquet":
+            probe.selectExpr(f"bit_xor(xxhash64({', '.join(['1', *map(_hashable, probe.schema)])}))").collect()
+        else:
+            probe.limit(PROBE_ROWS).collect()
     except Exception as error:
-        raise ValueError(f"File appears to be corrupt or unreadable: {error}") from error
+        raise ValueError(f"cannot read {path}: {error}") from error
 
 
 def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -68,14 +68,14 @@ def test_bracketed_quantiles_are_exact(spark, seed):
     data.loc[::17, "heavy"] = np.nan
     ps = [0.0, 0.05, 0.25, 0.4, 0.5, 0.7001, 0.75, 0.95, 1.0]
     df = spark.createDataFrame(data).repartition(7)
-    got = exact_quantiles(df, {c: ps for c in data}, small_rows=0, inside_rows=3)
+    got = exact_quantiles(df, {c: ps for c in data}, inside_rows=3)
     for c in data:
         for p in ps:
             assert same(got[c][p], data[c].quantile(p)), (c, p)
 
 
 def test_bracketed_quantiles_without_values(spark):
-    got = exact_quantiles(frame(spark, [None, NAN]), {"x": [0.5]}, small_rows=0)
+    got = exact_quantiles(frame(spark, [None, NAN]), {"x": [0.5]})
     assert got == {"x": {0.5: None}}
 
 
@@ -227,3 +227,40 @@ def test_report_on_edge_frames(spark, rows, schema):
     assert report["schema"]["n_rows"] == len(rows)
     score = report["data_quality_score"]
     assert 0.0 <= score["overall_score"] <= 1.0
+
+
+def test_normality_with_a_key_that_repeats(spark):
+    df = spark.range(0, 200_000, 1, 6).selectExpr("id % 7 AS k", "randn(3) AS x")
+    row = normality(df, ["x"], key=["k"]).collect()[0]
+    assert (row.n, row.tested, row.is_normal) == (200_000, 5_000, True)
+    named = normality(df.withColumnRenamed("x", "draw"), ["draw"], key=["k"]).collect()[0]
+    assert named.tested == 5_000 and named.is_normal
+    few = normality(spark.range(0, 50_000, 1, 6).selectExpr("1 AS k", "id % 3 AS x"), ["x"], key=["k"]).collect()[0]
+    assert few.tested == 5_000 and not few.is_normal
+    unique = spark.range(0, 30_000, 1, 6).selectExpr("id AS k", "id * id AS x")
+    again = unique.repartition(3)
+    assert normality(unique, ["x"], key=["k"]).collect() == normality(again, ["x"], key=["k"]).collect()
+
+
+def test_n_unique_of_decimals_and_binary(spark):
+    df = spark.sql(
+        "SELECT CAST(d AS DECIMAL(38, 1)) AS d, CAST(d AS DECIMAL(22, 1)) AS e, unhex(b) AS b, map(b, 1) AS m "
+        "FROM VALUES ('12345678901234567890.1', '00'), ('12345678901234567890.2', '01'), ('12345678901234567890.2', '00') AS t(d, b)"
+    )
+    got = {r["column"]: r.n_unique for r in n_unique(df, ["d", "e", "b", "m"]).collect()}
+    assert got == {"d": 2, "e": 2, "b": 2, "m": None}
+
+
+def test_first_values_behind_many_nans(spark):
+    df = spark.createDataFrame([(i, float("nan") if i < 198 else float(i)) for i in range(218)], "k int, x double")
+    got = [r.value for r in first_values(df, ["x"], ["k"]).orderBy("rank").collect()]
+    assert got == [None, *(f"{i}.0" for i in range(198, 207))]
+
+
+def test_duplicates_move_digests_only(spark):
+    df = spark.range(1_000).selectExpr("id % 10 AS a", "CASE WHEN id % 2 = 0 THEN 'x' END AS b", "id % 2 = 1 AS c", "CAST(NULL AS STRING) AS d")
+    assert tuple(duplicate_rows(df).collect()[0])[0] == 990
+    swapped = spark.createDataFrame([("v", None), (None, "v")], "a string, b string")
+    assert duplicate_rows(swapped).collect()[0].duplicate_rows == 0
+    plan = duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

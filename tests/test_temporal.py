@@ -93,3 +93,36 @@ def test_expected_step(spark):
     days = list(pd.date_range("2024-01-01", periods=10))
     got = expected_step_gaps(stamps(spark, days[:4] + days[6:]), "t", 86_400_000_000).first()
     assert (got["expected"], got["present"], got["gaps"]) == (10, 8, 2)
+
+
+def zoned(spark, zone, texts):
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in texts], "s string").selectExpr("timestamp(s) AS t")
+        return datetime_profile(df, ["t"]).collect()[0].asDict()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+
+
+def test_zoned_stamps_follow_local_days(spark):
+    tokyo = zoned(spark, "Asia/Tokyo", [f"2024-{m:02d}-01 00:00:00" for m in range(1, 13)])
+    assert (tokyo["min_date"], tokyo["inferred_freq"], tokyo["timezone"]) == ("2024-01-01", "MS", "Asia/Tokyo")
+    days = [str(d.date()) for d in pd.date_range("2024-01-01", "2024-12-31")]
+    assert zoned(spark, "America/New_York", days)["inferred_freq"] == "D"
+    hours = [str(h)[:19] + "+00:00" for h in pd.date_range("2024-03-09", "2024-03-12", freq="h")]
+    assert zoned(spark, "America/New_York", hours)["inferred_freq"] == "h"
+
+
+@pytest.mark.parametrize(
+    "text", ["2024-01-01T00:06:00Z", "2024-01-01T00:06:00+02:00", "January 5, 2024", "01-05-2024", "2024-01-01 10:00 PM"]
+)
+def test_more_date_texts(spark, text):
+    got = datetime_profile(spark.createDataFrame([(text,)] * 3, "s string")).collect()
+    assert len(got) == 1 and got[0].min_date.startswith(("2024-01", "2023-12"))
+
+
+def test_sentinel_dates(spark):
+    df = spark.createDataFrame([("2024-01-01",), ("2024-01-03",), ("9999-12-31",)], "s string").selectExpr("date(s) AS d")
+    got = datetime_profile(df, ["d"]).collect()[0]
+    assert (got.max_date, got.inferred_freq) == ("9999-12-31", None)
