@@ -13,36 +13,47 @@ from ..functions.nested import flatten
 from ..operators.tidy import per_column
 
 
-def _first_mark(spark: SparkSession, path) -> str:
-    """The first non-blank character of the document."""
-    lines = spark.read.text(path).select(F.ltrim(F.col("value")).alias("value")).where("value != ''")
-    row = lines.limit(1).first()
-    return row["value"][0] if row else ""
-
-
-def _first_list(spark: SparkSession, path, lists: list[str]) -> str:
-    """Of several list-valued keys, the one written first in the document."""
-    keys = spark.read.text(path, wholetext=True).select(
-        F.json_object_keys("value").alias("keys")
-    ).first()["keys"]
-    return next(k for k in keys if k in lists)
+def _roots(spark: SparkSession, path) -> DataFrame:
+    """(file, mark, keys): the first character of each document and, of an object, its keys as written."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__file"), "value")
+    mark = F.regexp_extract("value", r"^\s*(\S)", 1)
+    keys = F.when(mark == "{", F.json_object_keys("value"))
+    return text.select("__file", mark.alias("__mark"), keys.alias("__keys"))
 
 
 def read_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """A root array gives its items; a root object its first list, else itself as one row."""
-    mark = _first_mark(spark, path)
-    if mark not in ("[", "{"):
+    """A root array gives its items; a root object its first list, else itself as one row.
+
+    Every document decides for itself, so a folder may mix them; columns that a document lacks are null.
+    """
+    roots = _roots(spark, path)
+    marks = {r["__mark"] for r in roots.select("__mark").distinct().limit(3).collect()}
+    if not marks or not marks <= {"[", "{"}:
         raise ValueError("a JSON document must hold an array or an object")
     raw = spark.read.json(path, multiLine=True)
-    if mark == "{":
-        lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
-        if lists:
-            name = lists[0] if len(lists) == 1 else _first_list(spark, path, lists)
-            items = raw.select(F.explode(ref(name)).alias("item"))
-            if not isinstance(items.schema["item"].dataType, T.StructType):
-                raise ValueError(f"items of {name!r} must be objects")
-            raw = items.select("item.*")
-    return flatten(raw)
+    lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
+    if "{" not in marks or not lists:
+        return flatten(raw)
+    names = raw.columns
+    held = F.array_compact(F.array(*[F.when(ref(c).isNotNull(), F.lit(c)) for c in lists]))
+    first = F.get(F.filter("__keys", lambda k: F.array_contains("__held", k)), F.lit(0))
+    rows = (
+        raw.withColumns({"__file": F.col("_metadata.file_path"), "__held": held}).join(roots, "__file").withColumn("__list", first)
+    )
+    used = {r["__list"] for r in rows.select("__list").distinct().collect()}  # names of list columns
+    parts = []
+    for name in [c for c in lists if c in used]:
+        items = rows.where(F.col("__list") == name).select(F.explode(ref(name)).alias("item"))
+        if not isinstance(items.schema["item"].dataType, T.StructType):
+            raise ValueError(f"items of {name!r} must be objects")
+        parts.append(items.select("item.*"))
+    if None in used:
+        gone = used if marks == {"{"} else set()
+        parts.append(rows.where("__list IS NULL").select(*[ref(c) for c in names if c not in gone]))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return flatten(out)
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:

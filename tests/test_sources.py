@@ -95,6 +95,18 @@ def test_json_roots(spark, tmp_path, text, rows):
     assert [tuple(r) for r in read_json(spark, str(tmp_path / "d.json")).collect()] == rows
 
 
+def test_json_documents_of_a_folder_decide_for_themselves(spark, tmp_path):
+    folder = tmp_path / "mixed.json"
+    folder.mkdir()
+    (folder / "a.json").write_text('{"n": 1, "rows": [{"a": 1}, {"a": 2}], "other": [{"b": 1}]}')
+    (folder / "b.json").write_text('\n {"n": 5, "a": 9}')
+    (folder / "c.json").write_text('{"other": [{"b": 7}], "rows": [{"a": 3}]}')
+    got = {(r.a, r.n, r.b) for r in read_json(spark, str(folder)).collect()}
+    assert got == {(1, None, None), (2, None, None), (9, 5, None), (None, None, 7)}
+    (folder / "d.json").write_text('[{"a": 11, "rows": [{"a": 0}]}]')
+    assert read_json(spark, str(folder)).where("a = 11").count() == 1
+
+
 def test_json_scalar_root(spark, tmp_path):
     (tmp_path / "d.json").write_text("5")
     with pytest.raises(ValueError, match="an array or an object"):
