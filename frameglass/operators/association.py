@@ -2,80 +2,93 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import sql
-from ..functions.kinds import blocks, categorical_columns, numeric_columns, ref
+from ..functions.kinds import categorical_columns, numeric_columns, ref
 from ..functions.numbers import finite_view, not_nan
-from .tidy import AGGREGATES_PER_PASS, per_column, union_all
+from .tidy import per_column
 from .value_counts import value_counts
 
 MAX_CATEGORIES = 50
-PAIR_BLOCK = AGGREGATES_PER_PASS
 PAIR_SCHEMA = "col_a string, col_b string, value double, pos int"
 
 
+def _sums(view: DataFrame, means: Sequence[float] | None = None) -> DataFrame:
+    """(i, j, n, s) summed over all rows by one scan: each task adds up its Arrow batches.
+
+    Without means, i = j and s is the sum of a column's n values. With means, s is the sum of products of the
+    deviations of columns i <= j, where a null is a deviation of 0. A task holds columns² numbers.
+    """
+
+    def run(batches):
+        n = s = None
+        for batch in batches:
+            given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            with np.errstate(invalid="ignore", over="ignore"):
+                if means is None:
+                    part = np.diag(x.sum(0))
+                else:
+                    x = np.where(given, x - np.array(means), 0.0)
+                    part = x.T @ x
+            counts = np.diag(given.sum(0))
+            n, s = (counts, part) if n is None else (n + counts, s + part)
+        if n is not None:
+            i, j = np.triu_indices(len(n)) if means is not None else (np.arange(len(n)),) * 2
+            columns = [i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), s[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "s"])
+
+    parts = view.mapInArrow(run, "i int, j int, n bigint, s double")
+    return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(col_a, col_b, value, pos) for all pairs of numeric columns; nulls count as the mean.
 
-    A first pass takes the means. The second works on deviations, where a null filled
-    with its mean is a plain 0, so that a pair costs one sum of products.
+    Two scans whatever the number of columns: one for the means, one for the sums of products of deviations.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    pairs = list(enumerate(combinations(cols, 2)))
+    spark, names = df.sparkSession, list(enumerate(cols))
+    pairs = [(a, b, pos) for pos, (a, b) in enumerate(combinations(names, 2))]
     if not pairs:
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+        return spark.createDataFrame([], PAIR_SCHEMA)
     view = finite_view(df, cols, value=not_nan)
-    rows = per_column(view, cols, lambda c, x: {"mean": f"avg({x})"}).collect()
-    means = {r["column"]: r["mean"] for r in rows}
-    centred = view.selectExpr(
-        *[f"coalesce({x} - {sql.number(means[c])}, 0.0D) AS {x}" for c in cols for x in [sql.quoted(c)]]
+    found = {r["i"]: r["s"] / r["n"] for r in _sums(view).collect() if r["n"]}  # a row per column
+    sums = _sums(view, [found.get(i, 0.0) for i, _ in names])
+    own = F.max(F.expr("CASE WHEN i = j THEN sqrt(s) END"))  # windows hold a row per column
+    scaled = sums.withColumns({f"root_{end}": own.over(Window.partitionBy(end)) for end in ("i", "j")}).where("i < j")
+    labels = spark.createDataFrame(
+        [(i, j, a, b, pos) for (i, a), (j, b), pos in pairs], "i int, j int, col_a string, col_b string, pos int"
     )
-    squares = {
-        r["column"]: r["s"]
-        for r in per_column(centred, cols, lambda c, x: {"s": f"sum({x} * {x})"}).collect()
-    }
-
-    def value(a: str, b: str) -> str:
-        scale = sql.number(math.sqrt(squares[a] or 0.0) * math.sqrt(squares[b] or 0.0))
-        r = f"try_divide(sum({sql.quoted(a)} * {sql.quoted(b)}), {scale})"
-        return f"coalesce(nanvl({r}, 0.0D), 0.0D)"
-
-    parts = []
-    for chunk in blocks(pairs, PAIR_BLOCK):
-        cells = [
-            sql.struct(
-                {"col_a": sql.text(a), "col_b": sql.text(b), "value": value(a, b), "pos": str(pos)}
-            )
-            + f" AS pair_{pos}"
-            for pos, (a, b) in chunk
-        ]
-        wide = centred.selectExpr(*cells)
-        parts.append(wide.selectExpr(sql.rows([f"pair_{pos}" for pos, _ in chunk])))
-    return union_all(parts)
+    r = F.expr("coalesce(nanvl(try_divide(s, root_i * root_j), 0.0D), 0.0D)")
+    return labels.join(scaled.drop("n"), ["i", "j"], "left").select("col_a", "col_b", r.alias("value"), "pos")
 
 
-def low_cardinality(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> list[str]:
-    """Columns with at most `limit` distinct non-null values.
-
-    A sketch with 2 % error drops columns that are far above the limit, so that
-    only the few near or below it pay for exact counts.
-    """
+def categories_of(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
+    """The distinct non-null values of the columns that have at most `limit` of them, counted exactly."""
     if not cols:
-        return []
-    rough = per_column(df, cols, lambda c, x: {"n": f"approx_count_distinct({x}, 0.02D)"})
-    near = {r["column"] for r in rough.where(F.col("n") <= 2 * limit).collect()}
-    near = [c for c in cols if c in near]
-    if not near:
-        return []
-    exact = value_counts(df, near).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    over = {r["column"] for r in exact.where(F.col("n") > limit).collect()}
-    return [c for c in near if c not in over]
+        return {}
+    counts = value_counts(df, cols)
+    sizes = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    few = [r["column"] for r in sizes.where(F.col("n") <= limit).collect()]
+    values = counts.where(F.col("column").isin(few)).select("column", "value").collect() if few else []  # limit a column
+    return {c: sorted(r["value"] for r in values if r["column"] == c) for c in cols if c in set(few)}
+
+
+def low_cardinality(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
+    """The values of the columns with at most `limit` distinct ones; a column without any value is one of them."""
+    known = categories_of(df, cols, limit)
+    rest = [c for c in cols if c not in known]
+    counts = per_column(df, rest, lambda c, x: {"n": f"count({x})"}).where("n = 0").collect() if rest else []
+    empty = {r["column"] for r in counts}
+    return {c: known.get(c, []) for c in cols if c in known or c in empty}
 
 
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -84,13 +97,33 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return kept.groupBy(ref(a).alias("a"), ref(b).alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _contingency(df: DataFrame, pairs: Sequence[tuple[int, tuple[str, str]]]) -> DataFrame:
-    """(pos, a, b, cnt): every pair's table by one shuffle of pre-counted cells."""
-    cells = [
-        sql.struct({"pos": str(pos), "a": sql.quoted(a), "b": sql.quoted(b)}) for pos, (a, b) in pairs
-    ]
-    long = df.selectExpr(sql.rows(cells)).where("a IS NOT NULL AND b IS NOT NULL")
-    return long.groupBy("pos", "a", "b").agg(F.count(F.lit(1)).alias("cnt"))
+def _contingency(df: DataFrame, known: dict[str, list], pairs: Sequence[tuple[int, tuple[str, str]]]) -> DataFrame:
+    """(pos, a, b, cnt): the tables of all pairs by one scan. A task counts coded pairs, so no row is repeated for
+    each pair; it holds the cells of all tables."""
+    cols = list(known)
+    values = [pa.array(known[c], pa.string()) for c in cols]
+    places = [(pos, cols.index(a), cols.index(b)) for pos, (a, b) in pairs]
+
+    def run(batches):
+        held = {pos: 0 for pos, _, _ in places}
+        for batch in batches:
+            codes = [
+                pc.fill_null(pc.index_in(c.cast(pa.string()), v), len(v)).to_numpy(zero_copy_only=False).astype(np.int64)
+                for c, v in zip(batch.columns, values)
+            ]
+            for pos, a, b in places:
+                wide = len(values[b]) + 1
+                held[pos] = held[pos] + np.bincount(codes[a] * wide + codes[b], minlength=(len(values[a]) + 1) * wide)
+        for pos, a, b in places:
+            cells = np.reshape(held[pos], (len(values[a]) + 1, -1))[:-1, :-1] if np.ndim(held[pos]) else np.zeros((0, 0), np.int64)
+            i, j = np.nonzero(cells)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(i), pos, np.int32)), values[a].take(pa.array(i)), values[b].take(pa.array(j)), pa.array(cells[i, j].astype(np.int64))],
+                names=["pos", "a", "b", "cnt"],
+            )
+
+    parts = df.select(*[ref(c) for c in cols]).mapInArrow(run, "pos int, a string, b string, cnt bigint")
+    return parts.groupBy("pos", "a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
 def cramers_v_pairs(
@@ -102,11 +135,11 @@ def cramers_v_pairs(
     cells, so the marginal windows run over small groups.
     """
     cols = categorical_columns(df) if cols is None else list(cols)
-    names = low_cardinality(df, cols, limit)
-    pairs = list(enumerate(combinations(names, 2)))
+    known = low_cardinality(df, cols, limit)
+    pairs = list(enumerate(combinations(known, 2)))
     if not pairs:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    cells = _contingency(df, pairs)
+    cells = _contingency(df, known, pairs)
     row_sum = F.sum("cnt").over(Window.partitionBy("pos", "a"))
     col_sum = F.sum("cnt").over(Window.partitionBy("pos", "b"))
     sized = cells.withColumn("r", row_sum).withColumn("c", col_sum)

@@ -58,17 +58,17 @@ def _hashable(field: T.StructField) -> str:
     return f"to_json({sql.quoted(field.name)})" if nested else sql.quoted(field.name)
 
 
-def validate_source(spark: SparkSession, path: str) -> None:
+def validate_source(spark: SparkSession, path: str, multiline: bool = True) -> None:
     """Raise ValueError unless the extension is known and the source can be read.
 
     Every value of a Parquet source is decoded, in one distributed pass. JSON is parsed whole to infer its
-    columns. Of CSV the header and the first rows are read; `corrupt_rows` checks all of them.
+    columns. Of CSV the header and the first rows are read; `corrupt_rows` checks all of them. `multiline` as in `read_csv`.
     """
     kind = extension(path)
     reader = spark.read.option("mode", "FAILFAST")
     try:
         if kind == ".csv":
-            probe = reader.options(header=True, multiLine=True, escape='"').csv(path)
+            probe = reader.options(header=True, multiLine=multiline, escape='"').csv(path)
         elif kind == ".parquet":
             probe = reader.parquet(path)
         else:
@@ -83,13 +83,14 @@ def validate_source(spark: SparkSession, path: str) -> None:
         raise ValueError(f"cannot read {path}: {error}") from error
 
 
-def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
     """(n_rows, n_corrupt, n_filled): rows of a JSON Lines or CSV source that do not fit
-    `schema`, and rows whose first field holds a value."""
+    `schema`, and rows whose first field holds a value. A CSV file is split among tasks only without
+    `multiline`, for files whose fields hold no line breaks."""
     marked = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
     reader = spark.read.schema(marked).option("mode", "PERMISSIVE")
     if extension(path) == ".csv":
-        rows = reader.options(header=True, multiLine=True, escape='"').csv(path)
+        rows = reader.options(header=True, multiLine=multiline, escape='"').csv(path)
     else:
         rows = reader.json(path)
     # Spark only parses, and so only checks, a row when a field of it is asked for.

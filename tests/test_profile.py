@@ -264,3 +264,26 @@ def test_duplicates_move_digests_only(spark):
     assert duplicate_rows(swapped).collect()[0].duplicate_rows == 0
     plan = duplicate_rows(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_wide_tables_take_one_scan(spark, tmp_path):
+    wide = spark.range(500).selectExpr(*[f"CASE WHEN id % {7 + i} > 0 THEN double(hash(id, {i}) % 100) END AS n{i}" for i in range(120)],
+                                       *[f"string(hash(id, {i}) % 4) AS s{i}" for i in range(30)])
+    wide.write.parquet(str(tmp_path / "wide"))
+    df = spark.read.parquet(str(tmp_path / "wide"))
+    numbers, texts = [f"n{i}" for i in range(120)], [f"s{i}" for i in range(30)]
+    pearson, cramers = pearson_pairs(df, numbers), cramers_v_pairs(df, texts)
+    for pairs in (pearson, cramers):
+        assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 2
+    assert "Generate" not in plan_of(cramers)
+    pdf = df.toPandas()
+    filled = pdf[numbers].fillna(pdf[numbers].mean())
+    expected = filled.corr()
+    got = {(r.col_a, r.col_b): r.value for r in pearson.collect()}
+    assert len(got) == 120 * 119 // 2
+    assert all(math.isclose(v, expected.loc[a, b], abs_tol=1e-9) for (a, b), v in got.items())
+    assert cramers.count() == 30 * 29 // 2
