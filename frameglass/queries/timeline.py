@@ -82,6 +82,43 @@ ORACLE["parse_datetime"] = (
     "ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS placed FROM orders"
 )
 
+_ISO_SECOND = "yyyy-MM-dd''T''HH:mm:ss"
+
+
+def _parse_zoned(spark, sf):
+    """Instants written with `Z` or an offset."""
+    text = (
+        f"CASE WHEN event_type = 'view' THEN concat(date_format(ts, '{_ISO_SECOND}'), 'Z') "
+        f"ELSE concat(date_format(ts + INTERVAL 2 HOURS, '{_ISO_SECOND}'), '+02:00') END AS written"
+    ).replace("''T''", "\\'T\\'")
+    events = table(spark, sf, "events").selectExpr("event_id", text)
+    return parse_datetimes(events, ["written"]).selectExpr(
+        "event_id", "date_format(to_utc_timestamp(written, current_timezone()), 'yyyy-MM-dd HH:mm:ss') AS instant"
+    )
+
+
+QUERIES["parse_zoned_texts"] = _parse_zoned
+ORACLE["parse_zoned_texts"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS instant FROM events"
+
+
+def _local_days(spark, sf):
+    """Midnights of a zone with summer time, as instants, profiled in that zone."""
+    zone, kept = "America/New_York", spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        days = table(spark, sf, "events").selectExpr("CAST(CAST(date_trunc('day', CAST(ts AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ) AS TIMESTAMP) AS day")
+        profiled = datetime_profile(days.distinct(), ["day"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    return profiled.select("column", "min_date", "max_date", "inferred_freq", "gaps_count", "timezone")
+
+
+QUERIES["zoned_days"] = _local_days
+ORACLE["zoned_days"] = (
+    "SELECT 'day' AS \"column\", strftime(min(ts), '%Y-%m-%d') AS min_date, strftime(max(ts), '%Y-%m-%d') AS max_date, "
+    "'D' AS inferred_freq, 0::BIGINT AS gaps_count, 'America/New_York' AS timezone FROM events"
+)
+
 # --- range, frequency, gaps, seasonality --------------------------------------------
 
 # Regular series derived from whole tables: (name, Spark text, reference text).
@@ -138,7 +175,7 @@ def _stamps(spark, sf):
     return union_all([stamps_of(_series(spark, sf, name), [name]) for name in _SERIES])
 
 
-QUERIES["date_range"] = lambda spark, sf: date_ranges(day_table(_stamps(spark, sf)))
+QUERIES["date_range"] = lambda spark, sf: date_ranges(day_table(_stamps(spark, sf))).drop("min_u", "max_u")
 ORACLE["date_range"] = _FACTS_SQL + (
     'SELECT "column", n, epoch_us(lo) AS min_us, epoch_us(hi) AS max_us, (epoch_us(hi) - epoch_us(lo)) // 86400000000 AS date_range_days FROM f'
 )
