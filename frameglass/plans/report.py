@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from ..functions.kinds import categorical_columns, normalise, numeric_columns
 from ..functions.numbers import shape_hint
 from ..operators import quality
-from ..operators.association import cramers_v_pairs, pearson_pairs, top_pairs
+from ..operators.association import MAX_CATEGORIES, cramers_v_pairs, pearson_pairs, top_pairs
 from ..operators.categorical import categorical_profile, top_values
-from ..operators.distribution import histogram, normality, outlier_preview
+from ..operators.distribution import TEST_ROWS, histogram, normality, outlier_preview
 from ..operators.duplicates import duplicate_rows
 from ..operators.numeric import fit_fences, numeric_profile
 from ..operators.schema import column_types, logical_size, null_counts, table_shape
@@ -73,19 +73,24 @@ def profile(
     order_by: Sequence[str] = (),
     cache: bool = False,
     normality_key: Sequence[str] | None = None,
+    test_rows: int = TEST_ROWS,
+    max_categories: int = MAX_CATEGORIES,
+    approximate_unique: bool = False,
 ) -> Profile:
     """Profile every column of a table.
 
     The table is read about ten times, each time with only the columns a section
     needs. `cache=True` keeps it in memory and on disk of the executors instead,
     which pays off for text sources that fit. `order_by` names a key that defines
-    row order; the first-values and outlier-preview sections need it.
+    row order; the first-values and outlier-preview sections need it. `test_rows` bounds the sample of the
+    normality test, `max_categories` the columns that take part in Cramér's V, and `approximate_unique` counts
+    distinct values by a sketch.
     """
     spark, flat = df.sparkSession, normalise(df)
     if cache:
         flat = flat.persist()
     try:
-        return _profile(spark, flat, source, tuple(order_by), normality_key)
+        return _profile(spark, flat, source, tuple(order_by), normality_key, test_rows, max_categories, approximate_unique)
     finally:
         if cache:
             flat.unpersist()
@@ -99,7 +104,7 @@ def _side_by_side(spark: SparkSession, sections: Mapping[str, Callable[[], DataF
         return {name: future.result() for name, future in started.items()}
 
 
-def _profile(spark, flat, source, order_by, normality_key) -> Profile:
+def _profile(spark, flat, source, order_by, normality_key, test_rows, max_categories, approximate_unique) -> Profile:
     numbers, texts = numeric_columns(flat), categorical_columns(flat)
     key = order_by if normality_key is None else normality_key
     or_empty = lambda name, cols, build: build if cols else lambda: spark.createDataFrame([], _EMPTY[name])
@@ -107,11 +112,11 @@ def _profile(spark, flat, source, order_by, normality_key) -> Profile:
     # The long sections go first.
     first = {
         "datetime": lambda: datetime_profile(flat),
-        "unique": lambda: n_unique(flat, flat.columns),
+        "unique": lambda: n_unique(flat, flat.columns, approximate_unique),
         "duplicates": lambda: duplicate_rows(flat),
         "numeric": or_empty("numeric", numbers, lambda: numeric_profile(flat, numbers, fences=fences)),
-        "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key)),
-        "cramers_v": lambda: cramers_v_pairs(flat, texts),
+        "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key, test_rows=test_rows)),
+        "cramers_v": lambda: cramers_v_pairs(flat, texts, max_categories),
         "top_values": or_empty("top_values", texts, lambda: top_values(flat, texts, order_by=order_by)),
         "categorical": or_empty("categorical", texts, lambda: categorical_profile(flat, texts)),
         "pearson": lambda: pearson_pairs(flat, numbers),

@@ -135,3 +135,11 @@ def test_known_normality_values():
     levels = np.repeat([0.0, 0.05, 0.1, 0.15, 0.2], [16, 10, 11, 6, 7])
     assert round(shapiro_wilk(even)[1], 5) == 0.05809
     assert round(shapiro_wilk(levels)[1], 5) == 4e-05
+
+
+def test_options_reach_the_sections(spark):
+    df = spark.range(400).selectExpr("id AS k", "randn(1) AS x", "string(id % 60) AS many", "string(id % 3) AS few", "string(id % 4) AS other")
+    p = profile(df, "t", order_by=["k"], test_rows=50, max_categories=60, approximate_unique=True)
+    assert {r.tested for r in p["normality"].collect()} == {50}
+    assert p["cramers_v"].count() == 3
+    assert profile(df, "t")["cramers_v"].count() == 1
