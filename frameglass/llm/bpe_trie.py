@@ -27,7 +27,7 @@ from .texts import byte_slices, utf8_values
 from .tokens import ID, Recent, byte_letters, packed
 
 #: Pieces in a generation of a Python worker's memory, and nodes at which its trie starts anew.
-CACHED, NODES = 300_000, 500_000
+CACHED, NODES = 450_000, 1_000_000
 #: Longer pieces are not remembered; longer words are encoded by the same steps without nodes.
 LONG_PIECE, LONG_WORD = 64, 256
 
