@@ -251,7 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = rows.groupBy("fp").agg(F.min("doc").alias("first"))
     stars = components(links(distinct, distance))
     rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written, so that the join reads two plain shuffles and a component of very many fingerprints is split.
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
         F.col("doc").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
