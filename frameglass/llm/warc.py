@@ -4,8 +4,8 @@ The writer makes each record a gzip member, so a reader can begin at any of them
 files on any file system it knows: a member is a line, and the separator of lines is an empty member.
 
 The reader checks every record or gzip member. Where a check fails it searches for the next member or
-version line that parses, goes on there, and reports the bytes between as a gap with the reason; no
-record behind a damaged place is lost.
+version line that parses, goes on there, and reports the bytes between as a gap with the reason; no intact record
+before or behind a damaged place is lost, nor are those that a broken gzip member gives before it breaks.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def write_warc(
 VERSION, MEMBER = b"WARC/1.", b"\x1f\x8b\x08"
 _NEXT = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _HEAD_END = re.compile(rb"\r\n\r\n")
+_INNER = re.compile(rb"\r\n\r\n(?=WARC/1\.[01]\r\n)")
 
 
 class Damaged(Exception):
@@ -136,8 +137,12 @@ def _headers(lines: bytes) -> dict[str, str]:
     return out
 
 
-def parse_record(data: bytes, at: int) -> tuple[dict, bytes, bytes, int]:
-    """Headers, block, payload and end of the record at a place."""
+def parse_record(data: bytes, at: int, inner: bool = False) -> tuple[dict, bytes, bytes, bool | None, int]:
+    """Headers, block, payload, proof and end of the record at a place.
+
+    The proof is true where the digest is right, none where there is no digest but a record or the end follows, and
+    false where damage follows: such a record ends as it should. Only if its block holds a record may its length be wrong.
+    """
     first = data.find(b"\r\n", at, at + 12)
     if data[at : at + 10] not in (b"WARC/1.0\r\n", b"WARC/1.1\r\n"):
         raise Damaged("no version line")
@@ -156,8 +161,17 @@ def parse_record(data: bytes, at: int) -> tuple[dict, bytes, bytes, int]:
     after, block = end + 4, data[begin:end]
     payload, proved = _checked(headers, block)
     if not proved and after < len(data) and not data.startswith((VERSION, MEMBER), after):
-        raise Damaged("no record follows the block")  # so the length may be wrong
-    return headers, block, payload, after
+        if not inner and any(_parses(data, m.end()) for m in _INNER.finditer(data, begin, end)):
+            raise Damaged("a record begins in the block and none follows it")  # so the length may be wrong
+        return headers, block, payload, False, after
+    return headers, block, payload, proved or None, after
+
+
+def _parses(data: bytes, at: int) -> bool:
+    try:
+        return bool(parse_record(data, at, inner=True))
+    except Damaged:
+        return False
 
 
 def payload_of(headers: dict, block: bytes) -> bytes:
@@ -192,41 +206,87 @@ def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
     return b"".join(out), at
 
 
+def _inflated(data: bytes, at: int, most: int | None = None, step: int = 1 << 16) -> tuple[bytes, int]:
+    """What a broken gzip member gives before it breaks, or until it has given `most` bytes, and where reading ended."""
+    gz, out, size, view = zlib.decompressobj(zlib.MAX_WBITS | 16), [], 0, memoryview(data)
+    while at < len(data) and not gz.eof and (most is None or size < most):
+        saved = gz.copy() if step > 1 else None
+        try:
+            piece = gz.decompress(view[at : at + step])
+        except zlib.error:
+            piece = None
+        if step > 1 and (piece is None or most is not None and size + len(piece) >= most):
+            gz, step = saved, 1  # the place is in this step: go on byte by byte
+            continue
+        if piece is None:
+            break
+        out.append(piece)
+        size, at = size + len(piece), min(at + step, len(data))
+    return b"".join(out), at
+
+
+def _within(inner: bytes) -> tuple[list[tuple], int, str]:
+    """The records of a member, where the last of them ends, and why others are missing."""
+    found, at, last, reason = [], 0, 0, ""
+    while at < len(inner):
+        try:
+            *record, at = parse_record(inner, at)
+            found.append(record)
+            last = at
+        except Damaged as e:
+            reason = reason or str(e)
+            nxt = _NEXT.search(inner, at + 1)
+            at = nxt.start() if nxt else len(inner)
+    return found, last, reason
+
+
 def salvage(data: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in order; together they cover all its bytes.
 
-    A record has `offset`, `length`, `headers`, `block` and `payload`; a gap has `offset`, `length` and `reason`.
+    A record has `offset`, `length`, `headers`, `block`, `payload` and `proved`; a gap has `offset`, `length` and
+    `reason`. `proved` is false for a record without a right digest that damage follows or whose member is broken.
     A member may hold several records; damage inside a member that decompresses is reported as a gap of the
-    member. An empty archive gives nothing.
+    member. Of a member that does not, the records before the damage are given, and the gap begins behind the
+    last of them; a member that holds one record only stands or falls with it. An empty archive gives nothing.
     """
     at, lost, reason = 0, None, ""
     while at < len(data):
         try:
+            rest = None
             if data.startswith(MEMBER, at):
-                inner, end = _member(data, at)
-                found, within = [], 0
-                while within < len(inner):
-                    try:
-                        *record, within = parse_record(inner, within)
-                        found.append(record)
-                    except Damaged as e:
-                        reason = reason or str(e)
-                        nxt = _NEXT.search(inner, within + 1)
-                        lost, within = (at if lost is None else lost), nxt.start() if nxt else len(inner)
+                try:
+                    inner, end = _member(data, at)
+                    found, _, damage = _within(inner)
+                except Damaged as e:
+                    inner, stop = _inflated(data, at)
+                    found, last, damage = _within(inner)
+                    if not found or len(found) == 1 and last == len(inner):
+                        raise  # of a member of one record the check sum stands for the record
+                    end = _inflated(data, at, last)[1]
+                    if end == stop == len(data) and damage:
+                        end -= 1  # what is cut off came with the last byte of the last record
+                    found = [(*record, proved or False) for *record, proved in found]
+                    rest, damage = str(e), ""
                 if lost is not None and lost < at:
                     yield {"offset": lost, "length": at - lost, "reason": reason}
-                    lost = None
-                if lost is not None:
-                    yield {"offset": at, "length": end - at, "reason": reason}
-                lost, reason = None, ""
+                if damage:
+                    yield {"offset": at, "length": end - at, "reason": damage}
             else:
                 *record, end = parse_record(data, at)
                 found = [record]
                 if lost is not None:
                     yield {"offset": lost, "length": at - lost, "reason": reason}
-                lost, reason = None, ""
-            for headers, block, payload in found:
-                yield {"offset": at, "length": end - at, "headers": headers, "block": block, "payload": payload}
+            lost, reason = None, ""
+            for headers, block, payload, proved in found:
+                yield {
+                    "offset": at, "length": end - at, "headers": headers, "block": block, "payload": payload, "proved": proved is not False,
+                }
+            if rest and end < len(data):
+                lost, reason = end, rest
+                nxt = _NEXT.search(data, at + 1)
+                while nxt and nxt.start() < end:
+                    nxt = _NEXT.search(data, nxt.start() + 1)
+                end = nxt.start() if nxt else len(data)
             at = end
         except Damaged as e:
             if lost is None:
@@ -240,7 +300,7 @@ def salvage(data: bytes) -> Iterator[dict]:
 FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to")
 SCHEMA = (
     "file string, offset long, length long, gap_reason string, record_type string, record_id string, target_uri string, "
-    "payload_digest string, refers_to string, http_length long, payload binary"
+    "payload_digest string, refers_to string, http_length long, payload binary, proved boolean"
 )
 
 
@@ -252,7 +312,7 @@ def _http_length(headers: dict, block: bytes) -> int | None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records below a path, and a row with `gap_reason` for every quarantined byte range.
 
-    Files with and without gzip members are read; one file is one task's work.
+    Files with and without gzip members are read; one file is one task's work. `proved` is as in `salvage`.
     """
 
     def run(batches):
@@ -261,11 +321,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, held = [], 0
                 for r in salvage(data):
                     if "reason" in r:
-                        rows.append((name, r["offset"], r["length"], r["reason"], *[None] * 7))
+                        rows.append((name, r["offset"], r["length"], r["reason"], *[None] * 8))
                     else:
                         h = r["headers"]
                         rows.append(
-                            (name, r["offset"], r["length"], None, *map(h.get, FIELDS), _http_length(h, r["block"]), r["payload"])
+                            (name, r["offset"], r["length"], None, *map(h.get, FIELDS), _http_length(h, r["block"]), r["payload"], r["proved"])
                         )
                         held += len(r["payload"])
                     if held > 4_000_000:
@@ -274,7 +334,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary()]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.binary(), pa.bool_()]
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def batch_of(rows):

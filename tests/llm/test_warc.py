@@ -96,3 +96,54 @@ def test_salvage_survives_any_flipped_byte():
             bad[at] ^= 1 << random.randrange(8)
             ids, _ = seen(b"".join([*parts[:k], bytes(bad), *parts[k + 1 :]]))
             assert {str(i) for i in range(6) if i not in (k, k - 1)} <= set(ids)
+
+
+def revisit(i: int) -> bytes:
+    """A record without a digest that can be checked."""
+    block = f"HTTP/1.1 200 OK\r\nX-Number: {i}\r\n\r\n"
+    head = f"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    return (head + block + "\r\n\r\n").encode()
+
+
+def records_of(data: bytes):
+    return {r["headers"].get("warc-record-id", "")[10:-1]: r["proved"] for r in warc.salvage(data) if "headers" in r}
+
+
+@pytest.mark.parametrize("make", [record, revisit])
+def test_a_flipped_byte_loses_its_own_record_only(make):
+    random.seed(6)
+    for pack in (lambda x: x, gzip.compress):
+        parts = [pack(make(i)) for i in range(6)]
+        for _ in range(300):
+            k = random.randrange(6)
+            bad = bytearray(parts[k])
+            bad[random.randrange(len(bad))] ^= 1 << random.randrange(8)
+            ids, _ = seen(b"".join([*parts[:k], bytes(bad), *parts[k + 1 :]]))
+            assert {str(i) for i in range(6) if i != k} <= set(ids)
+
+
+def test_an_intact_record_before_damage_stays():
+    for junk in (b"\0" * 9, revisit(2).replace(b"WARC/1.0", b"WERC/1.0")):
+        data = revisit(1) + junk + revisit(3)
+        assert records_of(data) == {"1": False, "3": True}
+        assert seen(data)[1] == [(len(revisit(1)), len(junk), "no version line")]
+        assert records_of(gzip.compress(data)) == {"1": False, "3": True}
+    # A length that reaches into the next record does not swallow it.
+    far = len(revisit(1)) + revisit(2).index(b"\r\n\r\n") - revisit(1).index(b"\r\n\r\n") - 4
+    data = revisit(1).replace(b"Content-Length: 32", b"Content-Length: %d" % far) + revisit(2) + revisit(3)
+    assert set(records_of(data)) == {"2", "3"}
+
+
+def test_records_of_a_broken_member_stay():
+    several = b"".join(make(i) for i, make in enumerate([record, revisit] * 300))
+    packed = gzip.compress(several, 0)
+    found = list(warc.salvage(packed[: len(packed) * 3 // 4]))
+    whole = len(records_of(several[: len(several) * 3 // 4 - 100]))
+    assert [r["headers"]["warc-record-id"] for r in found[:-1]] == [f"<urn:page:{i}>" for i in range(len(found) - 1)]
+    assert len(found) >= whole and found[-1]["reason"] == "gzip member is cut off"
+    assert found[-1]["offset"] == found[0]["length"] and found[-1]["offset"] + found[-1]["length"] == len(packed) * 3 // 4
+    assert [r["proved"] for r in found[:4]] == [True, False, True, False]
+    # A wrong check sum at the end, and a member behind it.
+    packed = gzip.compress(record(1) + revisit(2))
+    bad = packed[:-8] + bytes(x ^ 1 for x in packed[-8:])
+    assert records_of(bad + gzip.compress(record(3))) == {"1": True, "2": False, "3": True}
