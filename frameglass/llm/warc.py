@@ -1,7 +1,7 @@
 """WARC archives: a writer that stores equal payloads once, and a reader that survives damage.
 
 The writer makes each record a gzip member, so a reader can begin at any of them. Spark's own text writer commits the
-files on any file system it knows: a member is a line, and the separator of lines is an empty member.
+files on any file system it knows: a line is the members of a whole file, and the separator of lines is an empty member.
 
 The reader checks every record or gzip member. Where a check fails it searches for the next member or
 version line that parses, goes on there, and reports the bytes between as a gap with the reason; no intact record
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 END = "\r\n\r\n"
 #: A gzip member that holds nothing, in the encoding that keeps every byte.
 NO_MEMBER, BYTES = (b"\x1f\x8b\x08" + bytes(6) + b"\x03\x03" + bytes(9)).decode("latin-1"), "ISO-8859-1"
-#: Records of one file at most, so that a file fits a task.
-FILE_RECORDS = 20_000
+#: Records and bytes of one file at most, so that a file fits a task; a record that is larger is a file of its own.
+FILE_RECORDS, FILE_BYTES = 20_000, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -44,11 +44,26 @@ def payload_digest(html: str) -> Column:
     return F.pandas_udf(digests, "string")(html)
 
 
-def gzip_member(record: Column) -> Column:
-    def members(records: pd.Series) -> pd.Series:
-        return records.map(lambda x: gzip.compress(x.encode(), 6, mtime=0))
+def gzip_members(values: DataFrame, file_records: int, file_bytes: int) -> DataFrame:
+    """One row per archive file: the gzip members of records, as many as both bounds allow."""
 
-    return F.pandas_udf(members, "binary")(record)
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                member = gzip.compress(value.as_py().encode() + END.encode(), 6, mtime=0)
+                if held and (len(held) >= file_records or size + len(member) > file_bytes):
+                    yield file_of(held)
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield file_of(held)
+
+    def file_of(members):
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], names=["value"])
+
+    return values.mapInArrow(run, "value binary")
 
 
 # -- writing ----------------------------------------------------------------------------------------
@@ -107,13 +122,16 @@ def write_warc(
     url_col: str = "url",
     html_col: str = "html",
     file_records: int = FILE_RECORDS,
+    file_bytes: int = FILE_BYTES,
     **options,
 ) -> None:
-    """Archives of all pages below `path`; `options` as of `records`."""
-    record = F.concat(F.col("value"), F.lit(END))
-    members = records(pages, id_col, url_col, html_col, **options).select(gzip_member(record).cast("string").alias("value"))
-    writer = members.write.option("encoding", BYTES).option("lineSep", NO_MEMBER)
-    writer.option("maxRecordsPerFile", file_records).text(path)
+    """Archives of all pages below `path`; `options` as of `records`.
+
+    A file holds at most `file_records` records and `file_bytes` bytes, or one record.
+    """
+    files = gzip_members(records(pages, id_col, url_col, html_col, **options), file_records, file_bytes)
+    writer = files.select(F.col("value").cast("string")).write.option("encoding", BYTES).option("lineSep", NO_MEMBER)
+    writer.option("maxRecordsPerFile", 1).text(path)
 
 
 # -- reading ----------------------------------------------------------------------------------------

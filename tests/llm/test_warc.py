@@ -147,3 +147,16 @@ def test_records_of_a_broken_member_stay():
     packed = gzip.compress(record(1) + revisit(2))
     bad = packed[:-8] + bytes(x ^ 1 for x in packed[-8:])
     assert records_of(bad + gzip.compress(record(3))) == {"1": True, "2": False, "3": True}
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    """Files hold no more bytes than they may, but for records that are larger."""
+    random.seed(7)
+    pages = [(i, "u", random.randbytes(500 if i % 10 else 8000).hex()) for i in range(60)]
+    path = tmp_path / "b"
+    warc.write_warc(spark.createDataFrame(pages, SCHEMA).coalesce(1), str(path), file_bytes=5000)
+    sizes = [len(f.read_bytes()) - 20 for f in path.glob("part-*")]
+    assert sum(n > 5000 for n in sizes) == 6 and len(sizes) < 40
+    archive = warc.read_warc(spark, str(path))
+    assert archive.filter("gap_reason IS NOT NULL").count() == 0
+    assert sorted((r.page_id, r.payload_bytes) for r in warc.page_records(archive).collect()) == [(i, len(h)) for i, _, h in pages]
