@@ -7,8 +7,9 @@ fingerprint is filed under its first two segments for every start in the ring, a
 differ in one bit of the second. Pairs that meet are pruned by the longer chains before all bits are compared.
 
 Fingerprints of one bucket are linked, and the links of a batch are reduced to a spanning forest where they are
-found, so a group of many copies gives as many links as it has members. In large buckets the same
-filter is applied again to the bits that may still differ, and what is linked already is not compared again.
+found, so a group of many copies gives as many links as it has members. Buckets of more than `SMALL_BUCKET`
+fingerprints use no ring: the bits that may still differ are cut into d + 1 parts, of which one must be equal
+(plain pigeonhole, without chains or budgets), again and again, and what is linked already is not compared again.
 """
 
 from __future__ import annotations
