@@ -25,6 +25,8 @@ LEVELS = ("region", "rack", "shard")
 DRAW_BITS = 52
 #: Rows that one task numbers at most on average, and the least number of groups of rows.
 SLOT_ROWS, SLOT_GROUPS = 1_000_000, 64
+#: Equal rows of one task are numbered as one while their positions agree but for so many low bits.
+CHUNK_BITS = 16
 
 
 @dataclass(frozen=True)
@@ -103,9 +105,10 @@ def shard_slots(
 ) -> DataFrame:
     """Per row: id, size (UTF-8 bytes of the text plus 1), text_crc32, shard, slot and grown_shard.
 
-    `slot` numbers the rows of a shard without gaps: rows are numbered inside hashed groups of bounded
-    size, and a group begins where the groups before it end, so no task sees a whole shard. A null text
-    is empty. Rows that repeat an id share its shard and get slots of their own.
+    `slot` numbers the rows of a shard without gaps: rows are numbered inside groups hashed by id, size and
+    checksum, and a group begins where the groups before it end, so no task sees a whole shard. Rows equal in all
+    of these are numbered as chunks, in runs of slots. A null text is empty. Rows that repeat an id share its shard
+    and get slots of their own.
     """
     spark = docs.sparkSession
     key, text = F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -116,8 +119,11 @@ def shard_slots(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         place(key, tree).alias("shard"),
         place(key, grown(tree)).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(groups)).alias("slot_group"),
+        F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS).alias("chunk"),
     )
+    group = F.pmod(F.xxhash64(id_col, "size", "text_crc32", F.lit("slot")), F.lit(groups))
+    # Equal rows are interchangeable, so how they are cut into chunks does not show.
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("rows")).withColumn("slot_group", group)
     path = scratch_path(spark, "shards")
     rows.write.parquet(path)
     rows = spark.read.parquet(path)
@@ -126,11 +132,16 @@ def shard_slots(
     )
     starts = (
         rows.groupBy("shard", "slot_group")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
         .select("shard", "slot_group", F.expr(before).alias("first_slot"))
     )
-    within = f"row_number() OVER (PARTITION BY shard, slot_group ORDER BY `{id_col}`, size, text_crc32) - 1"
-    numbered = rows.withColumn("within", F.expr(within))
-    return numbered.join(starts, ["shard", "slot_group"]).select(
-        id_col, "size", "text_crc32", "shard", (F.col("first_slot") + F.col("within")).alias("slot"), "grown_shard"
+    within = (
+        f"sum(rows) OVER (PARTITION BY shard, slot_group ORDER BY `{id_col}`, size, text_crc32, chunk "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - rows"
+    )
+    numbered = rows.withColumn("within", F.expr(within)).join(starts, ["shard", "slot_group"])
+    runs = numbered.withColumn("slot", F.col("first_slot") + F.col("within")).drop("first_slot", "within")
+    # Dealt again, so that the chunks of equal rows become rows in many tasks.
+    return runs.repartition("shard", "slot").select(
+        id_col, "size", "text_crc32", "shard", F.explode(F.expr("sequence(slot, slot + rows - 1)")).alias("slot"), "grown_shard"
     )

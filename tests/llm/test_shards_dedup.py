@@ -94,3 +94,20 @@ def test_exact_dedup_edges(spark):
     assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == Counter(
         [(None, 1, 2, False), (1, 1, 2, True), (None, None, 1, True), (2, 2, 2, True), (2, 2, 2, True)]
     )
+
+
+def test_rows_of_one_id_spread_over_slot_groups(spark, monkeypatch):
+    """Neither rows of one id nor equal rows meet in one window, and slots stay without gaps."""
+    written = []
+    take = sharding.scratch_path
+    monkeypatch.setattr(sharding, "scratch_path", lambda *a: written.append(take(*a)) or written[-1])
+    monkeypatch.setattr(sharding, "CHUNK_BITS", 3)
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 300 + [(i, "x") for i in range(50)]
+    got = sharding.shard_slots(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), sharding.even_tree(3)).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t) + 1) for i, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    held = spark.read.parquet(written[0]).filter("doc_id IS NULL OR doc_id = 7").groupBy("shard", "slot_group").count()
+    assert held.agg(F.max("count")).first()[0] < 90
