@@ -89,6 +89,12 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`."""
+    """One row of each group of equal texts, with the columns of `docs`: one that has the id that stays.
+
+    Only of groups of several rows, those that may repeat the id are reduced to one, by digest and full content.
+    """
     kept = with_groups(docs, id_col, text_col, **options).filter(F.col(f"`{id_col}`").eqNullSafe(F.col(KEEP)))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    several = kept.filter(F.col(SIZE) > 1).withColumn(BODY, ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    one = several.dropDuplicates([DIGEST, BODY])
+    return kept.filter(F.col(SIZE) == 1).select(*names).unionByName(one.select(*names))

@@ -249,9 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), fingerprints(F.col(f"`{text_col}`"), shingle).alias("fp"))
     rows = written(rows, "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc").alias("first"))
-    stars = components(links(distinct, distance))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows.groupBy("fp").agg(F.min("doc").alias("first")), distance)
     # Written, so that the join reads two plain shuffles and a component of very many fingerprints is split.
     least = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = rooted.join(least, "root").select("fp", "component_id")
@@ -260,8 +258,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` without those that a smaller id of their component stands for."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    gone = found.filter(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("__fg_gone"))
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__fg_gone"), "left_anti")
+def _rooted(distinct: DataFrame, distance: int) -> DataFrame:
+    """The distinct fingerprints `fp` with `first`, and the `root` of their component."""
+    stars = components(links(distinct, distance))
+    return distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """One row of each component: the one with the smallest id, null ids last, and of its texts the one of the least digest.
+
+    Rows are told apart by id and text, so an id with two texts is two documents, and rows that repeat both leave one.
+    """
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    rows = written(docs.select(doc.alias("doc"), digest.alias("digest"), fingerprints(text, shingle).alias("fp")), "fingerprints")
+    # Ordered as (is null, id, digest, rows that repeat both); repeats are counted before anything is moved.
+    counted = rows.groupBy("fp", "doc", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "digest", "n")).alias("first")
+    rooted = _rooted(written(counted.groupBy("fp").agg(first), "first-rows"), distance)
+    first = F.min("first").alias("first")
+    least = written(rooted.groupBy("root").agg(first).select(
+        F.col("first.doc").alias("__fg_doc"), F.col("first.digest").alias("__fg_digest"), F.col("first.n").alias("__fg_rows")), "kept-rows")
+    same = doc.eqNullSafe(F.col("__fg_doc")) & (digest == F.col("__fg_digest"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.join(least.filter("__fg_rows = 1"), same, "left_semi")
+    repeated = least.filter("__fg_rows > 1")
+    if repeated.isEmpty():
+        return kept
+    one = docs.join(repeated, same).dropDuplicates(["__fg_doc", "__fg_digest"])
+    return kept.unionByName(one.select(*names))

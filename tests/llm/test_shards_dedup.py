@@ -111,3 +111,10 @@ def test_rows_of_one_id_spread_over_slot_groups(spark, monkeypatch):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     held = spark.read.parquet(written[0]).filter("doc_id IS NULL OR doc_id = 7").groupBy("shard", "slot_group").count()
     assert held.agg(F.max("count")).first()[0] < 90
+
+
+def test_deduplicate_leaves_one_row_of_repeats_and_null_ids(spark):
+    rows = [(None, "a"), (None, "A"), (2, "c"), (2, "c"), (2, "C"), (1, "c"), (2, "d"), (None, "e"), (None, None), (3, "")]
+    for digest in (exact_dedup.sha256, lambda body: F.unhex(F.substring(F.sha2(body, 256), 1, 2))):
+        kept = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), digest=digest).collect()
+        assert Counter((r.doc_id, (r.text or "").lower()) for r in kept) == Counter([(None, "a"), (2, "c"), (2, "d"), (None, "e"), (3, "")])

@@ -155,3 +155,13 @@ def test_nothing_repeats_and_null_ids(spark):
     rows = [(None, "a"), (4, "a"), (4, "a"), (None, "b")]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == [(-1, -1), (-1, 4), (4, 4), (4, 4)]
+
+
+def test_keep_one_leaves_one_row_of_each_component(spark):
+    """Repeated rows, null ids, and an id with two texts of which one has a near copy."""
+    near, far, other, alone = (" ".join(f"{w}{i}" for i in range(60)) for w in ("near", "far", "other", "alone"))
+    rows = [(1, near), (2, near.upper()), (2, far), (3, other), (3, other), (None, other), (None, alone), (None, alone), (None, alone.upper())]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text.lower()) for r in kept.collect())) == sorted([(1, near), (2, far), (3, other), (0, alone)])
