@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_trie, exact_dedup, language, licenses, packing, quality, sharding, simhash, token_store, warc
+from . import alignment, bpe_trie, exact_dedup, language, licenses, minhash, packing, prefix_trie, quality, sharding, simhash, token_store, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,6 +77,22 @@ def op10_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf))
 
 
+def op11_text_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned."""
+    return alignment.alignments(documents(spark, sf), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op12_minhash_stars(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles are 85 percent alike."""
+    return minhash.near_duplicates(documents(spark, sf), shingle=3, percent=85)
+
+
+def op13_prefix_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that many share their first turns."""
+    turns = prefix_trie.written(prefix_trie.numbered(spark.read.parquet(f"{sf}/conversations.parquet")), "numbered-turns")
+    return prefix_trie.trie(*prefix_trie.regrouped(turns))
+
+
 QUERIES = {
     "op1_license_join": op1_license_join,
     "op2_simhash": op2_simhash,
@@ -88,6 +104,9 @@ QUERIES = {
     "op8_hash_tree": op8_hash_tree,
     "op9_bpe_trie": op9_bpe_trie,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_text_alignment": op11_text_alignment,
+    "op12_minhash_stars": op12_minhash_stars,
+    "op13_prefix_blocks": op13_prefix_blocks,
 }
 
 # Base32 of SHA-1, from its hexadecimal digits: five of them are four letters.
@@ -164,6 +183,47 @@ def _license_sql() -> str:
         FROM w LEFT JOIN base USING (k) LEFT JOIN best USING (k)"""
 
 
+# All pairs of distinct sets that share a shingle, and what they reach.
+_MINHASH = f"""
+    WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
+                         FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM t),
+    d AS (SELECT *, sha256(array_to_string(list_sort(sh), chr(10))) AS h FROM s),
+    reps AS (SELECT h, any_value(sh) AS sh, len(any_value(sh)) AS n, min(doc_id) AS first FROM d WHERE len(sh) > 0 GROUP BY h),
+    e AS (SELECT h, n, unnest(sh) AS g FROM reps),
+    links AS (SELECT a.h AS x, b.h AS y FROM e a JOIN e b ON a.g = b.g AND a.h <> b.h GROUP BY a.h, b.h, a.n, b.n
+              HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reach AS (SELECT h, h AS z FROM reps UNION SELECT r.h, l.y FROM reach r JOIN links l ON r.z = l.x),
+    c AS (SELECT reach.h, min(first) AS low FROM reach JOIN reps ON reps.h = reach.z GROUP BY reach.h)
+    SELECT doc_id, len(sh) AS n_shingles, coalesce(low, doc_id) AS component_id, doc_id = coalesce(low, doc_id) AS kept
+    FROM d LEFT JOIN c USING (h)"""
+
+# Prefixes are spelled out as texts of digests, and subtrees found by comparing all nodes.
+_CRC32 = """xor(4294967295, list_reduce(
+        list_concat([4294967295::BIGINT], list_transform(range(1, 1 + length({text})), lambda i: ord(substr({text}, i, 1))::BIGINT)),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"""
+_TRIE = f"""
+    WITH o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p,
+                      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g, strlen(coalesce(text, '')) AS bytes
+               FROM conversations WHERE conv_id IS NOT NULL),
+    size AS (SELECT c, count(*) AS n FROM o GROUP BY c),
+    cs AS (SELECT c, c - c % 5 AS b, {_CRC32.format(text="c::VARCHAR")} % 9 AS h FROM size),
+    r AS (SELECT cs.c, o.p, g, bytes FROM cs JOIN o ON o.c = b WHERE o.p < h
+          UNION ALL SELECT c, o.p - h + least(h, coalesce(size.n, 0)), g, bytes FROM cs JOIN o USING (c) LEFT JOIN size ON size.c = b WHERE o.p >= h),
+    m AS (SELECT c, 0 AS d, '' AS k, 0 AS bytes FROM cs
+          UNION ALL SELECT c, p + 1, array_to_string(list(g) OVER (PARTITION BY c ORDER BY p), ''), bytes FROM r),
+    nodes AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, max(bytes) AS bytes, substr(k, 1, greatest(0, length(k) - 64)) AS up FROM m GROUP BY d, k),
+    kids AS (SELECT up AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY up),
+    n AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (k)),
+    below AS (SELECT v.k, count_if(x.n_children = 0) AS n_leaves, sum((x.n - 1) * x.bytes)::BIGINT AS saved
+              FROM n v JOIN n x ON x.d >= v.d AND starts_with(x.k, v.k) GROUP BY v.k),
+    ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max_by(k, d) AS k FROM m GROUP BY c) GROUP BY k)
+    SELECT n.conv_id, n.d::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n AS n_convs, n.n_children, n_leaves, saved AS saved_tokens,
+           sha256(coalesce(ids, '')) AS ends_sha256
+    FROM n LEFT JOIN nodes u ON u.k = n.up AND n.d > 0 JOIN below ON below.k = n.k LEFT JOIN ends ON ends.k = n.k"""
+
+
 ORACLE = {
     "op1_license_join": _license_sql(),
     "op5_host_rules": _quality_sql(),
@@ -178,4 +238,6 @@ ORACLE = {
                doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
         WINDOW w AS (PARTITION BY t)""",
+    "op12_minhash_stars": _MINHASH,
+    "op13_prefix_blocks": _TRIE,
 }
