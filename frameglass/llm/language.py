@@ -128,10 +128,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text and has_letter(text):
-                    buckets, n = trigrams(text)
-                    np.add.at(held.setdefault(lang, np.zeros(BUCKETS, np.int64)), buckets, n)
+            for start, stop in byte_slices(batch.column(1)):
+                part = batch.slice(start, stop - start)
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if text and has_letter(text):
+                        buckets, n = trigrams(text)
+                        np.add.at(held.setdefault(lang, np.zeros(BUCKETS, np.int64)), buckets, n)
         for lang, counts in held.items():
             found = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
@@ -172,7 +174,8 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", penal
         return pa.array(out, kind)
 
     schema = "struct<lang: string, score: double, languages: array<struct<lang: string, share: double>>>"
-    return F.arrow_udf(run, schema)(F.col(f"`{text_col}`"))
+    # Marked so that a filter on the result is not moved below it, which would infer every text twice.
+    return F.arrow_udf(run, schema).asNondeterministic()(F.col(f"`{text_col}`"))
 
 
 def predictions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:

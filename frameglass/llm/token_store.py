@@ -18,6 +18,8 @@ from .texts import byte_slices, utf8_values
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES, PAGE_ROWS = 256 << 10, 2_000
+#: Rows of a file whose starts are summed up in one group.
+RUN_ROWS = 100_000
 
 WRITER = {
     "parquet.writer.version": "PARQUET_2_0",  # delta encoding of integers without dictionary
@@ -67,13 +69,14 @@ def write_tokens(
 ) -> None:
     """Write the ids of all rows below `path` in ascending document order, file by file.
 
-    Rows of one document id lie together, in the order of their texts. An empty table writes
-    an empty one.
+    Rows of one document id lie one after another, in the order of their texts' digests, null ids first; a hot id may
+    go on in the next file. An empty table writes an empty one.
     """
     ordered = (
         docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("digest", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "digest")
+        .sortWithinPartitions("doc_id", "digest")
     )
     limits = {
         "parquet.block.size": str(row_group_bytes),
@@ -103,30 +106,34 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def stored_digests(spark: SparkSession, path: str) -> DataFrame:
     """Per stored row: doc_id, start (ids of all rows before it), n_tokens and ids_crc32, all from the files.
 
-    Where a file starts follows from the counts alone; rows are numbered inside their file.
+    Where a run of rows starts follows from the counts alone; rows lie in their file as they are numbered there, so
+    `start` is the place of a row's ids also where several rows have one id or none.
     """
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(2)
+            lists = batch.column(3)
             ends = lists.offsets.to_numpy()
             values = lists.values.to_numpy(zero_copy_only=False).astype(ID, copy=False)
             crcs = [crc32(values[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())],
-                names=["file_no", "doc_id", "n_tokens", "ids_crc32"],
+                [*batch.columns[:3], pa.array(np.diff(ends), pa.int64()), pa.array(crcs, pa.int64())],
+                names=["file_no", "row_no", "doc_id", "n_tokens", "ids_crc32"],
             )
 
     stored = spark.read.parquet(path)
     kind = stored.schema["doc_id"].dataType.simpleString()
-    rows = stored.select(file_number().alias("file_no"), "doc_id", "tokens").mapInArrow(
-        run, f"file_no long, doc_id {kind}, n_tokens long, ids_crc32 long"
+    place = [file_number().alias("file_no"), F.col("_metadata.row_index").alias("row_no")]
+    rows = stored.select(*place, "doc_id", "tokens").mapInArrow(
+        run, f"file_no long, row_no long, doc_id {kind}, n_tokens long, ids_crc32 long"
     )
-    in_file = Window.partitionBy("file_no").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    counts = stored.select(file_number().alias("file_no"), "n_tokens").groupBy("file_no").agg(F.sum("n_tokens").alias("ids"))
-    earlier = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)  # a row per file
-    starts = counts.select("file_no", (F.sum("ids").over(earlier) - F.col("ids")).alias("file_start"))
-    running = rows.withColumn("upto", F.sum("n_tokens").over(in_file))
-    return running.join(starts, "file_no").select(
-        "doc_id", (F.col("file_start") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32"
+    # Files and runs of rows in them are summed first, so that ids before a row are counted in bounded parts.
+    rows = rows.withColumn("run", F.floor(F.col("row_no") / RUN_ROWS))
+    counts = stored.select(*place, "n_tokens").groupBy("file_no", F.floor(F.col("row_no") / RUN_ROWS).alias("run")).agg(F.sum("n_tokens").alias("ids"))
+    earlier = Window.orderBy("file_no", "run").rowsBetween(Window.unboundedPreceding, 0)  # a row per run
+    starts = counts.select("file_no", "run", (F.sum("ids").over(earlier) - F.col("ids")).alias("run_start"))
+    in_run = Window.partitionBy("file_no", "run").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    running = rows.withColumn("upto", F.sum("n_tokens").over(in_run))
+    return running.join(starts, ["file_no", "run"]).select(
+        "doc_id", (F.col("run_start") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32"
     )

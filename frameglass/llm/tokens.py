@@ -18,8 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces that a generation of a Python worker's memory holds (some 200 bytes each); there are two.
-CACHED_PIECES = 300_000
+#: Bytes that a generation of a Python worker's memory takes; there are two, of words and of pieces. A worker that later stages
+#: use keeps them, so they are small beside an executor.
+CACHED_MEMORY = 24_000_000
+#: Bytes that an entry takes beside its key and its ids, of which there are at most four bytes for each of the key.
+ENTRY = 150
 #: Longer pieces are encoded but not remembered.
 CACHED_BYTES = 64
 
@@ -79,7 +82,7 @@ class WordIds(dict):
 
     def __init__(self, limit: int, compute):
         super().__init__()
-        self.limit, self.compute, self.before = limit, compute, {}
+        self.limit, self.held, self.compute, self.before = limit, 0, compute, {}
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
@@ -87,18 +90,19 @@ class WordIds(dict):
             ids = self.compute(word)
         if len(word) <= CACHED_BYTES:
             self[word] = ids
+            self.held += len(word) + len(ids) + ENTRY
         return ids
 
     def turn(self) -> None:
-        if len(self) > self.limit:
-            self.before = dict(self)
+        if self.held > self.limit:
+            self.held, self.before = 0, dict(self)
             self.clear()
 
 
 class Encoder:
     """Encodes texts given as UTF-8 bytes to little-endian 32-bit ids."""
 
-    def __init__(self, path: str, cached: int = CACHED_PIECES):
+    def __init__(self, path: str, cached: int = CACHED_MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -114,7 +118,7 @@ class Encoder:
         )
         self.letters = str.maketrans({chr(b): c for c, b in byte_letters().items()})
         self.tokenize = self.tokenizer.model.tokenize
-        self.plain, self.pieces = WordIds(cached, self._model), Recent(cached // 2)
+        self.plain, self.pieces = WordIds(cached, self._model), Recent(cached // (5 * CACHED_BYTES + ENTRY))
 
     def _library(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)

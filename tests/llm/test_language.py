@@ -82,3 +82,10 @@ def test_odd_rows(spark, docs, model):
     assert language.predictions(odd.docs(spark).limit(0)).count() == 0
     kept = language.keep_known(df.withColumn("lang", F.lit("en")), min_score=0.5)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, t, *_ in odd.rows() if any(c.isalpha() for c in t or "")}
+
+
+def test_each_text_is_inferred_once(spark):
+    """A filter on the result stays above it: one evaluation in the plan of the kept rows."""
+    df = spark.createDataFrame([(i, "the cat sat on the mat", "en") for i in range(40)], "doc_id long, text string, lang string")
+    plan = language.keep_known(df, min_score=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -31,7 +31,7 @@ def test_pieces_give_the_ids_of_whole_texts(path):
     spaces += [f"Ab{c}{c}1 {c}.{c}" for c in map(chr, range(256))] + ["a , b.,c ...d 12 3x (x) <x> O'x", "ÀÉß×÷"]
     latin = [chr(c) for c in range(0xC0, 0x180)]
     spaces += [f"A{a}{b} x{b}1{a}, {a}́ {a}.{b}" for a, b in zip(latin, latin[1:])]
-    enc = Encoder(path, cached=20)
+    enc = Encoder(path, cached=4_000)
     assert enc.by_piece == (path == WORD)
     for t, ids in zip(texts + spaces, library(texts + spaces, path)):
         assert enc.encode([t.encode()])[0] == ids.tobytes(), t
@@ -54,6 +54,26 @@ def test_store_reads_back_what_the_library_gives(spark, tmp_path):
     assert token_store.read_tokens(spark, path, 9, 30).count() == 8
 
 
+def test_start_is_where_the_ids_lie(spark, tmp_path, monkeypatch):
+    """Repeated and null ids with different texts: the ids at `start` of the joined files are those of the row."""
+    monkeypatch.setattr(token_store, "RUN_ROWS", 3)
+    texts = ["a b c d e", "one", "four words are here", "x y"] * 6
+    rows = [(None if i % 5 == 0 else 1 if i % 3 else i, t + " z" * (i % 7)) for i, t in enumerate(texts)]
+    path = str(tmp_path / "store")
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), path, WORD, 1)
+    stored = spark.read.parquet(path).select(token_store.file_number().alias("f"), "_metadata.row_index", "doc_id", "tokens")
+    joined = [x for r in sorted(stored.collect(), key=lambda r: (r.f, r.row_index)) for x in r.tokens]
+    got = token_store.stored_digests(spark, path).collect()
+    assert len(got) == len(rows)
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+        assert zlib.crc32(np.array(joined[r.start : at], "<u4").tobytes()) == r.ids_crc32
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 def test_store_layout(spark, tmp_path):
     path = tmp_path / "t"
     docs = spark.range(5_000).select(F.col("id").alias("doc_id"), F.lit("one two three four five").alias("text"))
