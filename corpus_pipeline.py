@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are left as pieces of sequences of at most 4096 ids."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2, with_ids=False)
+    """The documents that are left as pieces of sequences of at most 4096 ids, with their ids."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2)
 
 
 STAGES = [
