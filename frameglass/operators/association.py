@@ -20,6 +20,11 @@ MAX_CATEGORIES = 50
 PAIR_SCHEMA = "col_a string, col_b string, value double, pos int"
 
 
+def _by_position(view: DataFrame) -> DataFrame:
+    """The same columns named by their place: names with dots do not reach Python otherwise."""
+    return view.toDF(*[f"c{i}" for i in range(len(view.columns))])
+
+
 def _sums(view: DataFrame, means: Sequence[float] | None = None) -> DataFrame:
     """(i, j, n, s) summed over all rows by one scan: each task adds up its Arrow batches.
 
@@ -45,7 +50,7 @@ def _sums(view: DataFrame, means: Sequence[float] | None = None) -> DataFrame:
             columns = [i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), s[i, j]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "s"])
 
-    parts = view.mapInArrow(run, "i int, j int, n bigint, s double")
+    parts = _by_position(view).mapInArrow(run, "i int, j int, n bigint, s double")
     return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
@@ -122,7 +127,7 @@ def _contingency(df: DataFrame, known: dict[str, list], pairs: Sequence[tuple[in
                 names=["pos", "a", "b", "cnt"],
             )
 
-    parts = df.select(*[ref(c) for c in cols]).mapInArrow(run, "pos int, a string, b string, cnt bigint")
+    parts = _by_position(df.select(*[ref(c) for c in cols])).mapInArrow(run, "pos int, a string, b string, cnt bigint")
     return parts.groupBy("pos", "a", "b").agg(F.sum("cnt").alias("cnt"))
 
 
