@@ -18,6 +18,7 @@ from ..operators.distribution import (
 from ..operators.numeric import numeric_profile, quantile_table
 from ..operators.sampling import row_sample
 from ..operators.value_counts import mode_table, value_counts
+from .shapiro_sql import shapiro_sql
 from .common import (
     LINE_KEY,
     LINE_NUMBERS,
@@ -255,6 +256,13 @@ ORACLE["row_sample"] = (
 QUERIES["normality_shapiro"] = lambda spark, sf: rounded(
     normality(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], key=LINE_KEY)
 )
+_TESTED_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+ORACLE["normality_shapiro"] = union_sql([
+    f"SELECT '{c}' AS \"column\", n_all AS n, tested, 'shapiro' AS method, w, p_value, is_normal FROM (" + shapiro_sql(
+        f"SELECT 0 AS one, (SELECT count({c}) FROM lineitem) AS n_all, CAST({c} AS DOUBLE) AS x FROM lineitem "
+        f"ORDER BY md5(concat_ws('|', '42', {', '.join(LINE_KEY)})) LIMIT 5000", ["one"], "n_all,") + f") t_{c}"
+    for c in _TESTED_COLS
+])
 QUERIES["shape_hint"] = lambda spark, sf: shape_hints(_spread(spark, sf), _SPREAD_COLS)
 ORACLE["shape_hint"] = per_number(
     "CASE WHEN skewness(x) > 0.5 THEN 'right-skewed' WHEN skewness(x) < -0.5 THEN 'left-skewed' "
