@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -23,10 +24,14 @@ from pyspark.sql import functions as F
 
 from .components import _written as written
 from .texts import byte_slices, utf8_values
-from .tokens import byte_letters
+from .tokens import CACHED_BYTES, ID, Recent, byte_letters, packed
 
 #: Texts of about this many bytes are a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1_000_000
+#: Side a never joins across a space that a word follows, so texts are cut there and a worker looks up what it met before.
+_CUTS = re.compile(r"(?= \S)")
+#: Such pieces that a worker remembers, twice; some 250 bytes each.
+KNOWN_PIECES = 80_000
 #: A pair of ids as one number.
 _SHIFT = np.int64(32)
 #: Pairs that are spread out at once.
@@ -43,10 +48,11 @@ class Slice:
     `in_a` and `in_b` how many tokens a group has. `links` has (text, pair, n): n links of a pair of ids in a text.
     """
 
-    def __init__(self, n: int, ids_a: list[list[int]], ids_b: list[list[int]], len_a: np.ndarray, len_b: np.ndarray):
+    def __init__(self, n: int, ids_a: list[bytes], ids_b: list[list[int]], len_a: np.ndarray, len_b: np.ndarray):
         self.n = n
         self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, n) for x in (ids_a, ids_b))
-        self.a = np.fromiter(chain.from_iterable(ids_a), np.int64, self.n_a.sum())
+        self.n_a //= ID.itemsize
+        self.a = np.frombuffer(b"".join(ids_a), ID).astype(np.int64)
         self.b = np.fromiter(chain.from_iterable(ids_b), np.int64, self.n_b.sum())
         self.text_a, self.text_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
         # Both sides of a text have the same bytes, so offsets may run on from text to text.
@@ -127,18 +133,34 @@ class Aligner:
         pieces = [(self.b.is_byte(i), self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode() for byte, p in pieces]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.recent = Recent(KNOWN_PIECES)
         # An id as it is written inside its group and at the end of it.
         self.written = [f"{i}{end}" for n, ends in ((len(entries), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
 
+    def _side_a(self, strings: list[str]) -> list[bytes | None]:
+        """Ids of space and text as little-endian numbers; None for a text that they do not spell."""
+        cut = [_CUTS.split(f" {s}") for s in strings]
+        new = list(self.recent.missing(set().union(*cut)))
+        known, wrong = self.recent.now, set()
+        for piece, e in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = packed(e.ids)
+            if b"".join(map(self.bytes_a.__getitem__, e.ids)) != piece.encode():
+                wrong.add(piece)
+        out = [b"".join(map(known.__getitem__, c)) for c in cut]
+        if wrong:
+            out = [None if wrong.intersection(c) else ids for c, ids in zip(cut, out)]
+        for piece in new:
+            if len(piece) > CACHED_BYTES or piece in wrong:
+                del known[piece]
+        return out
+
     def align(self, texts: list[bytes]) -> Slice:
         """Texts that are empty, or whose tokens of either side do not spell space and text, have no tokens."""
         strings = [t.decode() for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in strings], add_special_tokens=False)]
-        ids_b = self.b.encode(strings, num_threads=1)
+        ids_a, ids_b = self._side_a(strings), self.b.encode(strings, num_threads=1)
         for i, text in enumerate(texts):
-            whole = b" " + text
-            if not text or any(b"".join(map(t.__getitem__, ids[i])) != whole for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
-                ids_a[i] = ids_b[i] = []
+            if not text or ids_a[i] is None or b"".join(map(self.bytes_b.__getitem__, ids_b[i])) != b" " + text:
+                ids_a[i], ids_b[i] = b"", []
         return Slice(len(texts), ids_a, ids_b, self.len_a, self.len_b)
 
     def group_texts(self, s: Slice) -> list[str]:

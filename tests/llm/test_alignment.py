@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from frameglass.llm import alignment
 from frameglass.llm import queries as Q
+from frameglass.llm.tokens import packed
 
 A, B = Q.tokenizer("byte_bpe_50k.json"), Q.tokenizer("piece_bpe_32k.model")
 ZERO = (0, 0, 0, 0, 0, 0, "")
@@ -104,3 +105,13 @@ def test_group_lists(spark):
             groups.append([r.a[i : i + n], r.b[j : j + m]])
             i, j = i + n, j + m
         assert groups == plain_groups(r.text)
+
+
+def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
+    """White space of all kinds around the cuts, and a memory that forgets."""
+    tool = alignment.Aligner(A, B)
+    tool.recent.limit = 5
+    texts = [a + b + c for a in ("", "x", "x ", "!", "1\n") for b in (" ", "  ", " \n ", "\t ", " \u3000 ", " \x1c", "\x85 ", "\u00a0 ") for c in ("", "y", " y", "\ny", "'s")]
+    for part in (texts[:70], texts[70:], texts):
+        whole = [packed(e.ids) for e in tool.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)]
+        assert tool._side_a(part) == whole
