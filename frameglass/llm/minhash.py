@@ -5,7 +5,7 @@ from a full one that it draws at random, the same way for all documents (optimal
 
 A bucket gives stars, not pairs: a hub is compared with the other members, and only with those of other components. A hub has
 then done its work in that bucket and leaves it, and as long as members of several components are left, more of them
-become hubs, sixteen times as many in each round. So a bucket of copies costs one star, and every pair that shares a bucket is
+become hubs, four times as many in each round. So a bucket of copies costs one star, and every pair that shares a bucket is
 connected, or compared, or cannot be similar enough because too few of its shingles are in any other member: documents
 that share a passage but no more leave all buckets that way. Each compared pair is confirmed on its full sets of shingles.
 """
@@ -142,7 +142,7 @@ def star_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) ->
         if not found.isEmpty():
             stars = components(found if stars is None else found.union(stars.select("node", "root")))
         members = rest.select("key", "v", "n").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
-        hubs *= 16
+        hubs *= 4
 
 
 def near_duplicates(
