@@ -41,8 +41,8 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b) of any integers: (node, root) for every node that is not the smallest of its component.
 
-    Repeated edges and loops are allowed. A node of very many edges is no task's burden alone: minima are
-    combined before they are moved, and joins on a hot node are split. Rounds grow with the logarithm of the
+    Repeated edges and loops are allowed. Minima of a node of very many edges are combined before
+    they are moved; its edges meet in one task where the join with these minima is not split by adaptive execution. Rounds grow with the logarithm of the
     longest path and end when all components are stars.
     """
     stars = edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct()
