@@ -65,6 +65,21 @@ def _(spark, sf):
     return read_csv(spark, path)
 
 
+@query(
+    "read_csv_blocks",
+    "SELECT doc_id, CASE WHEN text <> '' THEN text END AS text, lang, "
+    "'a \"' || source || '\",' || chr(10) || chr(10) || '\"' || lang AS note FROM documents",
+)
+def _(spark, sf):
+    # Whole texts with their line breaks and quotes: lines, records and blocks end anywhere in them.
+    out = table(spark, sf, "documents").selectExpr(
+        "doc_id", "text", "lang", "concat('a \"', source, '\",\n\n\"', lang) AS note"
+    )
+    path = f"{scratch_path(spark, 'csv')}.csv"
+    out.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    return read_csv(spark, path, staged=True)
+
+
 @query(
     "read_json",
     "SELECT o_orderkey, o_custkey AS \"customer.key\", o_orderpriority AS \"customer.rank.name\", o_totalprice, "

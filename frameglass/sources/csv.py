@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions import sql
 from ..functions.kinds import ref
 from ..operators.tidy import per_column
+from .csv_blocks import stage_csv
 
 # Texts read as missing.
 NA_TOKENS = (
@@ -43,11 +44,14 @@ _READERS = {"bigint": _as_integer, "double": _as_double, "boolean": _as_boolean}
 
 
 def read_texts(
-    spark: SparkSession, path: str | Sequence[str], multiline: bool = True, **options
+    spark: SparkSession, path: str | Sequence[str], multiline: bool = True, staged: bool = False, **options
 ) -> DataFrame:
     """All columns as text, missing tokens as null."""
-    settings = {"header": True, "multiLine": multiline, "escape": '"', "encoding": "UTF-8", **options}
-    raw = spark.read.options(**settings).csv(path)
+    if staged:
+        raw = stage_csv(spark, path, **options)
+    else:
+        settings = {"header": True, "multiLine": multiline, "escape": '"', "encoding": "UTF-8", **options}
+        raw = spark.read.options(**settings).csv(path)
     tokens = ", ".join(map(sql.text, NA_TOKENS))
     names = [sql.quoted(c) for c in raw.columns]
     return raw.selectExpr(*[f"CASE WHEN {x} NOT IN ({tokens}) THEN {x} END AS {x}" for x in names])
@@ -79,16 +83,18 @@ def read_csv(
     path: str | Sequence[str],
     schema: T.StructType | None = None,
     multiline: bool = True,
+    staged: bool = False,
     **options,
 ) -> DataFrame:
     """CSV with a header; numbers and booleans are inferred, dates stay text.
 
-    A quoted field may hold line breaks, so by default a file is one split. Files
-    without such fields should be read with `multiline=False`, which lets Spark cut
+    A quoted field may hold line breaks, so by default a file is one split. With `staged` large files
+    are cut into blocks all the same and copied as Parquet, see `stage_csv`, whose options `sep` and `quote` are the
+    only ones then. Files without such fields should be read with `multiline=False`, which lets Spark cut
     them; folders of many files are parallel either way. With `schema` the inference
     pass is skipped.
     """
-    texts = read_texts(spark, path, multiline, **options)
+    texts = read_texts(spark, path, multiline, staged, **options)
     if schema is not None:
         given = {f.name: f.dataType for f in schema}
         return texts.select(*[ref(c).try_cast(given[c]).alias(c) for c in texts.columns if c in given])
