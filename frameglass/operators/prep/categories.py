@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.kinds import ref
@@ -19,13 +19,21 @@ RUN_ROWS = 1_000_000
 
 @dataclass
 class Categories:
-    """Either the sorted list of values, or a written (value, code) table."""
+    """Either the sorted list of values, or a written (value, code) table and its size."""
 
     values: list[str] | None = None
     table: DataFrame | None = None
+    rows: int | None = None
+    bytes: int | None = None
 
-    def listed(self) -> list[str]:
-        """All values in sorted order, for uses that make something of each on the driver."""
+    def __post_init__(self) -> None:
+        if self.values is not None:
+            self.rows, self.bytes = len(self.values), sum(len(v.encode()) for v in self.values)
+
+    def listed(self, most: int) -> list[str]:
+        """All values in sorted order, for uses that make something of each on the driver; raises beyond `most`."""
+        if self.rows > most:
+            raise ValueError(f"{self.rows} categories, more than {most}")
         if self.table is None:
             return self.values
         return [r["value"] for r in self.table.orderBy("code").collect()]
@@ -50,51 +58,35 @@ def learn_categories(
     found: dict[str, list[str]] = {c: [] for c in cols}
     for row in sorted(rows, key=lambda r: r["rank"]):
         found[row["column"]].append(row["value"])
-    return {
-        c: Categories(values=v) if len(v) <= listed else Categories(table=ranked_values(df, c))
-        for c, v in found.items()
-    }
+    return {c: Categories(values=v) if len(v) <= listed else ranked(df, c) for c, v in found.items()}
 
 
-def ranked_values(df: DataFrame, column: str, run_rows: int = RUN_ROWS) -> DataFrame:
-    """(value, code) of all distinct values, code by sorted order, without a global sort.
+def ranked(df: DataFrame, column: str, run_rows: int = RUN_ROWS) -> Categories:
+    """All distinct values with their codes by sorted order, without a global sort or a list on the driver.
 
-    Cut points from a small repeatable sample split the values into sorted runs; each
-    run is numbered on its own and shifted by the sizes of the runs before it. The
-    result is written once, so later uses do not depend on this plan.
+    Spark cuts the values into sorted runs of some `run_rows` values. Each task numbers its run as it writes it;
+    the sizes of the runs before, a row per run, shift these numbers. The plan is the same for any number of
+    values. The result is written once, so later uses do not depend on this plan.
     """
     spark = df.sparkSession
     text = ref(column).cast("string")
-    distinct = scratch_path(spark, "values")
+    distinct, runs, codes = (scratch_path(spark, label) for label in ("values", "runs", "codes"))
     df.select(text.alias("value")).where("value IS NOT NULL").distinct().write.parquet(distinct)
     values = spark.read.parquet(distinct)  # one shuffle; the passes below read the copy
-    total = values.count()
-    runs = max(total // run_rows, 1)
-    share = min(1.0, 16 * runs / max(total, 1))
-    bound = format(int(share * 16**12), "012x") if share < 1 else "g"
-    sample = sorted(r["value"] for r in values.where(F.md5("value") < bound).collect())
-    cuts = [sample[i * len(sample) // runs] for i in range(1, runs)] if len(sample) >= runs else []
-    run = _run_of(F.col("value"), cuts)
-    sized = values.withColumn("run", run)
-    sizes = {r["run"]: r["n"] for r in sized.groupBy("run").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, seen = [], 0
-    for i in range(len(cuts) + 1):
-        starts.append(seen)
-        seen += sizes.get(i, 0)
-    start = F.get(F.array(*[F.lit(s).cast("bigint") for s in starts]), F.col("run"))
-    place = F.row_number().over(Window.partitionBy("run").orderBy("value"))
-    path = scratch_path(spark, "codes")
-    sized.select("value", (start + place - 1).alias("code")).write.parquet(path)
-    return spark.read.parquet(path)
-
-
-def _run_of(value: Column, cuts: Sequence[str]) -> Column:
-    """Number of cut points at or below the value, by halving the list of cuts."""
-    def halve(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), halve(lo, mid)).otherwise(halve(mid + 1, hi))
-
-    return halve(0, len(cuts))
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("b")).first()
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the place within its partition
+    cut = values.repartitionByRange(max(size["n"] // run_rows, 1), "value").sortWithinPartitions("value")
+    cut.select("value", F.spark_partition_id().alias("run"), row.alias("place")).write.parquet(runs)
+    placed = spark.read.parquet(runs)
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # over a row per run
+    starts = (
+        placed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    )
+    coded = placed.join(F.broadcast(starts), "run").select("value", (F.col("start") + F.col("place")).alias("code"))
+    coded.write.parquet(codes)
+    return Categories(table=spark.read.parquet(codes), rows=size["n"], bytes=size["b"])
 
+
+def ranked_values(df: DataFrame, column: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """(value, code) of all distinct values, as `ranked` finds them."""
+    return ranked(df, column, run_rows).table

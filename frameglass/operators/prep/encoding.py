@@ -8,10 +8,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...functions import sql
 from ...functions.kinds import ref
 from .base import Needs, Operation, Stats
 from .categories import Categories
 
+#: Most 0/1 columns that one column becomes, if no other bound is given.
+DENSE_COLUMNS = 10_000
 # These choose the plan only; results are the same on either side.
 LITERAL_CODES = 64
 BROADCAST_ROWS = 1_000_000
@@ -22,42 +25,87 @@ def _text(c: str) -> Column:
     return ref(c).cast("string")
 
 
+def _coded(df: DataFrame, known: Mapping[str, Categories]) -> tuple[DataFrame, dict[str, Column]]:
+    """`df`, with code tables joined where there are many values, and the code of each column; null for unknown values."""
+    joined, codes = 0, {}
+    for c, categories in known.items():
+        if categories.values is not None and categories.rows <= LITERAL_CODES:
+            codes[c] = _literal(c, categories.values)
+            continue
+        value, code = f"__v{joined}", f"__c{joined}"
+        found = categories.code_table(df).select(F.col("value").alias(value), F.col("code").alias(code))
+        # Broadcast only a table whose size was measured when it was fitted; a larger one is joined by
+        # shuffle, where adaptive execution splits hot values.
+        if categories.rows <= BROADCAST_ROWS and categories.bytes <= BROADCAST_BYTES:
+            found = F.broadcast(found)
+        df = df.join(found, _text(c) == F.col(value), "left")
+        codes[c] = F.col(code)
+        joined += 1
+    return df, codes
+
+
+def _literal(c: str, values: Sequence[str]) -> Column:
+    if not values:
+        return F.lit(None).cast("bigint")
+    place = F.array_position(F.array(*[F.lit(v) for v in values]), _text(c))
+    return F.nullif(place, F.lit(0)) - 1
+
+
 class EncodeOneHot(Operation):
     """0/1 columns `{column}_{category}` in sorted order after the rest; null and unseen are all 0.
 
-    A table gets as many columns as there are categories. `max_categories` bounds them: a column with more
-    raises while fitting. Without it, all become columns.
+    As `columns` a table gets as many columns as there are categories; a column with more than `max_categories`, or
+    than `DENSE_COLUMNS` without it, raises while fitting, before any value is listed. As `sparse` a table gets one
+    column `{column}_onehot` of (size, indices, values), the parts of a sparse vector: any number of categories
+    keeps its codes on Spark. Null and unseen have no index.
     """
 
     name = "encoding.onehot"
     kind = "categorical"
 
-    def __init__(self, cols: Sequence[str] | None = None, max_categories: int | None = None) -> None:
+    def __init__(self, cols: Sequence[str] | None = None, max_categories: int | None = None, form: str = "columns") -> None:
         super().__init__(cols)
-        self.max_categories = max_categories
+        if form not in ("columns", "sparse"):
+            raise ValueError(f"form {form!r} is neither columns nor sparse")
+        self.max_categories, self.form = max_categories, form
 
     def options(self) -> dict[str, Any]:
-        return {"max_categories": self.max_categories}
+        return {"max_categories": self.max_categories, "form": self.form}
 
     def needs(self, cols: Sequence[str]) -> Needs:
         return Needs(categories=set(cols))
 
     def learn(self, cols: Sequence[str], stats: Stats) -> None:
-        found = {c: stats.categories[c].listed() for c in cols}
-        for c, values in found.items():
-            if self.max_categories is not None and len(values) > self.max_categories:
-                raise ValueError(f"column {c!r} has {len(values)} categories, more than {self.max_categories}")
-        self.params = {c: {"categories": values} for c, values in found.items()}
+        found = {c: stats.categories[c] for c in cols}
+        most = self.max_categories
+        if most is None and self.form == "columns":
+            most = DENSE_COLUMNS
+        for c, known in found.items():
+            if most is not None and known.rows > most:
+                raise ValueError(f"column {c!r} has {known.rows} categories, more than {most}; the sparse form takes any number")
+        dense = self.form == "columns"
+        self.params = {c: {"categories": known.listed(most) if dense else known} for c, known in found.items()}
 
     def apply(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-        gone = set(cols)
-        kept = [ref(c) for c in df.columns if c not in gone]
-        dummies = [
-            F.coalesce((_text(c) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{c}_{v}")
-            for c, p in self.params.items()
-            for v in p["categories"]
+        kept = [c for c in df.columns if c not in set(cols)]
+        if self.form == "columns":
+            dummies = [
+                f"CAST(CAST({sql.quoted(c)} AS STRING) <=> {sql.text(v)} AS INT) AS {sql.quoted(f'{c}_{v}')}"
+                for c, p in self.params.items()
+                for v in p["categories"]
+            ]
+            return df.selectExpr(*map(sql.quoted, kept), *dummies)
+        known = {c: self.params[c]["categories"] for c in cols}
+        df, codes = _coded(df, known)
+        vectors = [
+            F.struct(
+                F.lit(known[c].rows).cast("bigint").alias("size"),
+                F.array_compact(F.array(code)).alias("indices"),
+                F.when(code.isNotNull(), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("values"),
+            ).alias(f"{c}_onehot")
+            for c, code in codes.items()
         ]
-        return df.select(*kept, *dummies)
+        return df.select(*map(ref, kept), *vectors)
 
 
 class _Coded(Operation):
@@ -66,37 +114,9 @@ class _Coded(Operation):
     kind = "categorical"
 
     def apply(self, df: DataFrame, cols: Sequence[str]) -> DataFrame:
-        names, order = list(df.columns), []
-        coded: dict[str, Column] = {}
-        for c in cols:
-            known: Categories = self.params[c]["categories"]
-            if known.values is not None and len(known.values) <= LITERAL_CODES:
-                coded[c] = self._literal(c, known.values)
-            else:
-                order.append((c, known))
-        for i, (c, known) in enumerate(order):
-            codes = known.code_table(df).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__c{i}"))
-            # Broadcast only a table whose size was measured; a larger one is joined by
-            # shuffle, where adaptive execution splits hot values.
-            if self._is_small(known):
-                codes = F.broadcast(codes)
-            df = df.join(codes, _text(c) == F.col(f"__v{i}"), "left")
-            coded[c] = F.col(f"__c{i}")
-        return df.select(*[coded[c].alias(c) if c in coded else ref(c) for c in names])
-
-    @staticmethod
-    def _is_small(known: Categories) -> bool:
-        if known.values is not None:
-            return sum(len(v) for v in known.values) * 4 <= BROADCAST_BYTES
-        size = known.table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("value")).alias("b")).first()
-        return size["n"] <= BROADCAST_ROWS and size["b"] <= BROADCAST_BYTES
-
-    @staticmethod
-    def _literal(c: str, values: Sequence[str]) -> Column:
-        if not values:
-            return F.lit(None).cast("bigint")
-        place = F.array_position(F.array(*[F.lit(v) for v in values]), _text(c))
-        return F.nullif(place, F.lit(0)) - 1
+        names = list(df.columns)
+        df, codes = _coded(df, {c: self.params[c]["categories"] for c in cols})
+        return df.select(*[codes[c].alias(c) if c in codes else ref(c) for c in names])
 
 
 class EncodeOrdinal(_Coded):

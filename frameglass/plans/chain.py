@@ -21,7 +21,7 @@ _BUILDERS = {
     ("missing", "constant"): lambda s, c: prep.ImputeConstant(s.get("fill_value", 0), c),
     ("missing", "drop_row"): lambda s, c: prep.DropNullRows(c),
     ("missing", "drop_col"): lambda s, c: prep.DropColumns(c),
-    ("encoding", "onehot"): lambda s, c: prep.EncodeOneHot(c),
+    ("encoding", "onehot"): lambda s, c: prep.EncodeOneHot(c, s.get("max_categories"), s.get("form", "columns")),
     ("encoding", "ordinal"): lambda s, c: prep.EncodeOrdinal(s.get("order"), c),
     ("encoding", "label"): lambda s, c: prep.EncodeLabel(c),
     ("outlier", "iqr"): lambda s, c: prep.OutlierIQR(s.get("action", "clip"), c),
@@ -114,7 +114,7 @@ class Chain:
                 rows.append((i, step.name, column, "fitted", "true"))
                 for key, value in params.items():
                     if isinstance(value, Categories):
-                        value = {"values": value.values, "table": value.table is not None}
+                        value = {"values": value.values, "table": value.table is not None, "rows": value.rows, "bytes": value.bytes}
                     rows.append((i, step.name, column, key, json.dumps(_plain(value))))
         return rows
 
@@ -153,7 +153,7 @@ class Chain:
                 known = slot.get("categories")
                 if isinstance(known, dict):
                     table = spark.read.parquet(f"{root}/{_CODES}/{i}-{n}") if known["table"] else None
-                    slot["categories"] = Categories(known["values"], table)
+                    slot["categories"] = Categories(known["values"], table, known["rows"], known["bytes"])
             chain.add(step)
         return chain
 

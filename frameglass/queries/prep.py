@@ -197,6 +197,28 @@ ORACLE["encode_label"] = (
     "SELECT o_orderkey, a.k AS o_orderpriority, b.k AS customer FROM o LEFT JOIN a ON o.o_orderpriority = a.v LEFT JOIN b ON o.customer = b.v"
 )
 
+
+def _sparse(spark, sf):
+    # Customers exceed what a driver lists, priorities do not.
+    orders = table(spark, sf, "orders").selectExpr(
+        "o_orderkey",
+        "CASE WHEN o_totalprice > 450000 THEN NULL ELSE o_orderpriority END AS o_orderpriority",
+        "concat('C', CAST(o_custkey AS STRING)) AS customer",
+    )
+    coded = EncodeOneHot(["o_orderpriority", "customer"], form="sparse").fit_transform(orders)
+    return coded.selectExpr(
+        "o_orderkey", "o_orderpriority_onehot.size AS priorities", "get(o_orderpriority_onehot.indices, 0) AS priority",
+        "customer_onehot.size AS customers", "get(customer_onehot.indices, 0) AS customer", "get(customer_onehot.values, 0) AS hot",
+    )
+
+
+QUERIES["encode_onehot_sparse"] = _sparse
+ORACLE["encode_onehot_sparse"] = (
+    "SELECT o_orderkey, (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_totalprice <= 450000) AS priorities, "
+    "o_orderpriority AS priority, (SELECT count(DISTINCT o_custkey) FROM orders) AS customers, customer, 1 AS hot "
+    f"FROM ({ORACLE['encode_label']}) coded"
+)
+
 # --- custom steps, chains, streams --------------------------------------------------
 
 _NET = f"l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), {ROW_DIGITS}) AS net"

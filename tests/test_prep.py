@@ -166,6 +166,32 @@ def test_large_label_ranking(spark):
     assert wide.params["s"]["categories"] == known and len(known) > 999
 
 
+def test_sparse_onehot(spark, df, tmp_path):
+    step = EncodeOneHot(["s"], form="sparse").fit(df)
+    out = step.transform(df)
+    assert out.columns == ["k", "i", "x", "flat", "s_onehot"]
+    expected = [(4, [], []) if v is None else (4, ["abcz".index(v)], [1]) for v in column(df, "s")]
+    assert [tuple(v) for v in column(out, "s_onehot")] == expected
+    new = spark.createDataFrame([(1, "never"), (2, None), (3, "b")], "k int, s string")
+    assert [tuple(v) for v in column(step.transform(new), "s_onehot")] == [(4, [], []), (4, [], []), (4, [1], [1])]
+    with pytest.raises(ValueError, match="neither"):
+        EncodeOneHot(["s"], form="dense")
+
+
+def test_many_categories_stay_on_spark(spark, tmp_path, monkeypatch):
+    wide = spark.range(200_000).selectExpr("id AS k", "concat('v', lpad(id % 100000, 6, '0')) AS s")
+    with pytest.raises(ValueError, match="100000 categories, more than 10000"):
+        EncodeOneHot(["s"]).fit(wide)
+    monkeypatch.setattr(Categories, "listed", None)
+    chain = Chain([EncodeOneHot(["s"], form="sparse")]).fit(wide)
+    known = chain.steps[0].params["s"]["categories"]
+    assert known.values is None and (known.rows, known.bytes) == (100_000, 700_000)
+    chain.save(spark, str(tmp_path / "chain"))
+    for fitted in (chain, Chain.load(spark, str(tmp_path / "chain"))):
+        odd = fitted.transform(wide).where("s_onehot.size <> 100000 OR s_onehot.indices <> array(k % 100000) OR s_onehot.values <> array(1)")
+        assert odd.count() == 0
+
+
 def test_contract(df):
     with pytest.raises(ValueError, match="no such columns"):
         ImputeMean(["nope"]).fit(df)
