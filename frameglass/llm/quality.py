@@ -2,10 +2,11 @@
 
 Each document is measured once. Base rules reject it alone. A soft rule has two limits: beyond the hard one a
 document is rejected wherever it comes from, between the two the host decides. For that, failures
-of the soft limit are counted per host and rule, the rates are shrunk to a beta prior fitted to all hosts by
-moments, and a host whose shrunk rate is high has a bad standing for this rule, so hosts with few
-documents are not judged by them alone. Documents without a soft failure are never rejected
-for their host.
+of the soft limit are counted per host and rule, and those of the base rules as one rule more. The rates are shrunk to
+a beta prior fitted to all hosts by moments, and a host whose rate is high with near certainty, by its posterior, has a bad standing
+for this rule, so hosts with few documents are not judged by them alone. A bad standing in a soft rule rejects documents that
+fail this rule, one in the base rules those that fail any soft rule. Documents without a soft failure are never
+rejected for their host.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ WINDOW = 8
 
 #: Base rules: fewest words, and the largest share of words in repeated windows in per cent.
 MIN_WORDS, REPEAT_PERCENT = 20, 30
-#: A host's standing is bad from this shrunk rate on, if it is also this many times the rate of all hosts.
-BAD_RATE, BAD_LIFT = 0.25, 2.0
+#: A host's standing is bad if its rate is more than this many times the rate of all hosts with 99 % of the posterior,
+#: taken as normal: so many standard deviations lie between its mean and this bound.
+BAD_LIFT, CREDIBLE = 2.0, 2.326
+BASE_RULE = "base"
 PRIOR_STRENGTH = (1.0, 1e6)
 
 
@@ -127,17 +130,19 @@ def _measured(docs: DataFrame, text_col: str, host_col: str, rules) -> DataFrame
 
 
 def host_rates(measured: DataFrame, rules=SOFT_RULES) -> DataFrame:
-    """Per host and soft rule: documents, failures, rate, shrunk rate, and whether the standing is bad.
+    """Per host and rule, the base rules as one: documents, failures, rate, shrunk rate, and whether the standing is bad.
 
     A host is a name; null is one more. Counts are summed in each task before they are moved.
     """
     counts = measured.groupBy(HOST).agg(
         F.count(F.lit(1)).alias("docs"),
+        F.count_if(BASE).alias(BASE_RULE),
         *[F.count_if(F.array_contains(SOFT, r.name)).alias(r.name) for r in rules],
     )
+    names = [BASE_RULE, *[r.name for r in rules]]
     long = counts.select(
         F.col(HOST).alias("host"), "docs",
-        F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(r.name).alias("failed")) for r in rules])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("failed")) for n in names])).alias("x"),
     ).select("host", "docs", "x.*")
     fitted = long.groupBy("rule").agg(
         F.sum("docs").alias("n"), F.sum("failed").alias("f"), F.count(F.lit(1)).alias("hosts"),
@@ -157,7 +162,8 @@ def host_rates(measured: DataFrame, rules=SOFT_RULES) -> DataFrame:
     return (
         long.join(F.broadcast(prior), "rule")  # a row per rule
         .withColumns({"rate": F.expr("failed / docs"), "shrunk": shrunk})
-        .withColumn("bad", F.expr(f"shrunk >= {BAD_RATE} AND shrunk >= {BAD_LIFT} * mean"))
+        .withColumn("deviation", F.expr("sqrt(shrunk * (1 - shrunk) / (docs + strength + 1))"))
+        .withColumn("bad", F.expr(f"shrunk - {CREDIBLE} * deviation > {BAD_LIFT} * mean"))
         .select("host", "rule", "docs", "failed", "rate", "shrunk", "bad")
     )
 
@@ -175,13 +181,14 @@ def judged(docs: DataFrame, text_col: str = "text", host_col: str = "source", ru
     (rows if with_text else rows.drop(text_col)).write.parquet(path)
     rows = spark.read.parquet(path)
     standing = host_rates(rows, rules).filter("bad").withColumnRenamed("host", "__fg_bad_host")
-    bad = standing.groupBy("__fg_bad_host").agg(F.collect_list("rule").alias("__fg_bad"))  # as many as rules
+    bad = standing.groupBy("__fg_bad_host").agg(F.collect_list("rule").alias("__fg_bad"))  # at most one more than soft rules
     undecided = F.expr(f"NOT {BASE} AND NOT {HARD} AND size({SOFT}) > 0")
     alone = rows.filter(~undecided)
     alone = alone.withColumn("__fg_kept", F.expr(f"NOT {BASE} AND NOT {HARD}"))
     unsure = rows.filter(undecided)
+    failing = F.concat(F.col(SOFT), F.array(F.lit(BASE_RULE)))
     by_host = unsure.join(bad, F.col(HOST).eqNullSafe(F.col("__fg_bad_host")), "left").withColumn(
-        "__fg_kept", ~F.coalesce(F.arrays_overlap(SOFT, "__fg_bad"), F.lit(False))
+        "__fg_kept", ~F.coalesce(F.arrays_overlap(failing, "__fg_bad"), F.lit(False))
     )
     return alone.unionByName(by_host.drop("__fg_bad_host", "__fg_bad"))
 

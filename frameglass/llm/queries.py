@@ -136,8 +136,8 @@ _QUALITY = """
     spread AS (SELECT *, sq - mean * mean - hosts * mean * (1 - mean) / total AS b FROM prior),
     strength AS (SELECT *, least({high}, greatest({low}, CASE WHEN b > 0 THEN mean * (1 - mean) / b - 1 ELSE {high} END)) AS st
                  FROM spread),
-    bad AS (SELECT host, rule FROM strength WHERE (f + mean * st) / (n + st) >= {rate}
-            AND (f + mean * st) / (n + st) >= {lift} * mean)
+    shrunk AS (SELECT *, (f + mean * st) / (n + st) AS p FROM strength),
+    bad AS (SELECT host, rule FROM shrunk WHERE p - {credible} * sqrt(p * (1 - p) / (n + st + 1)) > {lift} * mean)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_small, base_failed,
            NOT base_failed AND NOT ({hard}) AND NOT ({soft}) AS kept FROM v"""
 _SOFT = quality.SOFT_RULES
@@ -145,11 +145,12 @@ _SOFT = quality.SOFT_RULES
 
 def _quality_sql() -> str:
     columns = [f"coalesce(({r.part}) / nullif({r.whole}, 0), 0) > {limit} AS {k}_{r.name}" for r in _SOFT for k, limit in (("s", r.soft), ("h", r.hard))]
-    rates = [f"SELECT source AS host, '{r.name}' AS rule, count(*)::DOUBLE AS n, count_if(s_{r.name})::DOUBLE AS f FROM v GROUP BY source" for r in _SOFT]
-    soft = [f"s_{r.name} AND EXISTS (SELECT 1 FROM bad WHERE host IS NOT DISTINCT FROM source AND rule = '{r.name}')" for r in _SOFT]
+    failed = {quality.BASE_RULE: "base_failed", **{r.name: f"s_{r.name}" for r in _SOFT}}
+    rates = [f"SELECT source AS host, '{rule}' AS rule, count(*)::DOUBLE AS n, count_if({c})::DOUBLE AS f FROM v GROUP BY source" for rule, c in failed.items()]
+    soft = [f"s_{r.name} AND EXISTS (SELECT 1 FROM bad WHERE host IS NOT DISTINCT FROM source AND rule IN ('{r.name}', '{quality.BASE_RULE}'))" for r in _SOFT]
     return _QUALITY.format(
         words=quality.MIN_WORDS, repeat=quality.REPEAT_PERCENT, values=", ".join(columns), rates=" UNION ALL ".join(rates),
-        low=quality.PRIOR_STRENGTH[0], high=quality.PRIOR_STRENGTH[1], rate=quality.BAD_RATE, lift=quality.BAD_LIFT,
+        low=quality.PRIOR_STRENGTH[0], high=quality.PRIOR_STRENGTH[1], credible=quality.CREDIBLE, lift=quality.BAD_LIFT,
         hard=" OR ".join(f"h_{r.name}" for r in _SOFT), soft=" OR ".join(soft),
     )
 

@@ -89,3 +89,20 @@ def test_odd_rows_and_nothing(spark):
     assert len(got) == 2 * len(odd.TEXTS) and not got[0].kept and got[0].base_failed
     assert all(tuple(got[i])[1:9] == plain_measures(t) for i, t, *_ in odd.rows(2))
     assert quality.verdicts(odd.docs(spark).limit(0)).count() == 0 and quality.keep_good(odd.docs(spark).limit(0)).count() == 0
+
+
+def test_planted_hosts_are_rejected_by_query_and_sql(spark, tmp_path):
+    """`noisy` fails a soft rule often, `broken` the base rules, `few` too seldom to know; the rest is clean."""
+    import duckdb
+
+    from frameglass.llm.queries import ORACLE, op5_host_rules
+
+    plan = {"noisy": (40, 25, 0), "broken": (40, 3, 30), "few": (1, 1, 1), "fine": (300, 6, 3), None: (80, 1, 0)}
+    rows = [(host, text) for host, counts in plan.items() for text, n in zip((CLEAN, SOFT, "short"), counts) for _ in range(n)]
+    docs = spark.createDataFrame([(i, text, "en", host, 0) for i, (host, text) in enumerate(rows)], odd.DOCS)
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.kept for r in op5_host_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: text == CLEAN or (text == SOFT and host in ("few", "fine", None)) for i, (host, text) in enumerate(rows)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(f"SELECT doc_id, kept FROM ({ORACLE['op5_host_rules']}) q").fetchall())
