@@ -99,20 +99,3 @@ def top_n(vc: DataFrame, n: int, *order: Column) -> DataFrame:
     """
     window = Window.partitionBy("column").orderBy(*order)
     return vc.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= n)
-
-
-def first_values(df: DataFrame, cols: Sequence[str], order_by: Sequence[str], n: int = 10) -> DataFrame:
-    """(column, rank, value): the first distinct values in row order, as text; null counts, NaN is null.
-
-    One pass keeps the first row of every distinct value; repeats collapse before they are moved.
-    """
-    parts = []
-    for kind, names in by_class(df, cols).items():
-        firsts = value_counts(df, names, order_by, keep_nulls=True)
-        shown = "CAST(value AS STRING)"
-        if kind == "floating":
-            shown = f"CASE WHEN abs(value) < DOUBLE('Infinity') THEN {shown} END"
-        parts.append(
-            top_n(firsts, n, F.col("first_seen").asc()).selectExpr("column", "rank", f"{shown} AS value")
-        )
-    return union_all(parts)

@@ -24,7 +24,8 @@ from ..operators.duplicates import duplicate_rows
 from ..operators.numeric import fit_fences, numeric_profile
 from ..operators.schema import column_types, logical_size, null_counts, table_shape
 from ..operators.temporal import datetime_profile
-from ..operators.value_counts import first_values, n_unique
+from ..operators.first_seen import first_values
+from ..operators.value_counts import n_unique
 
 THREADS = 4
 

@@ -8,7 +8,8 @@ from ..functions.kinds import categorical_columns, numeric_columns
 from ..functions.numbers import finite_view
 from ..operators.duplicates import duplicate_rows
 from ..operators.schema import column_types, logical_size, null_counts, table_shape
-from ..operators.value_counts import first_values, n_unique
+from ..operators.first_seen import first_values
+from ..operators.value_counts import n_unique
 from ..session import scratch_path
 from ..sources import (
     clean_preview,

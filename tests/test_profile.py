@@ -19,7 +19,8 @@ from frameglass.operators.numeric import fit_fences, numeric_profile
 from frameglass.operators.quantiles import exact_quantiles
 from frameglass.operators.sampling import row_sample
 from frameglass.operators.schema import column_types, null_counts, table_shape
-from frameglass.operators.value_counts import first_values, n_unique
+from frameglass.operators.first_seen import first_values
+from frameglass.operators.value_counts import n_unique
 
 FEW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 NAN, INF = float("nan"), float("inf")
