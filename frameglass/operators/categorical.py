@@ -34,13 +34,13 @@ def entropy_and_rarity(vc: DataFrame) -> DataFrame:
     )
 
 
-def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(column, n, cardinality, mode, entropy, rare_pct) of columns that hold a value.
 
     All parts hang on the same shuffle of the value counts, which adaptive execution
-    runs once.
+    runs once, or on the table `counts` of them.
     """
-    vc = value_counts(df, categorical_columns(df) if cols is None else cols)
+    vc = value_counts(df, categorical_columns(df) if cols is None else cols) if counts is None else counts
     return (
         column_totals(vc)
         .join(F.broadcast(mode_table(vc)), "column")
@@ -49,10 +49,13 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
 
 def top_values(
-    df: DataFrame, cols: Sequence[str] | None = None, n: int = TOP, order_by: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str] | None = None, n: int = TOP, order_by: Sequence[str] = (), counts: DataFrame | None = None
 ) -> DataFrame:
-    """(column, rank, value, cnt, pct); ties go to the value seen first by `order_by`, else the smaller."""
-    vc = value_counts(df, categorical_columns(df) if cols is None else cols, order_by)
+    """(column, rank, value, cnt, pct); ties go to the value seen first by `order_by`, else the smaller.
+
+    `counts` are the value counts if they are at hand, with `first_seen` for an order.
+    """
+    vc = value_counts(df, categorical_columns(df) if cols is None else cols, order_by) if counts is None else counts
     totals = vc.groupBy("column").agg(F.sum("cnt").alias("n"))
     ties = [F.col("first_seen").asc()] if order_by else []
     best = top_n(vc, n, F.col("cnt").desc(), *ties, F.col("value").asc())

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from threading import Lock
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -26,6 +27,7 @@ from ..operators.schema import column_types, logical_size, null_counts, table_sh
 from ..operators.temporal import datetime_profile
 from ..operators.first_seen import first_values
 from ..operators.value_counts import n_unique
+from ..operators.value_index import ValueIndex
 
 THREADS = 4
 
@@ -97,6 +99,19 @@ def profile(
             flat.unpersist()
 
 
+class _Once:
+    """A result that several threads ask for and the first one computes."""
+
+    def __init__(self, build: Callable[[], Any]) -> None:
+        self._build, self._lock, self._found = build, Lock(), []
+
+    def __call__(self) -> Any:
+        with self._lock:
+            if not self._found:
+                self._found.append(self._build())
+            return self._found[0]
+
+
 def _side_by_side(spark: SparkSession, sections: Mapping[str, Callable[[], DataFrame]]) -> dict[str, DataFrame]:
     """Settle independent sections from a few threads, so that their jobs fill the cluster together."""
     with ThreadPoolExecutor(THREADS) as pool:
@@ -109,17 +124,19 @@ def _profile(spark, flat, source, order_by, normality_key, test_rows, max_catego
     numbers, texts = numeric_columns(flat), categorical_columns(flat)
     key = order_by if normality_key is None else normality_key
     or_empty = lambda name, cols, build: build if cols else lambda: spark.createDataFrame([], _EMPTY[name])
-    fences = fit_fences(flat, numbers) if numbers else {}
+    index = ValueIndex(flat, order_by=order_by)
+    # A sketch of distinct values is asked for where they are too many to move, so quartiles come from brackets then.
+    fences = _Once(lambda: (fit_fences(flat, numbers) if approximate_unique else index.fences(numbers)) if numbers else {})
     # The long sections go first.
     first = {
+        "numeric": or_empty("numeric", numbers, lambda: numeric_profile(flat, numbers, fences=fences())),
         "datetime": lambda: datetime_profile(flat),
-        "unique": lambda: n_unique(flat, flat.columns, approximate_unique),
+        "top_values": or_empty("top_values", texts, lambda: top_values(flat, texts, order_by=order_by, counts=index.counts("string"))),
         "duplicates": lambda: duplicate_rows(flat),
-        "numeric": or_empty("numeric", numbers, lambda: numeric_profile(flat, numbers, fences=fences)),
         "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key, test_rows=test_rows)),
         "cramers_v": lambda: cramers_v_pairs(flat, texts, max_categories),
-        "top_values": or_empty("top_values", texts, lambda: top_values(flat, texts, order_by=order_by)),
-        "categorical": or_empty("categorical", texts, lambda: categorical_profile(flat, texts)),
+        "unique": lambda: n_unique(flat, flat.columns, True) if approximate_unique else index.n_unique(flat.columns),
+        "categorical": or_empty("categorical", texts, lambda: categorical_profile(flat, texts, counts=index.counts("string"))),
         "pearson": lambda: pearson_pairs(flat, numbers),
         "types": lambda: column_types(flat),
         "missing": lambda: null_counts(flat),
@@ -133,12 +150,12 @@ def _profile(spark, flat, source, order_by, normality_key, test_rows, max_catego
     second = {
         "histogram": or_empty("histogram", numbers, lambda: histogram(flat, numbers, ranges=ranges)),
         "top_pairs": lambda: top_pairs(s["pearson"], s["cramers_v"]),
-        "distributions": lambda: _distributions(s["numeric"], s["normality"], fences),
+        "distributions": lambda: _distributions(s["numeric"], s["normality"], fences()),
         "quality": lambda: _scores(s),
         "flags": lambda: quality.quality_flags(s["missing"], s["duplicates"], s["datetime"]),
     }
     if order_by and numbers:
-        second["outlier_preview"] = lambda: outlier_preview(flat, order_by, numbers, fences=fences)
+        second["outlier_preview"] = lambda: outlier_preview(flat, order_by, numbers, fences=fences())
     return Profile(source, {**s, **_side_by_side(spark, second)}, order_by)
 
 

@@ -18,6 +18,7 @@ from ..operators.distribution import (
 from ..operators.numeric import numeric_profile, quantile_table
 from ..operators.sampling import row_sample
 from ..operators.value_counts import mode_table, value_counts
+from ..operators.value_index import ValueIndex
 from .shapiro_sql import shapiro_sql
 from .common import (
     LINE_KEY,
@@ -75,6 +76,23 @@ ORACLE["num_quantiles"] = per_number(
     "round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median, round(quantile_cont(x, 0.75), 6) AS p75"
 )
 
+
+
+def _indexed(spark, sf):
+    lines = table(spark, sf, "lineitem")
+    index = ValueIndex(lines, LINE_NUMBERS)
+    found = index.quantiles({c: _PLACES for c in LINE_NUMBERS})
+    rows = [(c, *[q[p] for p in _PLACES]) for c, q in found.items()]
+    shown = spark.createDataFrame(rows, "column string, p01 double, p25 double, p75 double, p99 double")
+    return rounded(shown.join(index.n_unique(LINE_NUMBERS), "column"))
+
+
+_PLACES = (0.01, 0.25, 0.75, 0.99)
+QUERIES["indexed_order_statistics"] = _indexed
+ORACLE["indexed_order_statistics"] = per_number(
+    ", ".join(f"round(quantile_cont(x, {p}), 6) AS p{int(p * 100):02}" for p in _PLACES) + ", count(DISTINCT x) AS n_unique"
+)
+
 # Products spread far enough to have outliers.
 _SPREAD = "SELECT *, l_extendedprice * l_discount * l_tax AS duty, l_quantity * l_quantity * l_quantity AS cube FROM {lineitem}"
 _SPREAD_COLS = ["l_quantity", "l_extendedprice", "l_discount", "duty", "cube"]
