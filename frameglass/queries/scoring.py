@@ -18,6 +18,7 @@ from ..plans.report import profile, sections_long
 from ..session import scratch_path
 from ..sources import write_report
 from .common import LINE_KEY, PLANTED_SQL, Query, fences_sql, planted_lines, rounded, table, union_sql
+from .shapiro_sql import shapiro_sql
 from .timeline import season_sql
 
 QUERIES: dict[str, Query] = {}
@@ -242,9 +243,34 @@ ORACLE["digest_categorical"] = _D + union_sql(
 
 QUERIES["digest_distributions"] = lambda spark, sf: rounded(
     digest.digest_distributions(
-        _tagged(spark, sf, shape_hints), _tagged(spark, sf, normality), _tagged(spark, sf, outlier_summary)
+        _tagged(spark, sf, shape_hints), _normality(spark, sf), _tagged(spark, sf, outlier_summary)
     )
 )
+# Rows are drawn by these keys, so the samples are the same under any layout.
+_KEYS = {"customer": ["c_custkey"], "part": ["p_partkey"], "dirty": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]}
+_KEYED = _DIRTY.replace("SELECT ", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ")
+
+
+def _normality(spark, sf):
+    keyed = {**_frames(spark, sf), "dirty": spark.sql(_KEYED.replace("FROM p", "FROM {p}"), p=planted_lines(spark, sf))}
+    return union_all([normality(df, _NUMBERS[t], key=_KEYS[t]).withColumn("table", F.lit(t)) for t, df in keyed.items()])
+
+
+def _distribution_sql(t: str, c: str) -> str:
+    drawn = (
+        f"SELECT 0 AS one, CAST({c} AS DOUBLE) AS x FROM {'k' if t == 'dirty' else _SOURCE[t]} WHERE {c} IS NOT NULL "
+        f"ORDER BY md5(concat_ws('|', '42', {', '.join(_KEYS[t])})) LIMIT 5000"
+    )
+    shape = "CASE WHEN skewness(x) > 0.5 THEN 'right-skewed' WHEN skewness(x) < -0.5 THEN 'left-skewed' ELSE 'approximately-normal' END"
+    return (
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", shape, is_normal, outlier_pct FROM (SELECT {shape} AS shape, round({_OUT}, 6) AS outlier_pct "
+        f"FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {_SOURCE[t]}) v, ({fences_sql(c, _SOURCE[t])}) f) a, ({shapiro_sql(drawn, ['one'])}) b"
+    )
+
+
+ORACLE["digest_distributions"] = _D + f", k AS ({_KEYED}) " + union_sql(
+    [_distribution_sql(t, c) for t, cols in _NUMBERS.items() for c in cols]
+)
 
 QUERIES["digest_correlations"] = lambda spark, sf: rounded(
     digest.digest_correlations(
