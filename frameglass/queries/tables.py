@@ -103,6 +103,23 @@ def _(spark, sf):
     return read_json(spark, path)
 
 
+@query(
+    "read_json_blocks",
+    "SELECT doc_id, text AS \"body.text\", source AS \"body.at\", '[\"' || lang || '\", \"}],{\"]' AS tags FROM documents",
+)
+def _(spark, sf):
+    # A root array of whole texts for each part of the table, with the signs of JSON in strings. No line break ends an item.
+    items = table(spark, sf, "documents").selectExpr(
+        "to_json(struct(doc_id, struct(text, source AS at) AS body, array(lang, '}],{') AS tags)) AS item",
+        "spark_partition_id() AS part", "monotonically_increasing_id() AS at",
+    )
+    first, last = "row_number() OVER (PARTITION BY part ORDER BY at)", "row_number() OVER (PARTITION BY part ORDER BY at DESC)"
+    lines = items.selectExpr("item", f"{first} AS i", f"{last} AS j", "part", "at").repartition("part").sortWithinPartitions("part", "at")
+    path = f"{scratch_path(spark, 'json')}.json"
+    lines.selectExpr("concat(if(i = 1, '[', ','), item, if(j = 1, ']', ''))", "part").write.partitionBy("part").option("lineSep", " ").text(path)
+    return read_json(spark, f"{path}/part=*", staged=True)
+
+
 @query(
     "read_jsonl",
     "SELECT event_id, event_type AS \"payload.type\", value AS \"payload.value\", "

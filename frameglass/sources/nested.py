@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.kinds import ref
 from ..functions.nested import flatten
 from ..operators.tidy import per_column
+from .json_blocks import DOCUMENT, ITEM, ROOT_ERROR, stage_json
 
 
 def _roots(spark: SparkSession, path) -> DataFrame:
@@ -21,25 +22,46 @@ def _roots(spark: SparkSession, path) -> DataFrame:
     return text.select("__file", mark.alias("__mark"), keys.alias("__keys"))
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def _staged_rows(spark: SparkSession, folders: dict[str, str], schema: T.StructType) -> DataFrame:
+    """The columns of staged documents, and the keys of those whose root is an object."""
+    text = spark.read.text(folders[DOCUMENT])
+    rows = text.select(F.from_json("value", schema).alias("row"), F.json_object_keys("value").alias("__keys"))
+    rows = rows.select("row.*", "__keys")
+    if ITEM in folders:
+        items = spark.read.schema(schema).json(folders[ITEM])
+        rows = rows.unionByName(items.withColumn("__keys", F.lit(None).cast("array<string>")))
+    return rows
+
+
+def read_json(spark: SparkSession, path: str | Sequence[str], staged: bool = False) -> DataFrame:
     """A root array gives its items; a root object its first list, else itself as one row.
 
-    Every document decides for itself, so a folder may mix them; columns that a document lacks are null.
+    Every document decides for itself, so a folder may mix them; columns that a document lacks are null. One task
+    reads a document, unless they are `staged`: then large ones are cut into blocks, see `stage_json`.
     """
-    roots = _roots(spark, path)
-    marks = {r["__mark"] for r in roots.select("__mark").distinct().limit(3).collect()}
-    if not marks or not marks <= {"[", "{"}:
-        raise ValueError("a JSON document must hold an array or an object")
-    raw = spark.read.json(path, multiLine=True)
+    if staged:
+        folders = stage_json(spark, path)
+        if not folders:
+            return spark.createDataFrame([], T.StructType([]))
+        marks = {"{" if kind == DOCUMENT else "[" for kind in folders}
+        raw = spark.read.json(list(folders.values()))
+    else:
+        roots = _roots(spark, path)
+        marks = {r["__mark"] for r in roots.select("__mark").distinct().limit(3).collect()}
+        if not marks or not marks <= {"[", "{"}:
+            raise ValueError(ROOT_ERROR)
+        raw = spark.read.json(path, multiLine=True)
     lists = [f.name for f in raw.schema if isinstance(f.dataType, T.ArrayType)]
     if "{" not in marks or not lists:
         return flatten(raw)
     names = raw.columns
     held = F.array_compact(F.array(*[F.when(ref(c).isNotNull(), F.lit(c)) for c in lists]))
     first = F.get(F.filter("__keys", lambda k: F.array_contains("__held", k)), F.lit(0))
-    rows = (
-        raw.withColumns({"__file": F.col("_metadata.file_path"), "__held": held}).join(roots, "__file").withColumn("__list", first)
-    )
+    if staged:
+        rows = _staged_rows(spark, folders, raw.schema)
+    else:
+        rows = raw.withColumn("__file", F.col("_metadata.file_path")).join(roots, "__file")
+    rows = rows.withColumn("__held", held).withColumn("__list", first)
     used = {r["__list"] for r in rows.select("__list").distinct().collect()}  # names of list columns
     parts = []
     for name in [c for c in lists if c in used]:
