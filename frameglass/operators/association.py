@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,9 @@ from .tidy import per_column
 from .value_counts import value_counts
 
 MAX_CATEGORIES = 50
+# Columns of each side of a tile of Pearson pairs, and cells of a tile of Cramér's V: bounds of what a task holds.
+TILE_COLUMNS = 1000
+TILE_CELLS = 32_000_000
 PAIR_SCHEMA = "col_a string, col_b string, value double, pos int"
 
 
@@ -25,55 +28,104 @@ def _by_position(view: DataFrame) -> DataFrame:
     return view.toDF(*[f"c{i}" for i in range(len(view.columns))])
 
 
-def _sums(view: DataFrame, means: Sequence[float] | None = None) -> DataFrame:
-    """(i, j, n, s) summed over all rows by one scan: each task adds up its Arrow batches.
+def _sums(view: DataFrame) -> DataFrame:
+    """(i, n, s): count and sum of the values of each column by one scan; each task adds up its Arrow batches."""
 
-    Without means, i = j and s is the sum of a column's n values. With means, s is the sum of products of the
-    deviations of columns i <= j, where a null is a deviation of 0. A task holds columns² numbers.
+    def run(batches):
+        n = s = 0
+        for batch in batches:
+            with np.errstate(invalid="ignore", over="ignore"):
+                s = s + np.array([c.fill_null(0.0).to_numpy(zero_copy_only=False).sum() for c in batch.columns])
+            n = n + np.array([len(c) - c.null_count for c in batch.columns])
+        if np.ndim(n):
+            columns = [np.arange(len(n), dtype=np.int32), n.astype(np.int64), s]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "n", "s"])
+
+    return _by_position(view).mapInArrow(run, "i int, n bigint, s double").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def _groups(sizes: Sequence[int], most: int) -> list[list[int]]:
+    """Neighbouring places whose sizes add up to at most `most`; a larger one stands alone."""
+    groups: list[list[int]] = []
+    held = most
+    for place, size in enumerate(sizes):
+        if held + size > most or not groups:
+            groups.append([])
+            held = 0
+        groups[-1].append(place)
+        held += size
+    return groups
+
+
+def _tiles(sizes: Sequence[int], most: int) -> list[tuple[list[int], list[int]]]:
+    """Pairs of groups that hold each pair of places once."""
+    groups = _groups(sizes, most)
+    return [(g, h) for i, g in enumerate(groups) for h in groups[i:]]
+
+
+def _products(view: DataFrame, means: Sequence[float], left: list[int], right: list[int]) -> DataFrame:
+    """(i, j, s) for i <= j of a tile: products of the deviations of two columns, a null is one of 0, summed by one scan.
+
+    A task holds a number per pair of the tile and reads the columns of the tile.
     """
+    own = left == right
+    places = left if own else left + right
+    centre = np.array([means[i] for i in places])
 
     def run(batches):
-        n = s = None
+        s = None
         for batch in batches:
+            x = np.column_stack([c.fill_null(np.nan).to_numpy(zero_copy_only=False) for c in batch.columns])
             given = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns])
-            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
             with np.errstate(invalid="ignore", over="ignore"):
-                if means is None:
-                    part = np.diag(x.sum(0))
-                else:
-                    x = np.where(given, x - np.array(means), 0.0)
-                    part = x.T @ x
-            counts = np.diag(given.sum(0))
-            n, s = (counts, part) if n is None else (n + counts, s + part)
-        if n is not None:
-            i, j = np.triu_indices(len(n)) if means is not None else (np.arange(len(n)),) * 2
-            columns = [i.astype(np.int32), j.astype(np.int32), n[i, j].astype(np.int64), s[i, j]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "s"])
-
-    parts = _by_position(view).mapInArrow(run, "i int, j int, n bigint, s double")
-    return parts.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+                x = np.where(given, x - centre, 0.0)
+                part = x.T @ x if own else x[:, : len(left)].T @ x[:, len(left) :]
+            s = part if s is None else s + part
+        if s is not None:
+            i, j = np.triu_indices(len(s)) if own else (k.ravel() for k in np.indices(s.shape))
+            columns = [np.array(left, np.int32)[i], np.array(right, np.int32)[j], s[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "s"])
+
+    names = view.columns
+    return _by_position(view.select(*[ref(names[i]) for i in places])).mapInArrow(run, "i int, j int, s double")
+
+
+def _united(parts: Sequence[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _labels(spark, names: Sequence[str]) -> DataFrame:
+    """(i, j, col_a, col_b, pos): all pairs of names in order, made on Spark from a row per name."""
+    n = len(names)
+    table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    pairs = table.where(F.col("i") < n - 1).selectExpr("i", "name AS col_a", f"explode(sequence(i + 1, {n - 1})) AS j")
+    pos = F.expr(f"CAST(CAST(i AS BIGINT) * {n} - CAST(i AS BIGINT) * (i + 1) div 2 + j - i - 1 AS INT)")
+    others = table.selectExpr("i AS j", "name AS col_b")
+    return pairs.join(F.broadcast(others), "j").withColumn("pos", pos)  # a row per column
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(col_a, col_b, value, pos) for all pairs of numeric columns; nulls count as the mean.
 
-    Two scans whatever the number of columns: one for the means, one for the sums of products of deviations.
+    A scan for the means and one for the sums of products of deviations; beyond `TILE_COLUMNS` columns one for each tile, which
+    reads the columns of the tile only. The driver holds a row per column, never per pair.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    spark, names = df.sparkSession, list(enumerate(cols))
-    pairs = [(a, b, pos) for pos, (a, b) in enumerate(combinations(names, 2))]
-    if not pairs:
+    spark = df.sparkSession
+    if len(cols) < 2:
         return spark.createDataFrame([], PAIR_SCHEMA)
     view = finite_view(df, cols, value=not_nan)
     found = {r["i"]: r["s"] / r["n"] for r in _sums(view).collect() if r["n"]}  # a row per column
-    sums = _sums(view, [found.get(i, 0.0) for i, _ in names])
+    means = [found.get(i, 0.0) for i in range(len(cols))]
+    parts = [_products(view, means, left, right) for left, right in _tiles([1] * len(cols), TILE_COLUMNS)]
+    sums = _united(parts).groupBy("i", "j").agg(F.sum("s").alias("s"))
     own = F.max(F.expr("CASE WHEN i = j THEN sqrt(s) END"))  # windows hold a row per column
     scaled = sums.withColumns({f"root_{end}": own.over(Window.partitionBy(end)) for end in ("i", "j")}).where("i < j")
-    labels = spark.createDataFrame(
-        [(i, j, a, b, pos) for (i, a), (j, b), pos in pairs], "i int, j int, col_a string, col_b string, pos int"
-    )
     r = F.expr("coalesce(nanvl(try_divide(s, root_i * root_j), 0.0D), 0.0D)")
-    return labels.join(scaled.drop("n"), ["i", "j"], "left").select("col_a", "col_b", r.alias("value"), "pos")
+    return _labels(spark, cols).join(scaled, ["i", "j"], "left").select("col_a", "col_b", r.alias("value"), "pos")
 
 
 def categories_of(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
@@ -102,12 +154,14 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return kept.groupBy(ref(a).alias("a"), ref(b).alias("b")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def _contingency(df: DataFrame, known: dict[str, list], pairs: Sequence[tuple[int, tuple[str, str]]]) -> DataFrame:
-    """(pos, a, b, cnt): the tables of all pairs by one scan. A task counts coded pairs, so no row is repeated for
-    each pair; it holds the cells of all tables."""
-    cols = list(known)
+def _contingency(df: DataFrame, known: dict[str, list], left: list[int], right: list[int]) -> DataFrame:
+    """(i, j, a, b, cnt): the tables of the pairs i < j of a tile by one scan. A task counts coded pairs, so no row is
+    repeated for each pair; it holds the cells of the tile."""
+    names = list(known)
+    cols = [names[i] for i in sorted({*left, *right})]
     values = [pa.array(known[c], pa.string()) for c in cols]
-    places = [(pos, cols.index(a), cols.index(b)) for pos, (a, b) in pairs]
+    at = {i: cols.index(names[i]) for i in {*left, *right}}
+    places = [((i, j), at[i], at[j]) for i in left for j in right if i < j]
 
     def run(batches):
         held = {pos: 0 for pos, _, _ in places}
@@ -123,12 +177,11 @@ def _contingency(df: DataFrame, known: dict[str, list], pairs: Sequence[tuple[in
             cells = np.reshape(held[pos], (len(values[a]) + 1, -1))[:-1, :-1] if np.ndim(held[pos]) else np.zeros((0, 0), np.int64)
             i, j = np.nonzero(cells)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(i), pos, np.int32)), values[a].take(pa.array(i)), values[b].take(pa.array(j)), pa.array(cells[i, j].astype(np.int64))],
-                names=["pos", "a", "b", "cnt"],
+                [*(pa.array(np.full(len(i), place, np.int32)) for place in pos), values[a].take(pa.array(i)), values[b].take(pa.array(j)), pa.array(cells[i, j].astype(np.int64))],
+                names=["i", "j", "a", "b", "cnt"],
             )
 
-    parts = _by_position(df.select(*[ref(c) for c in cols])).mapInArrow(run, "pos int, a string, b string, cnt bigint")
-    return parts.groupBy("pos", "a", "b").agg(F.sum("cnt").alias("cnt"))
+    return _by_position(df.select(*[ref(c) for c in cols])).mapInArrow(run, "i int, j int, a string, b string, cnt bigint")
 
 
 def cramers_v_pairs(
@@ -137,19 +190,21 @@ def cramers_v_pairs(
     """(col_a, col_b, value, pos) for pairs of string columns of few categories.
 
     With both columns capped at `limit` categories a pair holds at most limit²
-    cells, so the marginal windows run over small groups.
+    cells, so the marginal windows run over small groups. One scan counts all pairs; beyond `TILE_CELLS` cells there is one
+    for each tile, which reads the columns of the tile only.
     """
     cols = categorical_columns(df) if cols is None else list(cols)
     known = low_cardinality(df, cols, limit)
-    pairs = list(enumerate(combinations(known, 2)))
-    if not pairs:
+    if len(known) < 2:
         return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    cells = _contingency(df, known, pairs)
-    row_sum = F.sum("cnt").over(Window.partitionBy("pos", "a"))
-    col_sum = F.sum("cnt").over(Window.partitionBy("pos", "b"))
+    tiles = _tiles([len(v) + 1 for v in known.values()], math.isqrt(TILE_CELLS))
+    parts = [_contingency(df, known, left, right) for left, right in tiles if len({*left, *right}) > 1]
+    cells = _united(parts).groupBy("i", "j", "a", "b").agg(F.sum("cnt").alias("cnt"))
+    row_sum = F.sum("cnt").over(Window.partitionBy("i", "j", "a"))
+    col_sum = F.sum("cnt").over(Window.partitionBy("i", "j", "b"))
     sized = cells.withColumn("r", row_sum).withColumn("c", col_sum)
     share = F.col("cnt") * F.col("cnt") / (F.col("r").cast("double") * F.col("c"))
-    per_pair = sized.groupBy("pos").agg(
+    per_pair = sized.groupBy("i", "j").agg(
         F.sum(share).alias("s"),
         F.count_distinct("a").alias("n_a"),
         F.count_distinct("b").alias("n_b"),
@@ -157,10 +212,7 @@ def cramers_v_pairs(
     narrow = F.least("n_a", "n_b") - 1
     # The sum of o²/(r·c) is 1 + chi²/n; rounding may push it a hair below 1.
     v = F.coalesce(F.sqrt(F.try_divide(F.greatest(F.col("s") - 1, F.lit(0.0)), narrow)), F.lit(0.0))
-    labels = df.sparkSession.createDataFrame(
-        [(pos, a, b) for pos, (a, b) in pairs], "pos int, col_a string, col_b string"
-    )
-    return per_pair.join(F.broadcast(labels), "pos").select("col_a", "col_b", v.alias("value"), "pos")
+    return per_pair.join(_labels(df.sparkSession, list(known)), ["i", "j"]).select("col_a", "col_b", v.alias("value"), "pos")
 
 
 def top_pairs(pearson: DataFrame, cramers: DataFrame, n: int = 5) -> DataFrame:
