@@ -97,14 +97,13 @@ def _united(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _labels(spark, names: Sequence[str]) -> DataFrame:
-    """(i, j, col_a, col_b, pos): all pairs of names in order, made on Spark from a row per name."""
+def _named(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """`pairs` with (col_a, col_b, pos) for the places i < j: both names, and the rank of the pair in their order."""
     n = len(names)
-    table = spark.createDataFrame(list(enumerate(names)), "i int, name string")
-    pairs = table.where(F.col("i") < n - 1).selectExpr("i", "name AS col_a", f"explode(sequence(i + 1, {n - 1})) AS j")
-    pos = F.expr(f"CAST(CAST(i AS BIGINT) * {n} - CAST(i AS BIGINT) * (i + 1) div 2 + j - i - 1 AS INT)")
-    others = table.selectExpr("i AS j", "name AS col_b")
-    return pairs.join(F.broadcast(others), "j").withColumn("pos", pos)  # a row per column
+    table = F.broadcast(pairs.sparkSession.createDataFrame(list(enumerate(names)), "place int, name string"))  # a row per column
+    for place, name in (("i", "col_a"), ("j", "col_b")):
+        pairs = pairs.join(table.select(F.col("place").alias(place), F.col("name").alias(name)), place)
+    return pairs.withColumn("pos", F.expr(f"CAST(CAST(i AS BIGINT) * {n} - CAST(i AS BIGINT) * (i + 1) div 2 + j - i - 1 AS INT)"))
 
 
 def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -125,7 +124,8 @@ def pearson_pairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     own = F.max(F.expr("CASE WHEN i = j THEN sqrt(s) END"))  # windows hold a row per column
     scaled = sums.withColumns({f"root_{end}": own.over(Window.partitionBy(end)) for end in ("i", "j")}).where("i < j")
     r = F.expr("coalesce(nanvl(try_divide(s, root_i * root_j), 0.0D), 0.0D)")
-    return _labels(spark, cols).join(scaled, ["i", "j"], "left").select("col_a", "col_b", r.alias("value"), "pos")
+    pairs = spark.range(len(cols) - 1).selectExpr("CAST(id AS INT) AS i", f"explode(sequence(CAST(id AS INT) + 1, {len(cols) - 1})) AS j")
+    return _named(pairs.join(scaled, ["i", "j"], "left"), cols).select("col_a", "col_b", r.alias("value"), "pos")
 
 
 def categories_of(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list]:
@@ -212,7 +212,7 @@ def cramers_v_pairs(
     narrow = F.least("n_a", "n_b") - 1
     # The sum of o²/(r·c) is 1 + chi²/n; rounding may push it a hair below 1.
     v = F.coalesce(F.sqrt(F.try_divide(F.greatest(F.col("s") - 1, F.lit(0.0)), narrow)), F.lit(0.0))
-    return per_pair.join(_labels(df.sparkSession, list(known)), ["i", "j"]).select("col_a", "col_b", v.alias("value"), "pos")
+    return _named(per_pair, list(known)).select("col_a", "col_b", v.alias("value"), "pos")
 
 
 def top_pairs(pearson: DataFrame, cramers: DataFrame, n: int = 5) -> DataFrame:
