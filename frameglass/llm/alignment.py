@@ -28,9 +28,11 @@ from .tokens import CACHED_BYTES, ID, Recent, byte_letters, packed
 
 #: Texts of about this many bytes are a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1_000_000
-#: Side a never joins across a space that a word follows, so texts are cut there and a worker looks up what it met before.
-_CUTS = re.compile(r"(?= \S)")
-#: Such pieces that a worker remembers, twice; some 250 bytes each.
+#: Neither side joins across a single space between words, so texts are cut there and a worker looks up what it met before.
+_CUTS = re.compile(r"(?<=\S) (?=\S)")
+#: A text without this is cut at all its spaces.
+_RUNS = re.compile(r"\s | \s")
+#: Such pieces that a worker remembers, twice; some 350 bytes each.
 KNOWN_PIECES = 80_000
 #: A pair of ids as one number.
 _SHIFT = np.int64(32)
@@ -48,12 +50,10 @@ class Slice:
     `in_a` and `in_b` how many tokens a group has. `links` has (text, pair, n): n links of a pair of ids in a text.
     """
 
-    def __init__(self, n: int, ids_a: list[bytes], ids_b: list[list[int]], len_a: np.ndarray, len_b: np.ndarray):
+    def __init__(self, n: int, ids_a: list[bytes], ids_b: list[bytes], len_a: np.ndarray, len_b: np.ndarray):
         self.n = n
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, n) for x in (ids_a, ids_b))
-        self.n_a //= ID.itemsize
-        self.a = np.frombuffer(b"".join(ids_a), ID).astype(np.int64)
-        self.b = np.fromiter(chain.from_iterable(ids_b), np.int64, self.n_b.sum())
+        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, n) // ID.itemsize for x in (ids_a, ids_b))
+        self.a, self.b = (np.frombuffer(b"".join(x), ID).astype(np.int64) for x in (ids_a, ids_b))
         self.text_a, self.text_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
         # Both sides of a text have the same bytes, so offsets may run on from text to text.
         ends_a, ends_b = np.cumsum(len_a[self.a]), np.cumsum(len_b[self.b])
@@ -89,6 +89,8 @@ class Slice:
             start = stop
         if not text:
             return (np.zeros(0, np.int64),) * 3
+        if len(text) == 1:
+            return text[0], pair[0], count[0]
         return _summed(np.concatenate(text), np.concatenate(pair), np.concatenate(count))
 
     def in_groups(self) -> np.ndarray:
@@ -107,10 +109,20 @@ def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _summed(text: np.ndarray, pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (text, pair), ordered, with the sum of n."""
-    order = np.lexsort((pair, text))
+    if not len(text):
+        return text, pair, n
+    a, b = pair >> _SHIFT, pair & ((1 << 32) - 1)
+    high_a, high_b = int(a.max()) + 1, int(b.max()) + 1
+    # One number that has the order of both sorts several times as fast.
+    small = (int(text.max()) + 1) * high_a * high_b < 1 << 63
+    order = np.argsort((text * high_a + a) * high_b + b) if small else np.lexsort((pair, text))
     text, pair, n = text[order], pair[order], n[order]
-    heads = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])))) if len(text) else np.zeros(0, int)
-    return text[heads], pair[heads], np.add.reduceat(n, heads) if len(heads) else n
+    heads = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1]))))
+    return text[heads], pair[heads], np.add.reduceat(n, heads)
+
+
+def _lengths(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 class Aligner:
@@ -133,34 +145,90 @@ class Aligner:
         pieces = [(self.b.is_byte(i), self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if byte else p.replace("▁", " ").encode() for byte, p in pieces]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        # Where no entry of side b goes on behind a space, it does not join across single spaces either.
+        self.apart = not any("▁" in p.lstrip("▁") for _, p in pieces)
         self.recent = Recent(KNOWN_PIECES)
-        # An id as it is written inside its group and at the end of it.
-        self.written = [f"{i}{end}" for n, ends in ((len(entries), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
+        # An id as it is written inside its group and at the end of it, filled up with zero bytes.
+        written = [f"{i}{end}" for n, ends in ((len(entries), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
+        self.written = np.array(written, "S")
+
+    def _pieces_a(self, pieces: list[str], raw: list[bytes]) -> list[bytes | None]:
+        """Ids of a space and each piece as little-endian numbers; None where they do not spell it. A space and a word may follow
+        anything, so all such pieces are one text for the library."""
+        out: list[bytes | None] = [None] * len(pieces)
+        many = [i for i, p in enumerate(pieces) if p and not p[0].isspace()]
+        text, ends = " ".join(["", *map(pieces.__getitem__, many)]), np.cumsum(_lengths([raw[i] for i in many]))
+        ids = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        numbers = np.array(ids, ID)
+        upto = np.cumsum(self.len_a[numbers])
+        at = np.searchsorted(upto, ends)
+        if b"".join(map(self.bytes_a.__getitem__, ids)) == text.encode() and (upto[at] == ends).all():
+            data, start = numbers.tobytes(), 0
+            for i, stop in zip(many, ((at + 1) * ID.itemsize).tolist()):
+                out[i] = data[start:stop]
+                start = stop
+        rest = [i for i, found in enumerate(out) if found is None]
+        for i, e in zip(rest, self.a.encode_batch_fast([f" {pieces[i]}" for i in rest], add_special_tokens=False)):
+            if b"".join(map(self.bytes_a.__getitem__, e.ids)) == raw[i]:
+                out[i] = packed(e.ids)
+        return out
 
-    def _side_a(self, strings: list[str]) -> list[bytes | None]:
-        """Ids of space and text as little-endian numbers; None for a text that they do not spell."""
-        cut = [_CUTS.split(f" {s}") for s in strings]
+    def _pieces_b(self, pieces: list[str], raw: list[bytes]) -> list[bytes | None]:
+        """The same for side b, which adds the space itself."""
+        found = self.b.encode(pieces, num_threads=1)
+        many = _lengths(found)
+        ids = np.fromiter(chain.from_iterable(found), ID, many.sum())
+        data, stops = ids.tobytes(), np.cumsum(many)
+        spelled = b"".join(map(self.bytes_b.__getitem__, ids.tolist()))
+        upto = np.concatenate(([0], np.cumsum(self.len_b[ids])))
+        starts = upto[stops - many]
+        lengths = upto[stops] - starts
+        cut = [data[i:j] for i, j in zip(((stops - many) * ID.itemsize).tolist(), (stops * ID.itemsize).tolist())]
+        if (lengths == _lengths(raw)).all() and spelled == b"".join(raw):
+            return cut
+        return [c if spelled[i : i + n] == r else None for c, i, n, r in zip(cut, starts.tolist(), lengths.tolist(), raw)]
+
+    def _cut(self, text: str) -> list[str]:
+        """The pieces of a text, without the spaces that stand before them."""
+        if not self.apart:
+            return [text]
+        return _CUTS.split(text) if _RUNS.search(f" {text}") else text.split(" ")
+
+    def _sides(self, strings: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides of space and text; None for a text that the ids of a side do not spell."""
+        cut = list(map(self._cut, strings))
         new = list(self.recent.missing(set().union(*cut)))
-        known, wrong = self.recent.now, set()
-        for piece, e in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = packed(e.ids)
-            if b"".join(map(self.bytes_a.__getitem__, e.ids)) != piece.encode():
-                wrong.add(piece)
-        out = [b"".join(map(known.__getitem__, c)) for c in cut]
-        if wrong:
-            out = [None if wrong.intersection(c) else ids for c, ids in zip(cut, out)]
-        for piece in new:
-            if len(piece) > CACHED_BYTES or piece in wrong:
-                del known[piece]
+        raw = [f" {p}".encode() for p in new]
+        known, found = self.recent.now, list(zip(self._pieces_a(new, raw), self._pieces_b(new, raw)))
+        known.update(zip(new, found))
+        wrong = {piece for piece, both in zip(new, found) if None in both}
+        out = []
+        for text, pieces in zip(strings, cut):
+            if wrong and not wrong.isdisjoint(pieces):
+                # What pieces do not spell is left to the libraries as a whole.
+                whole = f" {text}".encode()
+                both = (self._pieces_a([text], [whole])[0], self._pieces_b([text], [whole])[0])
+                out.append(None if None in both else both)
+            else:
+                a, b = zip(*map(known.__getitem__, pieces))
+                out.append((b"".join(a), b"".join(b)))
+        for piece in [p for p, r in zip(new, raw) if len(r) > CACHED_BYTES]:
+            del known[piece]
+        for piece in wrong.intersection(known):
+            del known[piece]
         return out
 
+    def _side_a(self, strings: list[str]) -> list[bytes | None]:
+        """Side a alone of what `_sides` gives."""
+        return [None if both is None else both[0] for both in self._sides(strings)]
+
     def align(self, texts: list[bytes]) -> Slice:
         """Texts that are empty, or whose tokens of either side do not spell space and text, have no tokens."""
-        strings = [t.decode() for t in texts]
-        ids_a, ids_b = self._side_a(strings), self.b.encode(strings, num_threads=1)
-        for i, text in enumerate(texts):
-            if not text or ids_a[i] is None or b"".join(map(self.bytes_b.__getitem__, ids_b[i])) != b" " + text:
-                ids_a[i], ids_b[i] = b"", []
+        full = [i for i, t in enumerate(texts) if t]
+        ids_a, ids_b = [b""] * len(texts), [b""] * len(texts)
+        for i, both in zip(full, self._sides([texts[i].decode() for i in full])):
+            if both is not None:
+                ids_a[i], ids_b[i] = both
         return Slice(len(texts), ids_a, ids_b, self.len_a, self.len_b)
 
     def group_texts(self, s: Slice) -> list[str]:
@@ -171,7 +239,7 @@ class Aligner:
         codes = np.empty(len(s.a) + len(s.b), np.int64)
         codes[s.in_groups()] = np.concatenate((s.a + n_a * last_a, s.b + 2 * n_a + n_b * last_b))
         ends = np.cumsum(s.n_a + s.n_b)
-        return ["".join(map(self.written.__getitem__, codes[i:j].tolist()))[:-1] for i, j in zip((ends - s.n_a - s.n_b).tolist(), ends.tolist())]
+        return [self.written[codes[i:j]].tobytes().replace(b"\0", b"")[:-1].decode() for i, j in zip((ends - s.n_a - s.n_b).tolist(), ends.tolist())]
 
 
 @lru_cache(maxsize=1)

@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import odd
 import pytest
 from tokenizers import Tokenizer
@@ -115,3 +116,35 @@ def test_pieces_give_the_ids_of_whole_texts(monkeypatch):
     for part in (texts[:70], texts[70:], texts):
         whole = [packed(e.ids) for e in tool.a.encode_batch_fast([f" {t}" for t in part], add_special_tokens=False)]
         assert tool._side_a(part) == whole
+
+
+def test_pieces_of_both_sides_give_whole_texts(monkeypatch):
+    """Side b sees the pieces of side a: what it cannot spell leaves the rest of a slice alone, and a known piece costs no call."""
+    tool = alignment.Aligner(A, B)
+    texts = ["a  b c", " lead", "x ▁ y z", "w ▁", "tail ", "a \n b  ", "東京 é x", "c c c x y", "", "a  b c", "a\n b \nc\n\nd", "\t", " "]
+    s = tool.align([t.encode() for t in texts])
+    starts = [0, *s.n_b.cumsum().tolist()]
+    spelled = [tool.b.encode(t) if "▁" not in t else [] for t in texts]
+    assert [s.b[i:j].tolist() for i, j in zip(starts, starts[1:])] == spelled
+    assert [n > 0 for n in s.n_a.tolist()] == [bool(ids) for ids in spelled]
+
+    class Silent:
+        def encode(self, pieces, **_):
+            assert not pieces
+            return []
+
+    monkeypatch.setattr(tool, "b", Silent())
+    again = tool.align([b"a  b c", b"c c x y c"])
+    assert again.n_b.tolist() == [s.n_b[0], s.n_b[7]] and tool.group_texts(again)[0] == tool.group_texts(s)[0]
+
+
+@pytest.mark.parametrize("high", [9, 1 << 30])
+def test_sums_of_pairs(high):
+    rng = np.random.default_rng(4)
+    text, a, b, n = (rng.integers(0, m, 400) for m in (5, 3, 4, 9))
+    a[a == 2] = high
+    got = alignment._summed(text << 20 if high > 9 else text, a << 32 | b, n)
+    expected = Counter()
+    for t, x, y, k in zip(text.tolist(), a.tolist(), b.tolist(), n.tolist()):
+        expected[t << 20 if high > 9 else t, x << 32 | y] += k
+    assert list(zip(*(g.tolist() for g in got))) == [(*key, expected[key]) for key in sorted(expected)]
