@@ -26,6 +26,8 @@ from .tidy import AGGREGATES_PER_PASS, union_all
 
 SLICE = "__slice"
 GROUP = [SLICE, "column"]
+#: Leading hexadecimal digits of draws that are counted: a slice passes on about one in 16 ** DRAW_DIGITS of its rows beside the sample.
+DRAW_DIGITS = 3
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
 
 
@@ -168,14 +170,22 @@ def slice_categorical(df: DataFrame, by: Sequence[str], cols: Sequence[str] | No
 def smallest_draws(df: DataFrame, by: Sequence[str], cols: Sequence[str], key: Sequence[str], k: int = TEST_ROWS) -> DataFrame:
     """(slice, column, x, place): of each slice and column the `k` usable values whose rows draw the smallest digests of `key`.
 
-    One scan: each task passes on the `k` smallest of a slice and column, and those of all tasks are merged. Equal draws are
-    ordered by their value, so the sample is the same under any layout of the rows.
+    A first scan counts the cells of each slice, column and leading part of the draws, with repeats summed in their tasks. From these
+    counts follows which parts hold the `k` smallest, and only their cells are moved and put in order. Equal draws are
+    ordered by their value, so the sample is the same under any layout of the rows. The parts of a key that names
+    few rows are as large as those of its rows.
     """
     require_columns(df, [*by, *key])
     cells = [sql.struct({"column": sql.text(c), "x": finite(sql.quoted(c))}) for c in cols]
     long = df.withColumn("__draw", sample_key(key)).selectExpr(_slice(by), "__draw", sql.rows(cells)).where("x IS NOT NULL")
+    long = long.withColumn("part", F.substring("__draw", 1, DRAW_DIGITS))
+    counts = long.groupBy(*GROUP, "part").agg(F.count(F.lit(1)).alias("cnt"))
+    before = F.sum("cnt").over(Window.partitionBy(*GROUP).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    # Written, so that their size is known when the join is planned: few parts are sent to all tasks, many are dealt out.
+    parts = _written(counts.select(*GROUP, "part", F.coalesce(before, F.lit(0)).alias("before")).where(F.col("before") < k).drop("before"), "draw-parts")
     place = F.row_number().over(Window.partitionBy(*GROUP).orderBy("__draw", "x")).alias("place")
-    return long.select(*GROUP, "x", place).where(F.col("place") <= k)
+    near = long.join(parts, [*GROUP, "part"], "left_semi")
+    return near.select(*GROUP, "x", place).where(F.col("place") <= k)
 
 
 def slice_normality(
@@ -186,7 +196,7 @@ def slice_normality(
     Above `test_rows` values the rows with the smallest draws are tested. Fewer than three values give nulls.
     """
     cols = _others(df, by, numeric_columns(df)) if cols is None else list(cols)
-    drawn = smallest_draws(df, by, cols, key, test_rows)
+    drawn = _written(smallest_draws(df, by, cols, key, test_rows), "drawn")  # used twice
 
     def test(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(rows["x"].to_numpy())

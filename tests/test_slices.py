@@ -108,3 +108,34 @@ def test_all_sections_and_an_empty_table(df):
         slices.profile_slices(df, ["nowhere"])
     with pytest.raises(ValueError):
         slices.profile_slices(df.withColumnRenamed("g", "column"), ["column"])
+
+
+def test_few_cells_are_moved_for_a_sample(spark):
+    """The window of a hot slice gets little more than its sample, which is the same as that of a sort of all rows."""
+    df = spark.range(0, 60_000, 1, 8).selectExpr("id AS key", "IF(id % 3 = 0, NULL, 'hot') AS g", "CAST(id * 7919 % 10007 AS DOUBLE) AS x", "IF(id < 40, 1.5D, NULL) AS rare")
+    drawn = slices.smallest_draws(df, ["g"], ["x", "rare"], ["key"], 2_000)
+    got = {(r[slices.SLICE]["g"], r["column"], r["place"]): r["x"] for r in drawn.collect()}
+    rows = df.select("g", "x", "rare", slices.sample_key(["key"]).alias("draw")).collect()
+    expected = {}
+    for g in ("hot", None):
+        for c in ("x", "rare"):
+            cells = sorted((r["draw"], r[c]) for r in rows if r["g"] == g and r[c] is not None)
+            expected |= {(g, c, i): x for i, (_, x) in enumerate(cells[:2_000], 1)}
+    assert got == expected
+    plan = drawn._jdf.queryExecution().executedPlan()
+    moved = [int(line.split(":")[1]) for line in _written_rows(plan)]
+    assert moved and max(moved) < 5_000
+
+
+def _written_rows(plan):
+    """Rows that each shuffle of a plan that ran has written."""
+    text = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") else plan
+    nodes, out = [text], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() in ("ShuffleQueryStage", "TableCacheQueryStage"):
+            node = node.plan()
+        if node.nodeName() == "Exchange":
+            out.append(f"rows:{node.metrics().apply('shuffleRecordsWritten').value()}")
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
