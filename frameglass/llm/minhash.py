@@ -95,22 +95,37 @@ def _sets(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
 
 
 def _shared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The members (key, v, n) with `c`, how many of their shingles any other member of any bucket has; those go that share
+    """The members (key, v, n, root) with `c`, how many of their shingles any other member of any bucket has; those go that share
     too few of them for a link with whatever other member."""
     hashes = sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("hashes").alias("hash"))
     alone = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("v").alias("v")).filter("times = 1")
     alone = alone.groupBy("v").agg(F.count(F.lit(1)).alias("u"))
-    counted = members.join(alone, "v", "left").select("key", "v", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
+    counted = members.join(alone, "v", "left").select("key", "v", "n", "root", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     return counted.filter(f"100 * c >= {percent} * n")
 
 
-def _open(members: DataFrame, stars: DataFrame | None) -> DataFrame:
-    """The members of buckets that hold several components, with their `root`."""
-    rooted = members.withColumn("root", F.col("v"))
-    if stars is not None:
-        rooted = members.join(stars, members["v"] == stars["node"], "left").select(*members.columns, F.coalesce("root", "v").alias("root"))
-    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return rooted.join(several, "key", "left_semi")
+def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """The members with the `root` that the stars give them now."""
+    columns = [c for c in members.columns if c != "root"]
+    return members.join(stars.select("node", F.col("root").alias("up")), members["v"] == F.col("node"), "left").select(*columns, F.coalesce("up", "v").alias("root"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components, by `root`."""
+    several = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return members.join(several, "key", "left_semi")
+
+
+def _likely(members: DataFrame, percent: int) -> DataFrame:
+    """The same for members with `c`, less those that no member of their bucket can be like.
+
+    Two sets meet in no more than the lesser of both c, so a link needs (100 + percent) times each c to be at least percent times the sum
+    of both sizes: its own c beside the least size of the bucket, and its own size beside the most that any c leaves for it.
+    """
+    spare = F.expr(f"{100 + percent} * c - {percent} * n")
+    reach = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least_n"), F.max(spare).alias("most"))
+    possible = f"{100 + percent} * c >= {percent} * (n + least_n) AND most >= {percent} * n"
+    return _open(members.join(reach.filter("low < high"), "key").filter(possible).select(*members.columns))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -122,11 +137,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def star_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame | None:
     """(node, root) of all nodes v that links connect to a smaller one, None without any; the head of this file has the rounds."""
-    members = written(_open(nodes.select("v", "n", F.explode("bands").alias("key")), None).drop("root"), "buckets")
+    members = written(_open(nodes.select("v", "n", F.explode("bands").alias("key"), F.col("v").alias("root"))), "buckets")
     sets = written(_sets(docs, nodes.join(members.select("v").distinct(), "v").select("v", "doc", "place"), shingle), "sets")
     stars, hubs = None, 1
     while True:
-        rest = written(_open(_shared(members, sets, percent), stars), "open-buckets")
+        rest = written(_likely(_shared(members, sets, percent), percent), "open-buckets")
         if rest.isEmpty():
             return stars
         # Those go first that have least of their own, as an original has among its altered copies. Each task passes on no
@@ -139,9 +154,10 @@ def star_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) ->
         pairs = rest.join(hub, "key").filter(possible).select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
         pairs = written(pairs.distinct(), "candidates")
         found = written(_confirmed(pairs, sets, percent), "links")
+        members = rest.select("key", "v", "n", "root").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
         if not found.isEmpty():
             stars = components(found if stars is None else found.union(stars.select("node", "root")))
-        members = rest.select("key", "v", "n").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
+            members = _rooted(members, stars)
         hubs *= 4
 
 

@@ -117,3 +117,20 @@ def test_chance_to_share_no_bucket():
         missed += not set(minhash.band_keys(s)) & set(minhash.band_keys(t))
     assert missed == 0
     assert (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 2e-7
+
+
+def test_members_that_nothing_in_their_bucket_can_be_like(spark):
+    """Copies that hold too much of their own for any text of their size leave before they are compared, and only they."""
+    rows = [(1, i, 100, 100 if i < 3 else 90, i) for i in range(40)]  # 90 shared shingles of 100 are enough for a smaller set only
+    rows += [(2, 50, 100, 90, 50), (2, 51, 90, 90, 51), (3, 60, 100, 100, 60), (3, 61, 100, 100, 60)]
+    df = spark.createDataFrame(rows, "key long, v long, n long, c long, root long")
+    left = {(r.key, r.v) for r in minhash._likely(df, 85).collect()}
+    assert left == {(1, 0), (1, 1), (1, 2), (2, 50), (2, 51)}
+    rng = random.Random(7)
+    rows = [(rng.randrange(12), i, n := rng.randrange(1, 60), n - rng.randrange(0, 1 + n // 4), rng.randrange(9)) for i in range(80)]
+    df = spark.createDataFrame(rows, "key long, v long, n long, c long, root long")
+    left = {r.v for r in minhash._likely(df, 85).collect()}
+    for key, v, n, c, root in rows:
+        for key2, v2, n2, c2, root2 in rows:
+            if key == key2 and root != root2 and 100 * min(c, c2) >= 85 * (n + n2 - min(c, c2)):
+                assert v in left and v2 in left
