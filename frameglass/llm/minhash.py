@@ -5,7 +5,9 @@ from a full one that it draws at random, the same way for all documents (optimal
 
 A bucket gives stars, not pairs: a hub is compared with the other members, and only with those of other components. A hub has
 then done its work in that bucket and leaves it, and as long as members of several components are left, more of them
-become hubs, four times as many in each round. So a bucket of copies costs one star, and every pair that shares a bucket is
+become hubs, sixteen times as many in each round. After the first round, members that have a rare shingle in common are compared by
+an index of these, once; from then on only frequent shingles count as possibly shared, which members that are too unlike their
+hub have too few of. So a bucket of copies costs one star, and every pair that shares a bucket is
 connected, or compared, or cannot be similar enough because too few of its shingles are in any other member: documents
 that share a passage but no more leave all buckets that way. Each compared pair is confirmed on its full sets of shingles.
 """
@@ -27,6 +29,10 @@ SHINGLE, PERCENT, SEED = 5, 80, 42
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 _CHUNK = 1 << 18
+#: Shingles of no more than so many members are rare.
+RARE = 32
+#: So many times as many hubs in each round.
+GROWTH = 16
 #: Row i: the order in which bin i asks the others for a value.
 _DONORS = np.argsort(np.random.default_rng(SEED).random((BINS, BINS)), axis=1)
 
@@ -94,16 +100,43 @@ def _sets(docs: DataFrame, places: DataFrame, shingle: int) -> DataFrame:
     return one.select("v", F.arrow_udf(run, "array<long>")("text").alias("hashes"))
 
 
+def _hashes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    return sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("hashes").alias("hash"))
+
+
 def _shared(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The members (key, v, n, root) with `c`, how many of their shingles any other member of any bucket has; those go that share
     too few of them for a link with whatever other member."""
-    hashes = sets.join(members.select("v").distinct(), "v", "left_semi").select("v", F.explode("hashes").alias("hash"))
+    hashes = _hashes(members, sets)
     alone = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("v").alias("v")).filter("times = 1")
     alone = alone.groupBy("v").agg(F.count(F.lit(1)).alias("u"))
     counted = members.join(alone, "v", "left").select("key", "v", "n", "root", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c"))
     return counted.filter(f"100 * c >= {percent} * n")
 
 
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of different components that have a rare shingle in common, one of no more than RARE members, and may be similar
+    enough; and the members with `c` of frequent shingles only.
+
+    Two sets meet in no more than the rare shingles that both have and the lesser of both counts of frequent ones. So once these
+    pairs are compared, the frequent ones alone must be enough for any other link. A rare shingle is in fewer than RARE pairs with a
+    member, so the pairs grow with the members.
+    """
+    hashes = _hashes(members, sets)
+    rare = hashes.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") <= RARE)
+    rare = written(hashes.join(rare, "hash").select("hash", "v", "times"), "rare-shingles")
+    own = rare.groupBy("v").agg(F.count(F.lit(1)).alias("u"))
+    nodes = members.select("v", "n", "root").distinct().join(own, "v", "left")
+    nodes = written(nodes.select("v", "n", "root", (F.col("n") - F.coalesce("u", F.lit(0))).alias("c")), "frequent-shingles")
+    both = rare.filter("times > 1").select("hash", "v")
+    met = both.withColumnRenamed("v", "a").join(both.withColumnRenamed("v", "b"), "hash").filter("a < b")
+    met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    for end in "ab":
+        met = met.join(nodes.select(F.col("v").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "root", "c")]), end)
+    possible = f"root_a <> root_b AND {100 + percent} * (met + least(c_a, c_b)) >= {percent} * (n_a + n_b)"
+    return met.filter(possible).select("a", "b"), members.drop("c").join(nodes.select("v", "c"), "v")
+
+
 def _rooted(members: DataFrame, stars: DataFrame) -> DataFrame:
     """The members with the `root` that the stars give them now."""
     columns = [c for c in members.columns if c != "root"]
@@ -139,11 +172,15 @@ def star_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) ->
     """(node, root) of all nodes v that links connect to a smaller one, None without any; the head of this file has the rounds."""
     members = written(_open(nodes.select("v", "n", F.explode("bands").alias("key"), F.col("v").alias("root"))), "buckets")
     sets = written(_sets(docs, nodes.join(members.select("v").distinct(), "v").select("v", "doc", "place"), shingle), "sets")
-    stars, hubs = None, 1
+    members, stars, hubs = _shared(members, sets, percent), None, 1
     while True:
-        rest = written(_likely(_shared(members, sets, percent), percent), "open-buckets")
+        rest = written(_likely(members, percent), "open-buckets")
         if rest.isEmpty():
             return stars
+        rare = None
+        if hubs == GROWTH:  # copies of the first hubs are gone, so this is done for few members
+            rare, rest = _rare_pairs(rest, sets, percent)
+            rest = written(_likely(rest, percent), "frequent-buckets")
         # Those go first that have least of their own, as an original has among its altered copies. Each task passes on no
         # more than so many members of a bucket.
         at = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.col("c") / F.col("n")), "v")).alias("at")
@@ -152,13 +189,13 @@ def star_links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) ->
         # No more shingles can meet than the lesser of both shares with others.
         possible = f"root <> root_a AND 100 * least(c, c_a) >= {percent} * (n + n_a - least(c, c_a))"
         pairs = rest.join(hub, "key").filter(possible).select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b"))
-        pairs = written(pairs.distinct(), "candidates")
+        pairs = written((pairs if rare is None else pairs.union(rare)).distinct(), "candidates")
         found = written(_confirmed(pairs, sets, percent), "links")
-        members = rest.select("key", "v", "n", "root").join(chosen.select("key", "v"), ["key", "v"], "left_anti")
+        members = rest.join(chosen.select("key", "v"), ["key", "v"], "left_anti")
         if not found.isEmpty():
             stars = components(found if stars is None else found.union(stars.select("node", "root")))
             members = _rooted(members, stars)
-        hubs *= 4
+        hubs *= GROWTH
 
 
 def near_duplicates(

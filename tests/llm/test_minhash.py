@@ -134,3 +134,53 @@ def test_members_that_nothing_in_their_bucket_can_be_like(spark):
         for key2, v2, n2, c2, root2 in rows:
             if key == key2 and root != root2 and 100 * min(c, c2) >= 85 * (n + n2 - min(c, c2)):
                 assert v in left and v2 in left
+
+
+def family(seed, members, n_words, least, most, others):
+    """Copies of one text with `least` to `most` words replaced by one of few others, so that what is not of the text repeats, too."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(n_words)]
+    out = [" ".join(base)]
+    for _ in range(members):
+        copy = list(base)
+        for at in rng.sample(range(n_words), rng.randint(least, most)):
+            copy[at] = f"o{rng.randrange(others)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_rare_pairs(spark):
+    """Whatever the rare shingles, each pair that is similar enough is given, or its frequent shingles suffice."""
+    texts = family(3, 60, 40, 0, 4, 3) + altered(6, 3, 5, 40, 2)
+    sets = [plain_set(t, 3) for t in texts]
+    number = {w: i for i, w in enumerate(sorted(set().union(*sets)))}
+    hashed = spark.createDataFrame([(v, [number[w] for w in s]) for v, s in enumerate(sets)], "v long, hashes array<long>")
+    rows = [(k, v, len(s), v // 4, len(s)) for v, s in enumerate(sets) for k in (0, 1)]
+    members = spark.createDataFrame(rows, "key long, v long, n long, root long, c long")
+    pairs, left = minhash._rare_pairs(members, hashed, 85)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(set(got)) == len(got)
+    times = {w: sum(w in s for s in sets) for w in number}
+    frequent = [{w for w in s if times[w] > minhash.RARE} for s in sets]
+    assert sorted((r.key, r.v, r.c) for r in left.collect()) == sorted((k, v, len(f)) for v, f in enumerate(frequent) for k in (0, 1))
+    for b, t in enumerate(sets):
+        for a, s in enumerate(sets[:b]):
+            if a // 4 != b // 4 and 100 * len(s & t) >= 85 * len(s | t):
+                assert (a, b) in got or 185 * min(len(frequent[a]), len(frequent[b])) >= 85 * (len(s) + len(t))
+    assert all(a // 4 != b // 4 and (sets[a] - frequent[a]) & (sets[b] - frequent[b]) for a, b in got)
+
+
+def test_copies_too_unlike_for_a_link_are_not_all_compared(spark, monkeypatch):
+    """In a family whose members mostly miss a link, compared pairs grow with the members and not with their square."""
+    counts, kept = [], minhash.written
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label == "candidates":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    rows = list(enumerate(family(8, 400, 150, 5, 6, 12)))
+    check(spark, rows, 3, 85)
+    assert 0 < sum(counts) < 16 * len(rows)
