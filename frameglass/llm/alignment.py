@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import _written as written
 from .texts import byte_slices, utf8_values
-from .tokens import CACHED_BYTES, ID, Recent, byte_letters, packed
+from .tokens import CACHED_BYTES, ID, byte_letters, packed
 
 #: Texts of about this many bytes are a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 1_000_000
@@ -32,8 +32,8 @@ CHUNK_BYTES = 1_000_000
 _CUTS = re.compile(r"(?<=\S) (?=\S)")
 #: A text without this is cut at all its spaces.
 _RUNS = re.compile(r"\s | \s")
-#: Such pieces that a worker remembers, twice; some 350 bytes each.
-KNOWN_PIECES = 80_000
+#: Such pieces that a worker remembers, twice; some 230 bytes each.
+KNOWN_PIECES = 110_000
 #: A pair of ids as one number.
 _SHIFT = np.int64(32)
 #: Pairs that are spread out at once.
@@ -50,10 +50,11 @@ class Slice:
     `in_a` and `in_b` how many tokens a group has. `links` has (text, pair, n): n links of a pair of ids in a text.
     """
 
-    def __init__(self, n: int, ids_a: list[bytes], ids_b: list[bytes], len_a: np.ndarray, len_b: np.ndarray):
-        self.n = n
-        self.n_a, self.n_b = (np.fromiter(map(len, x), np.int64, n) // ID.itemsize for x in (ids_a, ids_b))
-        self.a, self.b = (np.frombuffer(b"".join(x), ID).astype(np.int64) for x in (ids_a, ids_b))
+    def __init__(self, side_a: tuple[np.ndarray, np.ndarray], side_b: tuple[np.ndarray, np.ndarray], len_a: np.ndarray, len_b: np.ndarray):
+        """Of each side the ids of all texts and how many each text has."""
+        (a, self.n_a), (b, self.n_b) = side_a, side_b
+        self.n = n = len(self.n_a)
+        self.a, self.b = a.astype(np.int64), b.astype(np.int64)
         self.text_a, self.text_b = np.repeat(np.arange(n), self.n_a), np.repeat(np.arange(n), self.n_b)
         # Both sides of a text have the same bytes, so offsets may run on from text to text.
         ends_a, ends_b = np.cumsum(len_a[self.a]), np.cumsum(len_b[self.b])
@@ -125,6 +126,63 @@ def _lengths(parts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(len, parts), np.int64, len(parts))
 
 
+class Ids:
+    """Ids of many pieces, one after another; a piece is its place."""
+
+    def __init__(self):
+        self.ids, self.ends = np.zeros(0, ID), np.zeros(1, np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.ids = np.concatenate((self.ids, ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(counts)))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces at these places, and how many each has."""
+        starts = self.ends[places]
+        counts = self.ends[places + 1] - starts
+        upto = np.cumsum(counts)
+        return self.ids[np.arange(counts.sum()) + np.repeat(starts - upto + counts, counts)], counts
+
+    def cut(self, n: int) -> None:
+        self.ends = self.ends[: n + 1]
+        self.ids = self.ids[: self.ends[-1]]
+
+
+class Pieces:
+    """Places and ids of both sides of pieces that were met lately. As in `Recent`, a new generation takes over what is met again."""
+
+    def __init__(self, limit: int):
+        self.limit, self.before = limit, ({}, (Ids(), Ids()))
+        self.now, self.sides = {}, (Ids(), Ids())
+
+    def missing(self, pieces: set[str]) -> set[str]:
+        """The pieces that must be computed and added; `now` has the places of the others."""
+        if len(self.now) > self.limit:
+            self.before, self.now, self.sides = (self.now, self.sides), {}, (Ids(), Ids())
+        places, sides = self.before
+        new = pieces.difference(self.now)
+        again = list(new & places.keys())
+        at = np.fromiter(map(places.__getitem__, again), np.int64, len(again))
+        self.add(again, [side.take(at) for side in sides])
+        return new.difference(again)
+
+    def add(self, pieces: list[str], sides: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.now.update(zip(pieces, range(len(self.now), len(self.now) + len(pieces))))
+        for side, (ids, counts) in zip(self.sides, sides):
+            side.add(ids, counts)
+
+    def forget(self, last: list[str]) -> None:
+        """Takes away the pieces that were added last."""
+        for piece in last:
+            del self.now[piece]
+        for side in self.sides:
+            side.cut(len(self.now))
+
+
+def _joined(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), ID), _lengths(found) // ID.itemsize
+
+
 class Aligner:
     """Side a: a byte-level file of the `tokenizers` library, which gets a space before the text. Side b: a `sentencepiece`
     model, which adds that space itself. Strings of special tokens are plain text."""
@@ -147,7 +205,7 @@ class Aligner:
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         # Where no entry of side b goes on behind a space, it does not join across single spaces either.
         self.apart = not any("▁" in p.lstrip("▁") for _, p in pieces)
-        self.recent = Recent(KNOWN_PIECES)
+        self.recent = Pieces(KNOWN_PIECES)
         # An id as it is written inside its group and at the end of it, filled up with zero bytes.
         written = [f"{i}{end}" for n, ends in ((len(entries), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
         self.written = np.array(written, "S")
@@ -194,42 +252,47 @@ class Aligner:
             return [text]
         return _CUTS.split(text) if _RUNS.search(f" {text}") else text.split(" ")
 
-    def _sides(self, strings: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of both sides of space and text; None for a text that the ids of a side do not spell."""
+    def _sides(self, strings: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For both sides the ids of all spaces and texts, and how many each has: none if the ids of a side do not spell the text."""
+        if not strings:
+            return [_joined([])] * 2
         cut = list(map(self._cut, strings))
-        new = list(self.recent.missing(set().union(*cut)))
+        many, pieces = np.fromiter(map(len, cut), np.int64, len(cut)), list(chain.from_iterable(cut))
+        new = list(self.recent.missing(set(pieces)))
         raw = [f" {p}".encode() for p in new]
-        known, found = self.recent.now, list(zip(self._pieces_a(new, raw), self._pieces_b(new, raw)))
-        known.update(zip(new, found))
+        found = list(zip(self._pieces_a(new, raw), self._pieces_b(new, raw)))
         wrong = {piece for piece, both in zip(new, found) if None in both}
-        out = []
-        for text, pieces in zip(strings, cut):
-            if wrong and not wrong.isdisjoint(pieces):
-                # What pieces do not spell is left to the libraries as a whole.
-                whole = f" {text}".encode()
-                both = (self._pieces_a([text], [whole])[0], self._pieces_b([text], [whole])[0])
-                out.append(None if None in both else both)
-            else:
-                a, b = zip(*map(known.__getitem__, pieces))
-                out.append((b"".join(a), b"".join(b)))
-        for piece in [p for p, r in zip(new, raw) if len(r) > CACHED_BYTES]:
-            del known[piece]
-        for piece in wrong.intersection(known):
-            del known[piece]
+        kept = [len(r) <= CACHED_BYTES and None not in both for r, both in zip(raw, found)]
+        order = [i for i, k in enumerate(kept) if k] + (gone := [i for i, k in enumerate(kept) if not k])
+        self.recent.add([new[i] for i in order], [_joined([found[i][side] or b"" for i in order]) for side in (0, 1)])
+        places = np.fromiter(map(self.recent.now.__getitem__, pieces), np.int64, len(pieces))
+        taken = [side.take(places) for side in self.recent.sides]
+        out = [(ids, np.add.reduceat(counts, np.cumsum(many) - many)) for ids, counts in taken]
+        self.recent.forget([new[i] for i in gone])
+        if wrong:
+            # What pieces do not spell is left to the libraries as a whole.
+            texts = [[p.tobytes() for p in np.split(ids, np.cumsum(n)[:-1])] for ids, n in out]
+            for i in [i for i, of_text in enumerate(cut) if not wrong.isdisjoint(of_text)]:
+                whole = f" {strings[i]}".encode()
+                both = (self._pieces_a([strings[i]], [whole])[0], self._pieces_b([strings[i]], [whole])[0])
+                texts[0][i], texts[1][i] = (b"", b"") if None in both else both
+            out = list(map(_joined, texts))
         return out
 
     def _side_a(self, strings: list[str]) -> list[bytes | None]:
-        """Side a alone of what `_sides` gives."""
-        return [None if both is None else both[0] for both in self._sides(strings)]
+        """Side a alone of what `_sides` gives, a text at a time."""
+        ids, n = self._sides(strings)[0]
+        return [p.tobytes() or None for p in np.split(ids, np.cumsum(n)[:-1])]
 
     def align(self, texts: list[bytes]) -> Slice:
         """Texts that are empty, or whose tokens of either side do not spell space and text, have no tokens."""
         full = [i for i, t in enumerate(texts) if t]
-        ids_a, ids_b = [b""] * len(texts), [b""] * len(texts)
-        for i, both in zip(full, self._sides([texts[i].decode() for i in full])):
-            if both is not None:
-                ids_a[i], ids_b[i] = both
-        return Slice(len(texts), ids_a, ids_b, self.len_a, self.len_b)
+        sides = []
+        for ids, n in self._sides([texts[i].decode() for i in full]):
+            counts = np.zeros(len(texts), np.int64)
+            counts[full] = n
+            sides.append((ids, counts))
+        return Slice(*sides, self.len_a, self.len_b)
 
     def group_texts(self, s: Slice) -> list[str]:
         """The groups of each text as `a1,a2|b1;a3|b2,b3`: ids in order, an empty text without tokens."""
@@ -293,6 +356,7 @@ def aligned(texts: DataFrame, path_a: str, path_b: str) -> DataFrame:
                     names=["chunk", "key", *_MEASURES, "groups_sha256", "pair_a", "pair_b", "pair_n"],
                 )
                 chunk += 1
+        pa.default_memory_pool().release_unused()  # the worker stays for later stages
 
     measures = ", ".join(f"{m} long" for m in _MEASURES)
     return texts.select("key", "text", "copies").mapInArrow(run, f"chunk long, key binary, {measures}, groups_sha256 string, {_PAIRS}")

@@ -1,6 +1,7 @@
 """Aligned tokens against loops over bytes."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -148,3 +149,40 @@ def test_sums_of_pairs(high):
     for t, x, y, k in zip(text.tolist(), a.tolist(), b.tolist(), n.tolist()):
         expected[t << 20 if high > 9 else t, x << 32 | y] += k
     assert list(zip(*(g.tolist() for g in got))) == [(*key, expected[key]) for key in sorted(expected)]
+
+
+def test_pieces_met_before_are_not_asked_again(monkeypatch):
+    """Some 170,000 words are remembered, with the same ids when they are looked up in an older generation."""
+    tool = alignment.Aligner(A, B)
+    texts = [" ".join(f"{c}{i}" for i in range(85_000)).encode() for c in "xy"]
+    slices = [tool.align([t, b"one  two \xe2\x96\x81"]) for t in texts]
+    asked = []
+
+    class Counting:
+        def encode(self, pieces, **kwargs):
+            asked.extend(pieces)
+            return [[] for _ in pieces]
+
+    monkeypatch.setattr(tool, "b", Counting())
+    for t, s in zip(texts, slices):
+        again = tool.align([t])
+        assert (again.a.tolist(), again.b.tolist()) == (s.a.tolist(), s.b.tolist()) and s.n_b[1] == 0
+    assert asked == []
+
+
+def test_pieces_take_over_what_is_met_again():
+    """Places stay those of their ids through generations and after the last pieces are forgotten."""
+    known, rng = alignment.Pieces(50), random.Random(2)
+    of = lambda p: np.arange(int(p), int(p) + int(p) % 4, dtype=alignment.ID)
+    computed = 0
+    for _ in range(60):
+        pieces = {str(rng.randrange(300) if rng.random() < 0.3 else rng.randrange(20)) for _ in range(12)}
+        new = sorted(known.missing(pieces), key=lambda p: int(p) > 280)
+        computed += len(new)
+        known.add(new, [(np.concatenate([of("0"), *map(of, new)]), np.array([int(p) % 4 for p in new], np.int64))] * 2)
+        some = sorted(pieces)
+        for side in known.sides:
+            ids, counts = side.take(np.array([known.now[p] for p in some]))
+            assert ids.tolist() == [i for p in some for i in of(p).tolist()] and counts.tolist() == [int(p) % 4 for p in some]
+        known.forget([p for p in new if int(p) > 280])
+    assert 0 < computed < 60 * 6
