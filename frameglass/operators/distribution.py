@@ -16,6 +16,7 @@ from ..functions.kinds import numeric_columns
 from ..functions.normality import shapiro_wilk
 from ..functions.numbers import finite, finite_view, sample_skewness, shape_hint, share_pct
 from ..functions.sql import number
+from ..session import scratch_path
 from .numeric import Fence, fit_fences
 from .sampling import sample_key
 from .tidy import per_column, union_all
@@ -151,6 +152,7 @@ def normality(
     cols: Sequence[str] | None = None,
     key: Sequence[str] = (),
     test_rows: int = TEST_ROWS,
+    values: DataFrame | None = None,
 ) -> DataFrame:
     """(column, n, tested, method, w, p_value, is_normal) by Shapiro-Wilk.
 
@@ -160,26 +162,31 @@ def normality(
     are tested, so a group holds `test_rows` values however large the table is. With `key` (columns that
     identify a row) the sample is the same on every run. If the key turns out not to identify
     the rows it drew, rows draw by their place in the partitions instead. Values never decide what is drawn.
+    Counted values (column, value, cnt), where they are at hand, give the sizes.
     """
     cols = numeric_columns(df) if cols is None else list(cols)
-    sizes = {
-        r["column"]: r["n"]
-        for r in per_column(
-            finite_view(df, cols), cols, lambda c, x: {"n": f"count({x})"}
-        ).collect()
-    }
+    if values is None:
+        counts = per_column(finite_view(df, cols), cols, lambda c, x: {"n": f"count({x})"})
+    else:
+        counts = values.groupBy("column").agg(F.sum("cnt").alias("n"))
+    sizes = dict.fromkeys(cols, 0) | {r["column"]: r["n"] for r in counts.collect()}
     by_place = F.md5(F.concat_ws("|", F.lit("42"), F.monotonically_increasing_id().cast("string")))
     draw = sample_key(key) if key else by_place
+    drawn = None
     if all(n <= test_rows for n in sizes.values()):
         draw = F.lit("")
     elif key:
-        drawn = _drawn(df, cols, sizes, draw, test_rows)
+        path = scratch_path(df.sparkSession, "normality-draws")  # digests of all rows are made once
+        _drawn(df, cols, sizes, draw, test_rows).write.parquet(path)
+        drawn = df.sparkSession.read.parquet(path)
         found = drawn.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(DRAW).alias("draws")).collect()
         enough = {r["column"] for r in found if r["rows"] == r["draws"] >= min(sizes[r["column"]], test_rows)}
         if any(n > test_rows and c not in enough for c, n in sizes.items()):
-            draw = by_place
+            draw, drawn = by_place, None
+    if drawn is None:
+        drawn = _drawn(df, cols, sizes, draw, test_rows)
     place = F.row_number().over(Window.partitionBy("column").orderBy(DRAW))
-    long = _drawn(df, cols, sizes, draw, test_rows).withColumn("place", place).where(F.col("place") <= test_rows)
+    long = drawn.withColumn("place", place).where(F.col("place") <= test_rows)
 
     def test(group: pd.DataFrame) -> pd.DataFrame:
         n = group["n"].iloc[0]

@@ -66,11 +66,12 @@ class ValueIndex:
         seen = union_all([self.counts(kind).groupBy("column").agg(F.count(F.lit(1)).alias("seen")) for kind in kinds])
         return names.join(seen, "column", "left").select("column", F.coalesce("seen", "least").alias("n_unique"))
 
-    def _numbers(self, cols: Sequence[str]) -> DataFrame:
+    def numbers(self, cols: Sequence[str]) -> DataFrame:
         """(column, run, value, cnt) of finite values as doubles."""
         kinds = [kind for kind, names in self.kinds.items() if set(names) & set(cols)]
         parts = [self.counts(kind).selectExpr("column", "run", f"{finite('value')} AS value", "cnt") for kind in kinds]
-        return union_all(parts).where("value IS NOT NULL")
+        wanted = ", ".join(map(sql.text, cols))
+        return union_all(parts).where(f"value IS NOT NULL AND column IN ({wanted})")
 
     def quantiles(self, wanted: Mapping[str, Sequence[float]]) -> Quantiles:
         """{column: {p: quantile}} of finite values, exact, interpolated between the two values next to the rank."""
@@ -83,7 +84,7 @@ class ValueIndex:
             raise ValueError(f"no numbers are indexed for {wrong}")
         if not asked:
             return found
-        spark, values = self._df.sparkSession, self._numbers(list(wanted))
+        spark, values = self._df.sparkSession, self.numbers(list(wanted))
         column = Window.partitionBy("column")  # a row per run
         earlier = F.sum("rows").over(column.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
         runs = values.groupBy("column", "run").agg(F.sum("cnt").alias("rows"))

@@ -127,13 +127,14 @@ def _profile(spark, flat, source, order_by, normality_key, test_rows, max_catego
     index = ValueIndex(flat, order_by=order_by)
     # A sketch of distinct values is asked for where they are too many to move, so quartiles come from brackets then.
     fences = _Once(lambda: (fit_fences(flat, numbers) if approximate_unique else index.fences(numbers)) if numbers else {})
+    values = lambda: None if approximate_unique else index.numbers(numbers)
     # The long sections go first.
     first = {
         "numeric": or_empty("numeric", numbers, lambda: numeric_profile(flat, numbers, fences=fences())),
         "datetime": lambda: datetime_profile(flat),
         "top_values": or_empty("top_values", texts, lambda: top_values(flat, texts, order_by=order_by, counts=index.counts("string"))),
         "duplicates": lambda: duplicate_rows(flat),
-        "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key, test_rows=test_rows)),
+        "normality": or_empty("normality", numbers, lambda: normality(flat, numbers, key=key, test_rows=test_rows, values=values())),
         "cramers_v": lambda: cramers_v_pairs(flat, texts, max_categories),
         "unique": lambda: n_unique(flat, flat.columns, True) if approximate_unique else index.n_unique(flat.columns),
         "categorical": or_empty("categorical", texts, lambda: categorical_profile(flat, texts, counts=index.counts("string"))),

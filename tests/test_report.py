@@ -143,3 +143,20 @@ def test_options_reach_the_sections(spark):
     assert {r.tested for r in p["normality"].collect()} == {50}
     assert p["cramers_v"].count() == 3
     assert profile(df, "t")["cramers_v"].count() == 1
+
+
+def test_normality_reads_the_rows_once(spark, monkeypatch):
+    """Sizes come from counted values, and the rows of the normality test are drawn by one scan."""
+    from frameglass.operators import distribution
+
+    columns = ["id", "x", "y", "none", "far"]
+    rows = [(i, (i * 37 % 101) / 7, None if i % 3 else float(i % 13), None, (float("inf"), float("nan"), -0.0, 0.0)[i % 300] if i < 4 else float(-i)) for i in range(300)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'id' else 'double'}" for c in columns)).repartition(3)
+    shown = lambda table: sorted(map(tuple, table.collect()))
+    expected = shown(distribution.normality(df, key=["id"], test_rows=50))
+    draws, drawn = [], distribution._drawn
+    monkeypatch.setattr(distribution, "_drawn", lambda *args: draws.append(1) or drawn(*args))
+    found = profile(df, "t", order_by=["id"], test_rows=50)
+    assert shown(found["normality"]) == expected
+    assert [r[:3] for r in expected] == [("far", 298, 50), ("id", 300, 50), ("x", 300, 50), ("y", 100, 50)]
+    assert len(draws) == 1
